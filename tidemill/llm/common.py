@@ -62,3 +62,21 @@ def bucket_of(key: Column, bits: int) -> Column:
 def words_in(text: Column) -> Column:
     """How many runs of characters other than space, tab, LF, VT, FF and CR a text has; none in null."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("bigint")
+
+
+#: Leading bits of a :func:`seat` that make up its bucket, of 60.
+SEAT_BITS = 12
+
+
+def seat(seed: int, row_id: Column) -> Column:
+    """A seeded random 60-bit place in a shuffle, from a row's id."""
+    return F.conv(F.substring(unit(seed, row_id), 1, 15), 16, 10).cast("bigint")
+
+
+def seat_bucket(place: Column) -> Column:
+    return F.shiftright(place, 60 - SEAT_BITS)
+
+
+def stratum(source: Column) -> Column:
+    """A source as a key that is never null: no two sources share one, and null has its own after all others."""
+    return F.when(source.isNull(), F.lit("~")).otherwise(F.concat(F.lit("="), source))

@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemill.llm.bpe import bpe_digests
 from tidemill.llm.html_extract import extract_pages
 from tidemill.llm.langid import identify
+from tidemill.llm.mixing import mix
 from tidemill.llm.secrets import scan_documents
+from tidemill.llm.sharding import interleave
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +22,10 @@ def op1_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(_table(spark, sf_dir, "pages"))
 
 
+def op2_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interleave(_table(spark, sf_dir, "documents"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return bpe_digests(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
@@ -29,15 +35,64 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_documents(_table(spark, sf_dir, "documents"))
 
 
+def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(_table(spark, sf_dir, "documents"))
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_extract": op1_extract,
+    "op2_shards": op2_shards,
     "op4_bpe": op4_bpe,
     "op6_secrets": op6_secrets,
+    "op9_mix": op9_mix,
     "op10_language": op10_language,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: A row's place in a shuffle: 60 bits of an MD5 digest.
+_SEAT = "('0x' || substr(md5('{seed}:' || coalesce(doc_id::VARCHAR, '~')), 1, 15))::BIGINT"
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_shards": f"""
+WITH crc AS (
+  SELECT list(c8 ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_concat([i::BIGINT], range(8)::BIGINT[]),
+      lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c8
+    FROM range(256) r(i))),
+a AS (
+  SELECT doc_id, source, coalesce(strlen(text), 0)::BIGINT + 8 AS size,
+    xor(list_reduce(list_concat([4294967295::BIGINT],
+      list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT)),
+      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32,
+    CASE WHEN source IS NULL THEN '~' ELSE '=' || source END AS g, {_SEAT.format(seed=7)} AS place
+  FROM documents, crc),
+b AS (
+  SELECT *, (row_number() OVER (PARTITION BY g ORDER BY place, doc_id, text_crc32, size) - 0.5::DOUBLE)
+    / count(*) OVER (PARTITION BY g) AS part FROM a),
+c AS (SELECT *, row_number() OVER (ORDER BY part, g, place, doc_id, text_crc32, size) - 1 AS pos, count(*) OVER () AS n FROM b)
+SELECT doc_id, size, text_crc32, 'rows' AS law, (pos * 24 // n)::INT AS shard,
+  (pos - ((pos * 24 // n) * n + 23) // 24)::BIGINT AS slot, NULL::INT AS grown_shard FROM c""",
+    "op9_mix": f"""
+WITH a AS (
+  SELECT doc_id, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
+    CASE WHEN source IS NULL THEN '~' ELSE '=' || source END AS g, {_SEAT.format(seed=9)} AS place FROM documents),
+s AS (SELECT g, sum(size)::BIGINT AS source_size, 2.0::DOUBLE * sum(size) AS cap,
+    [3.0::DOUBLE, 1, 2][(row_number() OVER (ORDER BY g = '~', g) - 1) % 3 + 1] AS w FROM a GROUP BY g),
+l AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER ()
+    - coalesce(sum(cap) OVER (ORDER BY cap / w, g ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(w) OVER (ORDER BY cap / w, g ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM s),
+t AS (SELECT g, source_size, CASE WHEN v IS NULL THEN cap ELSE least(cap, v * w) END AS target
+  FROM l, (SELECT arg_min(level, cap / w) AS v FROM l WHERE level <= cap / w)),
+q AS (SELECT a.*, source_size, target,
+    sum(size) OVER (PARTITION BY a.g ORDER BY place, doc_id, size) AS upto FROM a JOIN t USING (g)),
+e AS (SELECT g, place, doc_id, size, epoch, (epoch * source_size + upto) / target AS finish
+  FROM q, (VALUES (0), (1)) p(epoch) WHERE size > 0 AND target > 0),
+f AS (SELECT *, sum(size) OVER (ORDER BY finish, g, place, doc_id, size, epoch) AS spent FROM e),
+u AS (SELECT g, doc_id, size, sum(size)::BIGINT AS taken FROM f
+  WHERE spent <= 1.5::DOUBLE * (SELECT sum(size) FROM a) GROUP BY g, doc_id, size)
+SELECT q.doc_id, q.size, q.source_size, q.target, coalesce(taken, 0)::BIGINT AS taken
+FROM q LEFT JOIN u ON q.g = u.g AND q.doc_id = u.doc_id AND q.size = u.size""",
+}
