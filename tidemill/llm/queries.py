@@ -12,6 +12,7 @@ from tidemill.llm.langid import identify
 from tidemill.llm.mixing import mix
 from tidemill.llm.secrets import scan_documents
 from tidemill.llm.sharding import interleave
+from tidemill.llm.simhash import near_copies
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +36,10 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_documents(_table(spark, sf_dir, "documents"))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_copies(_table(spark, sf_dir, "documents"))
+
+
 def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents"))
 
@@ -48,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_shards": op2_shards,
     "op4_bpe": op4_bpe,
     "op6_secrets": op6_secrets,
+    "op7_simhash": op7_simhash,
     "op9_mix": op9_mix,
     "op10_language": op10_language,
 }
