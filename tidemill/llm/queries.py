@@ -7,6 +7,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemill.llm.bpe import bpe_digests
+from tidemill.llm.embeddings import near_vectors
+from tidemill.llm.hamming import nearest
 from tidemill.llm.html_extract import extract_pages
 from tidemill.llm.langid import identify
 from tidemill.llm.mixing import mix
@@ -32,6 +34,10 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_documents(_table(spark, sf_dir, "documents"))
 
@@ -40,6 +46,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies(_table(spark, sf_dir, "documents"))
 
 
+def op8_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents"))
 
@@ -52,8 +62,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_extract": op1_extract,
     "op2_shards": op2_shards,
     "op4_bpe": op4_bpe,
+    "op5_topk": op5_topk,
     "op6_secrets": op6_secrets,
     "op7_simhash": op7_simhash,
+    "op8_vectors": op8_vectors,
     "op9_mix": op9_mix,
     "op10_language": op10_language,
 }
@@ -81,6 +93,16 @@ b AS (
 c AS (SELECT *, row_number() OVER (ORDER BY part, g, place, doc_id, text_crc32, size) - 1 AS pos, count(*) OVER () AS n FROM b)
 SELECT doc_id, size, text_crc32, 'rows' AS law, (pos * 24 // n)::INT AS shard,
   (pos - ((pos * 24 // n) * n + 23) // 24)::BIGINT AS slot, NULL::INT AS grown_shard FROM c""",
+    "op5_topk": """
+WITH c AS (
+  SELECT vec_id, list_transform(embedding, lambda x: x > 0) AS code FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL)) = 0),
+p AS (
+  SELECT a.vec_id AS query_id, b.vec_id,
+    len(list_filter(list_zip(a.code, b.code), lambda z: z[1] <> z[2]))::BIGINT AS distance
+  FROM c a JOIN c b ON a.vec_id <> b.vec_id AND len(a.code) = len(b.code) WHERE a.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM p)
+SELECT query_id, rank::INT AS rank, vec_id, distance FROM r WHERE rank <= 10""",
     "op9_mix": f"""
 WITH a AS (
   SELECT doc_id, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
