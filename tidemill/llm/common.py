@@ -3,6 +3,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -80,3 +82,24 @@ def seat_bucket(place: Column) -> Column:
 def stratum(source: Column) -> Column:
     """A source as a key that is never null: no two sources share one, and null has its own after all others."""
     return F.when(source.isNull(), F.lit("~")).otherwise(F.concat(F.lit("="), source))
+
+
+def shelved(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """For operators that return their input's columns: hides all but the first doc_id, text, lang, source and n_chars.
+
+    The others get names that nothing uses while the operator runs, whatever they were called, and have
+    their own names again in its result.
+    """
+
+    @wraps(operator)
+    def around(docs: DataFrame, *args: object, **named: object) -> DataFrame:
+        own, inside = docs.columns, []
+        for i, name in enumerate(own):
+            inside.append(name if name in _KNOWN and name not in inside else f"other {i}")
+        out = operator(docs.toDF(*inside), *args, **named)
+        return out.select(*(f"`{name}`" for name in inside)).toDF(*own)
+
+    return around
+
+
+_KNOWN = ("doc_id", "text", "lang", "source", "n_chars")

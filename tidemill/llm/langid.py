@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemill.llm.common import pick, ship, unit
+from tidemill.llm.common import pick, shelved, ship, unit
 
 BUCKETS, SAMPLE, LANGUAGES, SEED = 1 << 13, 300, 64, 11
 #: Families by ISO 639-1 code; other codes are families of their own.
@@ -194,6 +194,7 @@ def identify(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), predicted("text").alias("_p")).select("doc_id", "held_out", "_p.*")
 
 
+@shelved
 def keep_identified(docs: DataFrame) -> DataFrame:
     """``docs`` without texts that have no language, lang replaced by the predicted one."""
     predicted = predictor(docs, learn(docs))

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemill.llm.common import pick, pin, seat, seat_bucket, stratum, words_in
+from tidemill.llm.common import pick, pin, seat, seat_bucket, shelved, stratum, words_in
 
 BINS, LEVELS = 1 << 12, 3
 
@@ -46,12 +46,32 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float
     return at.select("g", F.when(F.col("level").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("level") * F.col("w"))).alias("target"))
 
 
-def mix(docs: DataFrame, seed: int = 9, share: float = 1.5, epochs: int = 2, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, size, source_size, target and taken, and the columns in ``keep`` that are not among these, for each row."""
+def mix(docs: DataFrame, seed: int = 9, share: float = 1.5, epochs: int = 2) -> DataFrame:
+    """doc_id, size, source_size, target and taken for each row."""
     rows = queued(pick(docs, "doc_id", "text", "source"), seed, share, epochs)
     return taken(rows, share, epochs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@shelved
+def mixed_documents(docs: DataFrame, seed: int = 9, share: float = 1.5, epochs: int = 2) -> DataFrame:
+    """``docs`` with each row as often as the mix takes it: rows not taken go, rows taken twice come twice.
+
+    Rows equal in source, doc_id and size are taken alike, so the takings are joined back by these.
+    """
+    rows = queued(pick(docs, "doc_id", "text", "source"), seed, share, epochs)
+    times = taken(rows, share, epochs).where("taken > 0").select(
+        F.coalesce("doc_id", F.lit(-1)).alias("_id"), F.col("doc_id").isNull().alias("_none"), F.col("g").alias("_g"),
+        F.col("size").alias("_size"), F.expr("taken div size").cast("int").alias("_times"),
+    ).distinct()
+    marked = docs.select(
+        "*", F.coalesce("doc_id", F.lit(-1)).alias("_id"), F.col("doc_id").isNull().alias("_none"),
+        stratum(F.col("source")).alias("_g"), words_in(F.col("text")).alias("_size"),
+    )
+    found = marked.join(times, ["_id", "_none", "_g", "_size"])
+    repeated = found.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    return repeated.select(*(f"`{c}`" for c in docs.columns))
+
+
 def queued(docs: DataFrame, seed: int, share: float, epochs: int) -> DataFrame:
     """Narrow rows with the tokens of the source up to and with each row in one pass (``upto``), written down."""
     rows = pin(docs.select(
@@ -70,7 +90,7 @@ def queued(docs: DataFrame, seed: int, share: float, epochs: int) -> DataFrame:
 
 
 def _finish(epoch: Column) -> Column:
-    return (epoch * F.col("source_size") + F.col("upto")) / F.col("target")
+    return F.try_divide(epoch * F.col("source_size") + F.col("upto"), F.col("target"))
 
 
 def taken(rows: DataFrame, share: float, epochs: int) -> DataFrame:

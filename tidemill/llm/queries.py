@@ -15,6 +15,7 @@ from tidemill.llm.mixing import mix
 from tidemill.llm.secrets import scan_documents
 from tidemill.llm.sharding import interleave
 from tidemill.llm.simhash import near_copies
+from tidemill.llm.url_rules import judge
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +30,17 @@ def op2_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interleave(_table(spark, sf_dir, "documents"))
 
 
+#: Host, path and verdict.
+URL_RULES = (
+    ("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"), ("net", "/fr/", "block"),
+)
+
+
+def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return bpe_digests(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
@@ -61,6 +73,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_extract": op1_extract,
     "op2_shards": op2_shards,
+    "op3_urls": op3_urls,
     "op4_bpe": op4_bpe,
     "op5_topk": op5_topk,
     "op6_secrets": op6_secrets,
@@ -93,6 +106,16 @@ b AS (
 c AS (SELECT *, row_number() OVER (ORDER BY part, g, place, doc_id, text_crc32, size) - 1 AS pos, count(*) OVER () AS n FROM b)
 SELECT doc_id, size, text_crc32, 'rows' AS law, (pos * 24 // n)::INT AS shard,
   (pos - ((pos * 24 // n) * n + 23) // 24)::BIGINT AS slot, NULL::INT AS grown_shard FROM c""",
+    "op3_urls": """
+WITH r(h, p, v) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
+    ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+s AS (SELECT page_id, row_number() OVER () AS k,
+    translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+m AS (SELECT k, arg_max(h || p, len(h || p)) AS rule, arg_max(v, len(h || p)) AS verdict
+  FROM s JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY k)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM s LEFT JOIN m USING (k)""",
     "op5_topk": """
 WITH c AS (
   SELECT vec_id, list_transform(embedding, lambda x: x > 0) AS code FROM embeddings

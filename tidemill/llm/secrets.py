@@ -37,7 +37,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import pick, ship
+from tidemill.llm.common import pick, shelved, ship
 
 #: In the order in which kinds at the same start are listed.
 KINDS = ("assign", "access", "hex", "random")
@@ -209,8 +209,9 @@ def scan_documents(docs: DataFrame) -> DataFrame:
     return pick(docs, "doc_id", "text").select("doc_id", scanned("text").alias("_s")).select("doc_id", "_s.*")
 
 
-def redact(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with secrets in the text column replaced; a null text stays null, all rows stay."""
+@shelved
+def redact(docs: DataFrame) -> DataFrame:
+    """``docs`` with secrets in the texts replaced and n_chars counted again; a null text or n_chars stays null, all rows stay."""
     ship(docs.sparkSession)
 
     @F.pandas_udf("string")
@@ -218,4 +219,5 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
         for texts in batches:
             yield pd.Series([x and redacted(x, all_spans(x)[1]) for x in texts], dtype=object)
 
-    return docs.withColumn(text, cleaned(text))
+    changed = F.when(F.col("n_chars").isNotNull(), F.char_length("text").cast("bigint"))
+    return docs.withColumn("text", cleaned("text")).withColumn("n_chars", changed)

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import pick, pin, ship
+from tidemill.llm.common import pick, pin, shelved, ship
 from tidemill.llm.components import components, local_roots
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
@@ -160,6 +160,7 @@ def with_component(rows: DataFrame) -> DataFrame:
     return rows.join(found.join(roots, "root").select("fp", "component_id"), "fp")
 
 
+@shelved
 def keep_first(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each component: the smallest doc_id's, nulls last, ties by content.
 
@@ -167,14 +168,14 @@ def keep_first(docs: DataFrame) -> DataFrame:
     rows aren't shuffled for it.
     """
     names = docs.columns
-    digest = F.xxhash64(*(F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in names))
+    digest = F.xxhash64(*(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("~")) for c in names))
     marked = docs.withColumn("_digest", digest)
     rows = pin(fingerprints(marked, "doc_id", "_digest"))
     tops = representatives(rows)
     same = (marked["_digest"] == tops["_top"]) & marked["doc_id"].eqNullSafe(tops["_id"])
-    kept = marked.join(tops, same).select(*(marked[c] for c in marked.columns), "_n")
-    once = kept.where("_n = 1").select(*names)
-    twice = kept.where("_n > 1").dropDuplicates(["_digest"]).select(*names)
+    kept = marked.join(tops, same).select(*(marked[f"`{c}`"] for c in marked.columns), "_n")
+    once = kept.where("_n = 1").select(*(f"`{c}`" for c in names))
+    twice = kept.where("_n > 1").dropDuplicates(["_digest"]).select(*(f"`{c}`" for c in names))
     return once.unionByName(twice)
 
 
