@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
-_MODULES = ("relational", "aggregates", "windows")
+_MODULES = ("relational", "aggregates", "windows", "scalars")
 
 
 class Tables:
