@@ -1,11 +1,16 @@
 """Pairing of records, sections and names."""
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+from pyspark.sql.window import Window
+
+from tidemill.functions.text import same_but_for_signs
 
 
 def section_partition(counts: DataFrame, key: str, value: str, pairs: Sequence[tuple[str, str]]) -> DataFrame:
@@ -17,3 +22,124 @@ def section_partition(counts: DataFrame, key: str, value: str, pairs: Sequence[t
     used = plan.join(whole.select("part"), "part").select(F.col("section").alias(key))
     rest = counts.join(used, key, "left_anti").select(F.col(key).alias("part"), value)
     return whole.unionByName(rest)
+
+
+def name_matched(old: DataFrame, new: DataFrame, key: str, name: str) -> DataFrame:
+    """Records of two sets paired one to one in passes: equal key (1.0), equal name (0.9), contained name (0.85); the rest alone.
+
+    Each pass joins what the passes before it left. Among equal names the n-th of one side goes with the
+    n-th of the other, by key. A contained name (over 8 characters) pairs the first of each side that is
+    free, by key; rows: old_key, new_key, how, confidence (0 for rest).
+    """
+    a = old.select(F.col(key).alias("old_key"), F.lower(F.trim(name)).alias("n"))
+    b = new.select(F.col(key).alias("new_key"), F.lower(F.trim(name)).alias("n"))
+    by_key = a.join(b.drop("n"), F.col("old_key") == F.col("new_key")).select("old_key", "new_key")
+    a, b = a.join(by_key, "old_key", "left_anti"), b.join(by_key, "new_key", "left_anti")
+    nth = lambda k: F.row_number().over(Window.partitionBy("n").orderBy(k))
+    by_name = a.withColumn("i", nth("old_key")).join(b.withColumn("i", nth("new_key")), ["n", "i"]).where("n <> ''").select("old_key", "new_key")
+    a, b = a.join(by_name, "old_key", "left_anti"), b.join(by_name, "new_key", "left_anti")
+    # Containment needs a shared word, so pairs come from an equi-join on words.
+    words = lambda df, k: df.where(F.length("n") > 8).select(k, "n", F.explode(F.array_distinct(F.split("n", r"\W+"))).alias("w")).where("w <> ''")
+    pairs = words(a, "old_key").join(words(b, "new_key").withColumnRenamed("n", "m"), "w").where(F.col("n").contains(F.col("m")) | F.col("m").contains(F.col("n"))).select("old_key", "new_key").distinct()
+    first_new = pairs.groupBy("old_key").agg(F.min("new_key").alias("new_key"))
+    part = first_new.groupBy("new_key").agg(F.min("old_key").alias("old_key")).select("old_key", "new_key")
+    a, b = a.join(part, "old_key", "left_anti"), b.join(part, "new_key", "left_anti")
+    tag = lambda df, how, sure: df.select("old_key", "new_key", F.lit(how).alias("how"), F.lit(sure).alias("confidence"))
+    out = tag(by_key, "key", 1.0).unionByName(tag(by_name, "name", 0.9)).unionByName(tag(part, "contained", 0.85))
+    out = out.unionByName(tag(a.select("old_key", F.lit(None).cast(b.schema["new_key"].dataType).alias("new_key")), "removed", 0.0))
+    return out.unionByName(tag(b.select(F.lit(None).cast(a.schema["old_key"].dataType).alias("old_key"), "new_key"), "added", 0.0))
+
+
+def dictionary_match(df: DataFrame, text: str, entries: DataFrame) -> DataFrame:
+    """``df`` with value and how for the first entry (priority, term, value) equal to the text, else contained in it or it in the entry.
+
+    The dictionary is a fixed table of rules, at most 10000 entries; more is an error.
+    """
+    limited = entries.withColumn("_n", F.count("*").over(Window.partitionBy()))
+    limited = limited.where(F.when(F.col("_n") > 10_000, F.raise_error(F.lit("more than 10000 entries")).isNull()).otherwise(True)).drop("_n")
+    low = F.lower(F.trim(text))
+    names = df.select(low.alias("_x")).distinct()
+    hit = names.join(F.broadcast(limited), (F.col("_x") == F.col("term")) | F.col("_x").contains(F.col("term")) | ((F.col("_x") != "") & F.col("term").contains(F.col("_x"))))
+    how = F.when(F.col("_x") == F.col("term"), "exact").otherwise("partial")
+    best = hit.groupBy("_x").agg(F.min_by(F.struct("value", how.alias("how")), F.struct(how.alias("h"), "priority")).alias("_b"))
+    return df.withColumn("_x", low).join(best, "_x", "left").select(*df.columns, F.col("_b.value").alias("value"), F.col("_b.how").alias("how"))
+
+
+def reference_cascade(refs: DataFrame, ref: str, candidates: Sequence[tuple[str, DataFrame, str]]) -> DataFrame:
+    """References resolved by the first step (name, table, column with the reference's text) that knows them: ref, id, step."""
+    found = None
+    for i, (step, table, column) in enumerate(candidates):
+        one = refs.select(ref).distinct().join(table.select(F.col(column).alias(ref), "id").groupBy(ref).agg(F.min("id").alias("id")), ref)
+        one = one.select(ref, "id", F.lit(i).alias("_i"), F.lit(step).alias("step"))
+        found = one if found is None else found.unionByName(one)
+    best = found.groupBy(ref).agg(F.min_by(F.struct("id", "step"), "_i").alias("_b")).select(ref, "_b.id", "_b.step")
+    return refs.join(best, ref, "left")
+
+
+def json_leaves(df: DataFrame, key: str, document: str) -> DataFrame:
+    """(key, path, value) for every leaf of a JSON text, at any depth; arrays by position."""
+
+    def leaves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for k, text in zip(batch[key], batch[document], strict=True):
+                try:
+                    stack = [("", json.loads(text))] if text is not None else []
+                except ValueError:
+                    stack = []
+                while stack:
+                    path, value = stack.pop()
+                    if isinstance(value, dict) and value:
+                        stack += [(f"{path}.{name}" if path else name, x) for name, x in value.items()]
+                    elif isinstance(value, list) and value:
+                        stack += [(f"{path}[{i}]", x) for i, x in enumerate(value)]
+                    else:
+                        rows.append((k, path, value if isinstance(value, str) else json.dumps(value)))
+            yield pd.DataFrame(rows, columns=[key, "path", "value"])
+
+    kind = df.schema[key].dataType.simpleString()
+    return df.select(key, document).mapInPandas(leaves, f"{key} {kind}, path string, value string")
+
+
+def json_diff(old: DataFrame, new: DataFrame, key: str, document: str) -> DataFrame:
+    """Leaves that were added, removed or changed, with the kind of change for texts and numbers."""
+    a = json_leaves(old, key, document).withColumnRenamed("value", "old")
+    b = json_leaves(new, key, document).withColumnRenamed("value", "new")
+    both = a.join(b, [key, "path"], "full_outer").where(~F.col("old").eqNullSafe(F.col("new")))
+    x, y = F.col("old").try_cast("double"), F.col("new").try_cast("double")
+    change = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").when(same_but_for_signs(F.col("old"), F.col("new")), "formatting")
+    change = change.when(y > x, "increase").when(y < x, "decrease").otherwise("modified")
+    return both.withColumn("change", change).withColumn("delta", y - x)
+
+
+@F.pandas_udf(StringType())
+def deep_merged(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """Two JSON texts as one: objects overlaid, arrays joined, scalars from the second."""
+
+    def merged(a: object, b: object) -> object:
+        if isinstance(a, dict) and isinstance(b, dict):
+            return {k: merged(a[k], b[k]) if k in a and k in b else b.get(k, a.get(k)) for k in [*a, *(k for k in b if k not in a)]}
+        return a + b if isinstance(a, list) and isinstance(b, list) else b
+
+    for one, two in pairs:
+        yield pd.Series([y if x is None else x if y is None else json.dumps(merged(json.loads(x), json.loads(y))) for x, y in zip(one, two, strict=True)], dtype=object)
+
+
+def words_in_boxes(words: DataFrame, boxes: DataFrame, page: Sequence[str], slack: float = 5, cell: float = 100) -> DataFrame:
+    """Words (x0, y0, x1, y1) inside boxes (bx0, by0, bx1, by1) of their page, give or take ``slack``; an equi-join on a grid."""
+    span = lambda low, high: F.sequence(F.floor((F.col(low) - slack) / cell), F.floor((F.col(high) + slack) / cell))
+    gridded = boxes.withColumn("_gx", F.explode(span("bx0", "bx1"))).withColumn("_gy", F.explode(span("by0", "by1")))
+    at = words.withColumn("_gx", F.floor(F.col("x0") / cell)).withColumn("_gy", F.floor(F.col("y0") / cell))
+    inside = (F.col("x0") >= F.col("bx0") - slack) & (F.col("y0") >= F.col("by0") - slack) & (F.col("x1") <= F.col("bx1") + slack) & (F.col("y1") <= F.col("by1") + slack)
+    return at.join(gridded, [*page, "_gx", "_gy"]).where(inside).drop("_gx", "_gy")
+
+
+def split_words(df: DataFrame, text: str) -> DataFrame:
+    """A run of several words with one box as words with boxes in proportion to their characters."""
+    parts = F.filter(F.split(text, " "), lambda w: w != "")
+    out = df.select("*", F.posexplode(parts).alias("i", "word")).withColumn("_p", parts)
+    total = F.aggregate("_p", F.lit(0), lambda s, w: s + F.length(w)) + F.size("_p") - 1
+    before = F.aggregate(F.slice("_p", F.lit(1), F.col("i")), F.lit(0), lambda s, w: s + F.length(w) + 1)
+    wide = (F.col("x1") - F.col("x0")) / total
+    left = F.col("x0") + wide * before
+    return out.withColumn("_l", left).withColumn("_r", left + wide * F.length("word")).withColumn("x0", F.col("_l")).withColumn("x1", F.col("_r")).drop("_l", "_r", "_p")
