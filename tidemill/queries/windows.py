@@ -97,8 +97,8 @@ def _(t: Tables) -> DataFrame:
     return nested.select("l_orderkey", F.posexplode("items").alias("i", "x")).select("l_orderkey", F.concat(F.lit("cov_"), F.col("i").cast("string")).alias("id"), "x.l_partkey")
 
 
-@query("e3_merged_intervals", """WITH a AS (SELECT user_id, event_id // 100 AS s, event_id // 100 + floor(value)::BIGINT % 4 AS e FROM events), b AS (SELECT *, CASE WHEN max(e) OVER (PARTITION BY user_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 >= s THEN 0 ELSE 1 END AS c FROM a),
-p AS (SELECT *, sum(c) OVER (PARTITION BY user_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS part FROM b)
+@query("e3_merged_intervals", """WITH a AS (SELECT event_id, user_id, event_id // 100 AS s, event_id // 100 + floor(value)::BIGINT % 4 AS e FROM events), b AS (SELECT *, CASE WHEN max(e) OVER (PARTITION BY user_id ORDER BY s, e, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 >= s THEN 0 ELSE 1 END AS c FROM a),
+p AS (SELECT *, sum(c) OVER (PARTITION BY user_id ORDER BY s, e, event_id ROWS UNBOUNDED PRECEDING) AS part FROM b)
 SELECT user_id, part::BIGINT AS part, min(s) AS s, max(e) AS e, count(*) AS n FROM p GROUP BY 1, 2""")
 def _(t: Tables) -> DataFrame:
     start = F.floor(F.col("event_id") / 100)
