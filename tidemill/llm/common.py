@@ -1,7 +1,6 @@
 """Helpers shared by the training-data operators."""
 from __future__ import annotations
 
-import os
 import tempfile
 from collections.abc import Callable
 from functools import wraps
@@ -9,6 +8,8 @@ from functools import wraps
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemill.session import ship as ship
+
 
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """The first columns of ``df`` with exactly these names, and nothing else.
@@ -21,17 +22,6 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return plain.select(*(plain[f"_p{i}"].alias(name) for i, name in zip(at, names)))
 
 
-def ship(spark: SparkSession) -> None:
-    """Let Python workers of a local or shared-folder deployment import this package.
-
-    On other clusters the package is passed with ``--py-files`` as usual.
-    """
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    known = spark.sparkContext.environment.get("PYTHONPATH", "")
-    if root not in known.split(os.pathsep):
-        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, known]))
-
-
 def pin(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder, its lineage cut.
 
