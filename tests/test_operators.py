@@ -37,7 +37,8 @@ def test_text_functions(spark):
     assert one(spark, X.overlap_tail(c("a"), 8), a="One two three. Four five six. Seven.") == "Four five six. Seven."
     assert one(spark, X.intent(c("a")), a="Compare and explain why")["intent"] == "ANALYSIS"
     assert one(spark, X.intent(c("a")), a="hello there")["intent"] == "GENERAL"
-    assert one(spark, X.intent(c("a")), a="zzz")["score"] == 0
+    assert one(spark, X.intent(c("a")), a="zzz")["confidence"] == 0.5
+    assert one(spark, X.intent(c("a")), a=None)["confidence"] == 0.0
     assert one(spark, X.longest_only(F.array(c("a"), c("b"))), a="auto", b="hired auto") == ["hired auto"]
     assert one(spark, X.without_fences(c("a")), a="```json\n{}\n```") == "{}"
 

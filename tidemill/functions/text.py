@@ -202,28 +202,54 @@ def without_fences(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.trim(text), r"^```[a-zA-Z]*\s*", ""), r"\s*```$", ""))
 
 
-#: Words of a question and the intent they tell of.
+#: Patterns of a question in lower case, by the intent they tell of.
 INTENTS = {
-    "GENERAL": (r"\bhello\b", r"\bhi\b", r"\bhey\b", r"\bhelp\b"),
-    "QA": (r"\bwhat\s+is\b", r"\bwho\s+is\b", r"\bhow\s+much\b", r"\bshow\s+me\b", r"\blist\b", r"\bfind\b", r"\btell\s+me\b", r"\bpremium\b", r"\blimit\b", r"\bdeductible\b"),
-    "ANALYSIS": (r"\bcompare\b", r"\bdifference\s+between\b", r"\bsimilar\b", r"\brelationship\b", r"\bimpact\b", r"\bwhy\b", r"\bexplain\b", r"\banalyze\b", r"\bsummarize\b"),
-    "AUDIT": (r"\bprovenance\b", r"\bevidence\b", r"\bsource\b", r"\btrace\b", r"\bhistory\b", r"\borigin\b", r"\bchanges\b", r"\bversion\b"),
+    "GENERAL": (
+        r"\bhello\b", r"\bhi\b", r"\bhey\b", r"\bgood\s+morning\b", r"\bgood\s+afternoon\b", r"\bgood\s+evening\b", r"\bhow\s+can\s+you\s+help\b",
+        r"\bwhat\s+(can|do|does)\s+you\s+(do|help)\b", r"\bwhat\s+is\s+your\s+purpose\b", r"\bwho\s+are\s+you\b", r"\bwhat\s+are\s+you\b",
+        r"\byour\s+capabilities\b", r"\bhow\s+do\s+you\s+work\b", r"\bhelp\b",
+    ),
+    "QA": (
+        r"\bwhat\s+is\b", r"\bwho\s+is\b", r"\bwhen\s+(was|is|does)\b", r"\bwhere\s+is\b", r"\bhow\s+much\b", r"\bshow\s+me\b", r"\blist\b", r"\bget\b",
+        r"\bfind\b", r"\btell\s+me\b", r"\bpolicy\s+number\b", r"\beffective\s+date\b", r"\bexpiration\s+date\b", r"\bcarrier\b", r"\binsured\b",
+        r"\bpremium\b", r"\blimit\b", r"\bdeductible\b",
+    ),
+    "ANALYSIS": (
+        r"\bcompare\b", r"\bdifference\s+between\b", r"\bsimilar\b", r"\brelationship\b", r"\bconnect(ed|ion)?\b", r"\bimpact\b", r"\baffect\b",
+        r"\bmodified\s+by\b", r"\bendorsement\b", r"\bexclusion\b", r"\bsubject\s+to\b", r"\bcondition\b", r"\bwhy\b", r"\bexplain\b", r"\banalyze\b",
+        r"\bsummarize\b", r"\boverview\b", r"\bdiffer\b",
+    ),
+    "AUDIT": (
+        r"\bprovenance\b", r"\bevidence\b", r"\bsource\b", r"\btrace\b", r"\bhistory\b", r"\borigin\b", r"\bchain\b",
+        r"\bwhere\s+(did|does)\s+.+\s+come\s+from\b", r"\bwho\s+(created|modified|added)\b", r"\bwhen\s+(was\s+.+\s+(created|modified|added))\b",
+        r"\bchanges\b", r"\bmodification\b", r"\baudit\s+trail\b", r"\bversion\b", r"\bshow\s+.+\s+changes\b",
+    ),
 }
+#: Weight of a pattern by intent, and the least confidence of QA and of the others.
+INTENT_WEIGHTS, LEAST_QA, LEAST_OTHER = {"QA": 1.0, "ANALYSIS": 1.5, "AUDIT": 2.0}, 0.6, 0.35
 
 
-def intent(text: Column, weights: dict[str, float] | None = None) -> Column:
-    """Struct of intent and score: counts of patterns weighed 1 (QA), 1.5 (ANALYSIS) and 2 (AUDIT).
+def intent(text: Column) -> Column:
+    """Struct of intent and confidence.
 
-    A greeting without any other sign is GENERAL; nothing at all is QA with score 0.
+    A greeting and nothing else is GENERAL (1). Otherwise the intent with the largest share of the weighed
+    pattern counts; QA wins its ties, and ANALYSIS those with AUDIT. Confidence is that share, at most 0.85
+    with two patterns or more, plus 0.05 for each further pattern of the intent up to 0.2. QA has at least
+    ``LEAST_QA``; the others fall back to QA (0.5) below ``LEAST_OTHER``. No pattern: QA (0.5); no text: QA (0).
     """
-    weights = weights or {"QA": 1.0, "ANALYSIS": 1.5, "AUDIT": 2.0}
     low = F.lower(text)
-    scored = F.array(*(
-        F.struct((pattern_count(low, INTENTS[k]) * F.lit(w)).alias("score"), F.lit(-i).alias("at"), F.lit(k).alias("intent")) for i, (k, w) in enumerate(weights.items())
-    ))
-    best = F.array_max(scored)
-    hello = pattern_count(low, INTENTS["GENERAL"])
-    return F.struct(
-        F.when((best["score"] == 0) & (hello > 0), "GENERAL").otherwise(best["intent"]).alias("intent"),
-        F.when((best["score"] == 0) & (hello > 0), hello.cast("double")).otherwise(best["score"]).alias("score"),
-    )
+    n = {k: pattern_count(low, patterns) for k, patterns in INTENTS.items()}
+    counts = F.array(*(n[k] for k in INTENT_WEIGHTS))
+    weighed = F.zip_with(counts, F.array(*map(F.lit, INTENT_WEIGHTS.values())), lambda c, w: c * w)
+    total = F.aggregate(weighed, F.lit(0.0), lambda a, b: a + b)
+    qa, analysis, audit = (F.get(weighed, F.lit(i)) for i in range(3))
+    at = F.when((audit > analysis) & (audit > qa), 2).when(analysis > qa, 1).otherwise(0)
+    share = F.try_divide(F.get(weighed, at), total)
+    patterns = F.aggregate(counts, F.lit(0), lambda a, b: a + b)
+    own = F.get(counts, at)
+    sure = F.when(patterns >= 2, F.least(F.lit(0.85), share)).otherwise(share)
+    sure = F.when(own >= 2, F.least(F.lit(1.0), sure + F.least(F.lit(0.2), (own - 1) * F.lit(0.05)))).otherwise(sure)
+    row = lambda name, confidence: F.struct(F.lit(name).alias("intent"), confidence.alias("confidence"))
+    out = F.when(F.coalesce(F.trim(text), F.lit("")) == "", row("QA", F.lit(0.0))).when((n["GENERAL"] > 0) & (total == 0), row("GENERAL", F.lit(1.0)))
+    out = out.when(total == 0, row("QA", F.lit(0.5))).when(at == 0, row("QA", F.greatest(sure, F.lit(LEAST_QA))))
+    return out.when(sure < LEAST_OTHER, row("QA", F.lit(0.5))).when(at == 1, row("ANALYSIS", sure)).otherwise(row("AUDIT", sure))
