@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from tidemill.llm.common import pick, ship
 
 #: Pieces that a worker remembers, and the longest piece, in characters, that it remembers.
-CACHE_PIECES, CACHE_CHARS = 300_000, 48
+CACHE_PIECES, CACHE_CHARS = 220_000, 48
 #: Pieces of one text that are handled at once.
 STRETCH = 1 << 16
 

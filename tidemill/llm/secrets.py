@@ -97,7 +97,7 @@ def _chi_normal(x: float, df: float) -> float:
     return ((x / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df))
 
 
-@lru_cache(maxsize=1 << 16)
+@lru_cache(maxsize=1 << 12)
 def battery(token: str) -> tuple[float, float] | None:
     """p-value under "random" and p-value under "ordinary"; None if no encoding fits."""
     token = token.rstrip("=")

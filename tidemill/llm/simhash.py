@@ -34,7 +34,7 @@ from tidemill.llm.components import components, local_roots
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 #: Distinct fingerprints, on average, whose own cell is the same; and variants that a task sorts at once.
-CELL, AT_ONCE = 1500, 4_000_000
+CELL, AT_ONCE = 1500, 1_000_000
 
 
 def fingerprint(text: str | None) -> int:
