@@ -5,7 +5,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import pin
+from tidemill.llm.common import pin, width
+
+EDGES = 100_000
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -14,7 +16,7 @@ def components(edges: DataFrame) -> DataFrame:
     Alternates two star operations until nothing changes: every node passes its smallest neighbour
     on to its larger neighbours (large star), then to its smaller ones (small star). A node with very
     many edges is aggregated map-side to its minimum and joined back by a join that Spark may split;
-    edges are written down after each round.
+    edges are written down after each round, about ``EDGES`` to a file.
     """
     now = pin(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     state = None
@@ -30,7 +32,8 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        now = pin(small.where("u <> v").distinct())
+        files = min(width(edges.sparkSession), mark[0] // EDGES + 1)
+        now = pin(small.where("u <> v").distinct().coalesce(files))
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     )
