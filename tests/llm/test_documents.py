@@ -147,6 +147,28 @@ def test_random_spans_find_keys_and_leave_words():
         assert not secrets.random_spans(word, []), word
 
 
+def test_random_spans_find_keys_after_names_and_in_paths():
+    r = random.Random(21)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    forms = ("AWS_SECRET_ACCESS_KEY={}", "SIGNING_KEY={}==", "https://x.org/a?sig={}&n=1", "export_dir/my-app_v2/{}", "a=b={}", "/srv/app_keys/{}/read-me", "x={}=y")
+    for form in forms:
+        keys = ["".join(r.choice(letters) for _ in range(48)) for _ in range(100)]
+        found = 0
+        for key in keys:
+            text = f"see {form.format(key)} here"
+            at = text.index(key)
+            found += any(s <= at and e >= at + len(key) for s, e, _ in secrets.all_spans(text)[1])
+        assert found >= 95, (form, found)
+    for key in ("".join(r.choice(letters + "+/") for _ in range(64)) for _ in range(100)):
+        text = f"AWS_SECRET_ACCESS_KEY={key}"
+        assert secrets.redacted(text, secrets.all_spans(text)[1]) == "AWS_SECRET_ACCESS_KEY=[SECRET]", key
+    # A hexadecimal base span before a key in one path does not hide the key.
+    text = "/deadbeefdeadbeefdeadbeef/q8ZtR2mWx5LpV9sKdY3hJ7cNf4Gb6TnQ1aUe0Rk"
+    assert [k for *_, k in secrets.all_spans(text)[1]] == ["hex", "random"]
+    for text in ("MAX_NAME=internationalization_of_words_2", "docs_v2/getting-started/how-to_install-version-2", "=" * 40, "x" * 19 + "=" * 5):
+        assert not secrets.random_spans(text, []), text
+
+
 def test_redaction_keeps_rows_and_other_text(docs, rows):
     out = secrets.redact(docs)
     assert out.columns == docs.columns

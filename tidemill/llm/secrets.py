@@ -3,10 +3,13 @@
 Base spans come from three patterns, each matched leftmost and without overlaps over the whole
 text; matches that are too short are dropped after they have consumed their characters.
 
-The method adds spans of kind ``random``. A candidate is a maximal run of letters, digits and
-``+ / _ = -`` of 20 characters or more that overlaps no base span. Its encoding is inferred as the
-smallest alphabet that holds all its characters (padding aside): hexadecimal, base 32, base 62 or
-base 64 of either kind. Three tests follow on the characters' places in that alphabet:
+The method adds spans of kind ``random``. A part is a maximal run of letters, digits and ``+ / _ -``
+of 20 characters or more, with the ``=`` that pad it at the end of a token; any other ``=`` cuts, as
+in NAME=key. Candidates are the part and what is left of it when it is cut at ``- _``, at ``+ /`` or
+at all four (keys in paths and after prefixes), each of 20 characters or more, overlapping no base
+span and held by one alphabet. That is the smallest that holds all its characters (padding aside):
+hexadecimal, base 32, base 62 or base 64 of either kind. Three tests follow on the characters'
+places in that alphabet:
 
 * chi-squared for uniformity, over up to 16 equal classes of the alphabet (fewer when short);
 * the number of runs above and below the middle of the alphabet (Wald and Wolfowitz);
@@ -17,10 +20,12 @@ combination rejects at ``LEAST_RANDOM`` is structured and stays out. What remain
 "ordinary": an ordinary token of n characters departs from uniformity by ``ORDINARY`` chi-squared
 units for each character, so its statistic is noncentral with noncentrality n * ORDINARY, and its
 p-value is the chance of a statistic as low as the one observed. Short candidates cannot reach small
-p-values, so length counts by itself. All runs of at least 20 characters in a document form one
-family, held at a false-discovery rate of ``FALSE_DISCOVERY`` by the weighted procedure of Benjamini
-and Hochberg, with weights in proportion to length and mean one. A candidate also needs a letter and
-a digit, as words and numbers are no keys.
+p-values, so length counts by itself. The p-value of a candidate is multiplied by the number of its
+part's candidates. A part stands for its longest candidates at ``FALSE_DISCOVERY`` or less that do not
+overlap, or else for its best one. All of these in a document form one family, held at a
+false-discovery rate of ``FALSE_DISCOVERY`` by the weighted procedure of Benjamini and Hochberg, with
+weights in proportion to length and mean one. A candidate also needs a letter and a digit, as words
+and numbers are no keys.
 
 Rows are independent: one pass, no shuffle. A null or empty text has no spans. Repeated rows each
 give a row; other columns are ignored or passed along on request.
@@ -51,7 +56,9 @@ _ASSIGN = re.compile(rf"""({_ANY_CASE})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 #: The same spans as all runs of these characters, short ones dropped.
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+_PART = re.compile(r"[A-Za-z0-9+/_-]{20,}(?:=+(?![A-Za-z0-9+/_=-]))?")
+#: What is left of a part, whole or cut; padding stays with the last piece.
+_CUTS = tuple(re.compile(rf"[A-Za-z0-9{inner}]{{20,}}=*") for inner in ("+/_-", "+/", "_-", ""))
 _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 _ALPHABETS = {
@@ -147,17 +154,29 @@ def _mixed(token: str) -> bool:
     return any(c.isdigit() for c in token) and any(c.isalpha() for c in token)
 
 
+def _stand_for(text: str, start: int, end: int, taken: list[tuple[int, int]]) -> list[tuple[float, int, int, int]]:
+    """(p-value, length, start, end) of the candidates that stand for a part; none if base spans leave no candidate."""
+    apart = lambda at, to, others: not any(s < to and e > at for s, e in others)
+    spans = {m.span() for cut in _CUTS for m in cut.finditer(text, start, end)}
+    spans = [s for s in spans if apart(*s, taken)]
+    tested = []
+    for at, to in spans:
+        token = text[at:to]
+        tests = battery(token) if _mixed(token) else None
+        fit = tests is not None and tests[0] >= LEAST_RANDOM
+        tested.append((min(1.0, tests[1] * len(spans)) if fit else 1.0, to - at, at, to))
+    found = []
+    for one in sorted(tested, key=lambda c: (-c[1], c[2])):
+        if one[0] <= FALSE_DISCOVERY and apart(*one[2:], [c[2:] for c in found]):
+            found.append(one)
+    return found or sorted(tested, key=lambda c: (c[0], -c[1], c[2]))[:1]
+
+
 def random_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """Spans that the battery adds to ``base`` (sorted by start)."""
     family = []
-    for m in _CANDIDATE.finditer(text):
-        start, end = m.span()
-        if any(s < end and e > start for s, e, _ in base):
-            continue
-        token = m.group()
-        tests = battery(token) if _mixed(token) else None
-        fit = tests is not None and tests[0] >= LEAST_RANDOM
-        family.append((tests[1] if fit else 1.0, end - start, start, end))
+    for m in _PART.finditer(text):
+        family += _stand_for(text, *m.span(), [s[:2] for s in base if s[0] < m.end() and s[1] > m.start()])
     if not family:
         return []
     mean = sum(f[1] for f in family) / len(family)
