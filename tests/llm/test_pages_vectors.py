@@ -171,6 +171,29 @@ def test_vectors_by_brute_force(spark, monkeypatch):
     assert embeddings.near_vectors(spark.createDataFrame([], VECTORS)).collect() == []
 
 
+def test_vectors_by_brute_force_through_tables(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "FEW", 4)
+    test_vectors_by_brute_force(spark, monkeypatch)
+
+
+def test_vectors_of_seventy_lengths(spark, monkeypatch):
+    rng = np.random.default_rng(31)
+    rows = []
+    for d in range(2, 72):
+        for label in (1, 2):
+            x = rng.standard_normal(d)
+            rows += [(len(rows) + i, [float(v) for v in x * (i + 1) + rng.standard_normal(d) * 1e-3], label, "m", 1, 2) for i in range(2)]
+    frame = spark.createDataFrame(rows, VECTORS)
+    assert [r["n_links"] for r in embeddings.near_vectors(frame).collect()] == [1] * len(rows)
+    # Lengths with few classes beside one with many, which is searched by tables.
+    monkeypatch.setattr(embeddings, "FEW", 4)
+    x = rng.standard_normal((6, 80))
+    more = [(1000 + i, [float(v) for v in x[i % 6] * (1 + i // 6)], 1, "m", 1, 2) for i in range(12)]
+    out = {r["vec_id"]: r for r in embeddings.near_vectors(spark.createDataFrame(rows + more, VECTORS)).collect()}
+    assert all(out[i]["n_links"] == 1 for i in out)
+    assert all(out[1000 + i]["component_id"] == 1000 + i % 6 for i in range(12))
+
+
 def test_vector_recall_at_the_threshold():
     rng = np.random.default_rng(5)
     x = rng.standard_normal((2000, 64))

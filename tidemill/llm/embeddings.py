@@ -15,6 +15,9 @@ Vectors with the same label link when their cosine, in double precision, is ``LE
    links and one root for each class, not pairs.
 5. Components follow from the roots; counts add up.
 
+Steps 2 to 4 are taken for each length of more than ``FEW`` classes. All shorter groups of one length are
+compared exactly, a task for each length, so their number doesn't matter and no rotations are learned.
+
 All vectors are indexed; only the sample for the rotations is bounded. Recall is that of meeting in
 one of ROTATIONS * 4 tables: 0.96 at a cosine of exactly 0.93 for random rotations, over 0.99 from
 0.95; tests measure it against brute force. No pair below the threshold is ever linked.
@@ -35,7 +38,7 @@ from pyspark.sql import functions as F
 from tidemill.llm.common import pick, pin, ship, unit, width
 from tidemill.llm.components import components, local_roots
 
-LEAST, SAMPLE, ROTATIONS, SEGMENT, BLOCK, CELL, SEED = 0.93, 4096, 6, 16, 2048, 20_000, 3
+LEAST, SAMPLE, ROTATIONS, SEGMENT, BLOCK, CELL, FEW, SEED = 0.93, 4096, 6, 16, 2048, 20_000, 1024, 3
 
 
 def learn_rotations(x: np.ndarray, bits: int = 64, rotations: int = ROTATIONS, rounds: int = 30, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
@@ -148,12 +151,12 @@ def near_vectors(vectors: DataFrame, least: float = LEAST) -> DataFrame:
         F.min("vec_id").alias("first"), F.count("*").alias("n"), F.first("label").alias("label"), F.first("embedding").alias("embedding")
     )
     groups = pin(groups.select("*", F.xxhash64("mark").alias("cls")))
-    lengths = groups.groupBy(F.size("embedding").alias("d")).count().orderBy("d").limit(64).collect()
-    found = [_links_of_length(groups.where(F.size("embedding") == r["d"]), least) for r in lengths]
-    schema = "cls bigint, links bigint, root bigint"
-    links = found[0] if found else spark.createDataFrame([], schema)
-    for more in found[1:]:
-        links = links.unionByName(more)
+    groups = groups.withColumn("d", F.size("embedding"))
+    sizes = groups.groupBy("d").agg(F.count("*").alias("m"))
+    many = [r["d"] for r in sizes.where(F.col("m") > FEW).orderBy("d").collect()]
+    links = _links_of_few(groups.where(~F.col("d").isin(many)), least)
+    for d in many:
+        links = links.unionByName(_links_of_length(groups.where(F.col("d") == d), least))
     links = pin(links)
     counts = links.groupBy("cls").agg(F.sum("links").alias("links"))
     roots = components(links.select(F.col("cls").alias("u"), F.col("root").alias("v")))
@@ -169,6 +172,16 @@ def near_vectors(vectors: DataFrame, least: float = LEAST) -> DataFrame:
     )
 
 
+def _links_of_few(groups: DataFrame, least: float) -> DataFrame:
+    """cls, links and root for the classes that have links, where no length has more than ``FEW`` classes: each label as one key."""
+
+    def compared(meet: pd.DataFrame) -> pd.DataFrame:
+        same = {"t": 0, "key": 0, "i": 0, "j": 0, "block": 0, "code": bytes(2)}
+        return _cell_links(meet.assign(**same), least)
+
+    return groups.select("d", "cls", "label", "n", "embedding").groupBy("d").applyInPandas(compared, "cls bigint, links bigint, root bigint")
+
+
 def _links_of_length(groups: DataFrame, least: float) -> DataFrame:
     """cls, links and root, once for each block in which a class has links."""
     spark = groups.sparkSession
