@@ -186,6 +186,18 @@ def test_language_of_held_out_documents(spark):
     assert all(0 <= x["score"] <= 1 for x in out)
 
 
+def test_more_than_sixty_four_languages(spark):
+    r = random.Random(12)
+    rows = []
+    for k in range(70):
+        words = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(3, 9))) for _ in range(30)]
+        rows += [(len(rows) + i, " ".join(r.choice(words) for _ in range(80)), f"l{k:02}") for i in range(10 if k else 14)]
+    out = langid.identify(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()
+    lang = {i: g for i, _, g in rows}
+    assert sum(x["lang_pred"] == lang[x["doc_id"]] for x in out) >= 0.99 * len(rows)
+    assert {x["lang_pred"] for x in out} == set(lang.values())
+
+
 def test_language_cases(docs, none, rows):
     out = langid.identify(docs).collect()
     assert len(out) == len(rows)

@@ -6,8 +6,10 @@ among families one against the rest, and among the languages of a family one aga
 ties by summed margins. Prediction is one table lookup for each byte and a mean for each text.
 
 The machines learn on a bounded sample: at most ``SAMPLE`` documents of each language, those with the
-smallest seeded hashes of doc_id, chosen by rank among a prefiltered share. Everything else covers
-all rows. Learning rows are those whose crc32(doc_id as text) mod 3 is not 1 and whose lang and text
+smallest seeded hashes of doc_id, chosen by rank among a prefiltered share. Every lang value that occurs
+is learned; beyond ``LANGUAGES`` of them the sample of each shrinks in proportion, down to ``LEAST_SAMPLE``
+documents. Samples are held sparse and made dense ``ROWS`` at a time, and machines against the rest are
+learned ``ABREAST`` at a time. Everything else covers all rows. Learning rows are those whose crc32(doc_id as text) mod 3 is not 1 and whose lang and text
 are not null. lang, source and doc_id are never inputs of a prediction.
 
 A text that is null or has no letter gets ``und`` with score 0. If nothing can be learned from, all
@@ -26,7 +28,7 @@ from pyspark.sql.window import Window
 
 from tidemill.llm.common import pick, shelved, ship, unit
 
-BUCKETS, SAMPLE, LANGUAGES, SEED = 1 << 13, 300, 64, 11
+BUCKETS, SAMPLE, LANGUAGES, LEAST_SAMPLE, ROWS, ABREAST, SEED = 1 << 13, 300, 64, 30, 2048, 128, 11
 #: Families by ISO 639-1 code; other codes are families of their own.
 FAMILIES = {
     "germanic": ("en", "de", "nl", "sv", "da", "no", "nb", "nn", "is", "af"),
@@ -72,34 +74,86 @@ def _machine(x: np.ndarray, y: np.ndarray, steps: int = 150, cost: float = 20.0)
     return w, b
 
 
+class Sample:
+    """Sparse rows of features, standardised and dense by the block."""
+
+    def __init__(self, cells_of: list[np.ndarray], shares: list[np.ndarray]) -> None:
+        self.cells, self.shares = cells_of, shares
+        n = max(1, len(cells_of))
+        total, squares = np.zeros(BUCKETS), np.zeros(BUCKETS)
+        for i, v in zip(cells_of, shares, strict=True):
+            total[i] += v
+        self.middle = total / n
+        for i, v in zip(cells_of, shares, strict=True):
+            squares[i] += (v - self.middle[i]) ** 2 - self.middle[i] ** 2
+        self.spread = np.sqrt(np.maximum(0, squares + n * self.middle**2) / n) + 0.2 / BUCKETS
+
+    def rows(self, at: np.ndarray) -> np.ndarray:
+        x = np.zeros((len(at), BUCKETS))
+        for row, k in enumerate(at):
+            x[row, self.cells[k]] = self.shares[k]
+        x -= self.middle
+        x /= self.spread * np.sqrt(BUCKETS)
+        return x
+
+
+def _against_rest(sample: Sample, kin: np.ndarray, steps: int = 150, cost: float = 20.0) -> tuple[np.ndarray, np.ndarray]:
+    """Machines of the classes 0 to n - 1 of the rows (-1: none of them) against all others, as ``_machine`` learns each, side by side."""
+    n, count = int(kin.max()) + 1, len(kin)
+    mine = np.bincount(kin[kin >= 0], minlength=n)
+    inside, outside = 0.5 / np.maximum(1, mine), 0.5 / np.maximum(1, count - mine)
+    parts = [np.arange(at, min(count, at + ROWS)) for at in range(0, count, ROWS)]
+    kept = sample.rows(parts[0]) if len(parts) == 1 else None
+    norm = np.zeros(n)
+    for part in parts:
+        z = sample.rows(part) if kept is None else kept
+        norm += np.where(kin[part, None] == np.arange(n), inside, outside).T @ np.einsum("ij,ij->i", z, z)
+    pace = 1.0 / (1.0 + 2 * cost * (norm + 1))
+    w, b, vw, vb = np.zeros((BUCKETS, n)), np.zeros(n), np.zeros((BUCKETS, n)), np.zeros(n)
+    for _ in range(steps):
+        look_w, look_b = w + 0.9 * vw, b + 0.9 * vb
+        pull, push = np.zeros((BUCKETS, n)), np.zeros(n)
+        for part in parts:
+            z = sample.rows(part) if kept is None else kept
+            own = kin[part, None] == np.arange(n)
+            y = np.where(own, 1.0, -1.0)
+            short = np.maximum(0, 1 - y * (z @ look_w + look_b)) * y * np.where(own, inside, outside)
+            pull += z.T @ short
+            push += short.sum(axis=0)
+        vw = 0.9 * vw - pace * (look_w - 2 * cost * pull)
+        vb = 0.9 * vb + pace * 2 * cost * push
+        w, b = w + vw, b + vb
+    return w, b
+
+
 class Model:
     """Machines over one table of weights, a column for each machine."""
 
-    def __init__(self, x: np.ndarray, langs: list[str]) -> None:
+    def __init__(self, sample: Sample, langs: list[str]) -> None:
         self.langs = sorted(set(langs))
         family = {lang: _FAMILY.get(lang, lang) for lang in self.langs}
         self.families = sorted(set(family.values()))
         self.members = {f: [g for g in self.langs if family[g] == f] for f in self.families}
         lang = np.array(langs, dtype=object)
-        spread = x.std(axis=0) + 0.2 / BUCKETS
-        middle = x.mean(axis=0)
-        z = (x - middle) / spread / np.sqrt(x.shape[1])
-        plans = []
-        if len(self.families) > 1:
-            kin = np.array([family[g] for g in langs], dtype=object)
-            plans += [(("family", f), z, np.where(kin == f, 1.0, -1.0)) for f in self.families]
-        for f in self.families:
-            for one, two in combinations(self.members[f], 2):
-                mine = (lang == one) | (lang == two)
-                plans.append(((one, two), z[mine], np.where(lang[mine] == one, 1.0, -1.0)))
-        self.index = {key: i for i, (key, _, _) in enumerate(plans)}
-        self.table = np.zeros((BUCKETS, len(plans)), np.float32)
-        self.bias = np.zeros(len(plans))
-        for i, (_, rows, y) in enumerate(plans):
-            w, b = _machine(rows, y)
-            folded = w / spread / np.sqrt(x.shape[1])
-            self.table[:, i] = folded
-            self.bias[i] = b - float(middle @ folded)
+        pairs = [pair for f in self.families for pair in combinations(self.members[f], 2)]
+        several = self.families if len(self.families) > 1 else []
+        self.index = {key: i for i, key in enumerate([*(("family", f) for f in several), *pairs])}
+        self.table = np.zeros((BUCKETS, len(self.index)), np.float32)
+        self.bias = np.zeros(len(self.index))
+        scale = sample.spread * np.sqrt(BUCKETS)
+        kin = np.array([family[g] for g in langs], dtype=object)
+        for at in range(0, len(several), ABREAST):
+            place = {f: i for i, f in enumerate(several[at : at + ABREAST])}
+            w, b = _against_rest(sample, np.array([place.get(f, -1) for f in kin]))
+            folded = w / scale[:, None]
+            self.table[:, at : at + len(place)] = folded
+            self.bias[at : at + len(place)] = b - sample.middle @ folded
+        for one, two in pairs:
+            mine = np.flatnonzero((lang == one) | (lang == two))
+            w, b = _machine(sample.rows(mine), np.where(lang[mine] == one, 1.0, -1.0))
+            folded = w / scale
+            self.table[:, self.index[one, two]] = folded
+            self.bias[self.index[one, two]] = b - float(sample.middle @ folded)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """Language and score."""
@@ -143,15 +197,17 @@ def held_out(doc_id: Column) -> Column:
 
 
 def learn(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """The model from the rows that may be learned from, with at most ``LANGUAGES`` languages (the most frequent)."""
+    """The model from the rows that may be learned from, with every language that they have."""
     ship(docs.sparkSession)
     rows = pick(docs, "doc_id", "text", "lang").where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull())
     sizes = (
         rows.where(F.col("text").isNotNull()).groupBy("lang").count()
-        .orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+        .orderBy(F.desc("count"), "lang").collect()
     )
     if not sizes:
-        return Model(np.zeros((1, BUCKETS), np.float32), [])
+        return Model(Sample([], []), [])
+    if len(sizes) > LANGUAGES:
+        sample = min(sample, max(LEAST_SAMPLE, sample * LANGUAGES // len(sizes)))
     # A share of each language that holds the sample with room to spare, then the first by rank.
     share = F.create_map(*(F.lit(v) for r in sizes for v in (r["lang"], min(1.0, (1.3 * sample + 50) / r["count"]))))
     key = unit(SEED, F.col("doc_id"))
@@ -167,10 +223,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Model:
 
     found = some.select("lang", "_r", sparse("text").alias("f")).select("lang", "_r", "f.i", "f.v").toPandas()
     found = found[found["i"].map(len) > 0].sort_values(["lang", "_r"])
-    x = np.zeros((max(1, len(found)), BUCKETS), np.float32)
-    for row, (i, v) in enumerate(zip(found["i"], found["v"], strict=True)):
-        x[row, i] = v
-    return Model(x, found["lang"].tolist())
+    return Model(Sample(found["i"].tolist(), found["v"].tolist()), found["lang"].tolist())
 
 
 def predictor(docs: DataFrame, model: Model):
