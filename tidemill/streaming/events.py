@@ -11,11 +11,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def event_stream(spark: SparkSession, folder: str, files_at_once: int = 64) -> DataFrame:
-    """The table ``events`` of a folder as a stream, ts as event time."""
+def event_stream(spark: SparkSession, folder: str, files_at_once: int | None = None) -> DataFrame:
+    """The table ``events`` of a folder as a stream, ts as event time.
+
+    All files come in one batch, so that a watermark makes no row late. ``files_at_once`` is for files
+    in the order of time only, up to the watermark's delay.
+    """
     path = f"{folder}/events.parquet"
     schema = spark.read.parquet(path).schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_at_once).option("pathGlobFilter", "*.parquet").parquet(f"{path}*")
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet")
+    if files_at_once:
+        stream = stream.option("maxFilesPerTrigger", files_at_once)
+    stream = stream.parquet(f"{path}*")
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
