@@ -77,3 +77,11 @@ def test_streams_of_many_shuffled_files(name, spark, data, tmp_path):
     names = [d[0] for d in found.description]
     want = sorted(repr(tuple(plain(r[names.index(c)]) for c in columns)) for r in found.fetchall())
     assert sorted(repr(tuple(plain(r[c]) for c in columns)) for r in df.collect()) == want
+
+
+def test_distances_have_no_cap(spark, tmp_path):
+    n = 1_000_003
+    spark.range(n).selectExpr("id AS vec_id", "array(1.0f, 2.0f) AS embedding", "1 AS label").write.parquet(f"{tmp_path}/embeddings.parquet")
+    df = __spark_entry__.queries()["p6_distance_threshold"](spark, str(tmp_path))
+    assert {r["query_id"]: r["count"] for r in df.groupBy("query_id").count().collect()} == {0: n, 7: n, 20: n}
+    assert __spark_entry__.queries()["n12_cosine_distance"](spark, str(tmp_path)).count() == n

@@ -53,20 +53,26 @@ def kept_pages(df: DataFrame, key: str, page: str, tokens: str, least: float = 0
     return rows.select(key, F.col("r.p").alias(page), F.col("r.of").alias("duplicate_of"))
 
 
-def nearest_vectors(corpus: DataFrame, asked: DataFrame, k: int, most: float | None = None) -> DataFrame:
-    """query_id, vec_id, distance and rank: the k nearest by cosine distance and id for each of a few query vectors.
+def scored_vectors(corpus: DataFrame, asked: DataFrame, most: float | None = None) -> DataFrame:
+    """query_id, vec_id and distance of all vectors (up to ``most`` away) for each of a few query vectors, without a rank.
 
     ``asked`` (query_id, query) is a stated set handed in by the caller, at most ``1000`` rows; larger
-    sets go through blocks. Vectors are scored in one pass over the corpus, which is not shuffled; each
-    task passes on its k best for each query only.
+    sets go through blocks. Vectors are scored in one pass over the corpus, which is not shuffled.
     """
     asked = asked.limit(1001)
     n = F.count("*").over(Window.partitionBy())
     asked = asked.withColumn("_n", F.when(n > 1000, F.raise_error(F.lit("more than 1000 query vectors"))).otherwise(n)).where("_n > 0").drop("_n")
     scored = corpus.crossJoin(F.broadcast(asked)).select("query_id", "vec_id", cosine_distance(F.col("embedding"), F.col("query")).alias("distance"))
-    scored = scored.where(F.col("distance").isNotNull() if most is None else F.col("distance") <= most)
+    return scored.where(F.col("distance").isNotNull() if most is None else F.col("distance") <= most)
+
+
+def nearest_vectors(corpus: DataFrame, asked: DataFrame, k: int, most: float | None = None) -> DataFrame:
+    """query_id, vec_id, distance and rank: the k nearest by cosine distance and id for each of a few query vectors.
+
+    Vectors are scored as by :func:`scored_vectors`; each task passes on its k best for each query only.
+    """
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+    return scored_vectors(corpus, asked, most).withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def first_seen(hits: DataFrame, key: Sequence[str], k: int) -> DataFrame:

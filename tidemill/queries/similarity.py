@@ -13,9 +13,12 @@ _HITS = """s AS (SELECT q.vec_id AS query_id, e.vec_id, list_cosine_distance(e.e
 h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM s)"""
 
 
+def _asked(t: Tables) -> DataFrame:
+    return t.embeddings.where(F.col("vec_id").isin(*_ASKED)).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+
+
 def hits(t: Tables, k: int = 20, most: float | None = None) -> DataFrame:
-    asked = t.embeddings.where(F.col("vec_id").isin(*_ASKED)).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    return S.nearest_vectors(t.embeddings.select("vec_id", "embedding"), asked, k, most)
+    return S.nearest_vectors(t.embeddings.select("vec_id", "embedding"), _asked(t), k, most)
 
 
 def _top_words() -> F.Column:
@@ -51,7 +54,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("p6_distance_threshold", f"WITH {_HITS} SELECT query_id, vec_id, round(distance, 6) AS distance FROM s WHERE distance <= 0.7")
 def _(t: Tables) -> DataFrame:
-    return hits(t, 1_000_000, 0.7).select("query_id", "vec_id", F.round("distance", 6).alias("distance"))
+    return S.scored_vectors(t.embeddings.select("vec_id", "embedding"), _asked(t), 0.7).select("query_id", "vec_id", F.round("distance", 6).alias("distance"))
 
 
 @query("o3_filtered_vector_top_k", f"WITH {_HITS.replace('FROM embeddings e, embeddings q WHERE', 'FROM embeddings e, embeddings q WHERE e.label IN (1, 2) AND')} SELECT query_id, vec_id, rank::INT AS rank FROM h WHERE rank <= 10")
@@ -62,7 +65,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("n12_cosine_distance", "SELECT a.vec_id, round(list_cosine_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS distance FROM embeddings a, embeddings b WHERE b.vec_id = 0")
 def _(t: Tables) -> DataFrame:
-    return hits(t, 1_000_000_000).where("query_id = 0").select("vec_id", F.round("distance", 6).alias("distance"))
+    return S.scored_vectors(t.embeddings.select("vec_id", "embedding"), _asked(t).where("query_id = 0")).select("vec_id", F.round("distance", 6).alias("distance"))
 
 
 @query("w1_first_seen_hits", f"WITH {_HITS} SELECT vec_id, round(min(distance), 6) AS distance FROM h WHERE rank <= 20 GROUP BY 1 ORDER BY min(distance), vec_id LIMIT 20")
