@@ -227,3 +227,26 @@ def test_citation_tiers(spark):
     docs = [(1, "x " + quote + " y"), (2, quote), (3, "one two three four five six seven eight zzz")]
     got = retrieval.cited(spark.createDataFrame([(1, quote), (2, "absent words"), (3, "one two three four five six seven eight aa bb cc dd ee ff gg hh ii jj kk ll mm nn oo pp qq rr")], "item_id int, quote string"), spark.createDataFrame(docs, "doc_id int, text string"))
     assert {x["item_id"]: (x["doc_id"], x["tier"]) for x in got.collect()} == {1: (1, 1), 2: (None, 4), 3: (1, 3)}
+
+
+def test_citation_tiers_of_short_quotes_by_brute_force(spark):
+    r = random.Random(8)
+    text = lambda n: [r.choice("abcdefgh") * 2 for _ in range(n)]
+    docs = [(k, text(r.choice([1, 3, 12, 40]))) for k in range(12)]
+    quotes = []
+    for k in range(60):
+        w = r.choice(docs)[1]
+        at, n = r.randrange(len(w)), r.randint(1, 36)
+        quotes.append((k, w[at : at + n] + text(r.choice([0, 0, 2, 9]))))
+    want = {}
+    for k, q in quotes:
+        best = (4, None)
+        for tier, n in ((3, -(-len(q) // 4)), (2, -(-len(q) // 2)), (1, len(q))):
+            held = [i for i, w in docs if any(w[j : j + n] == q[:n] for j in range(len(w) - n + 1))]
+            best = (tier, min(held)) if held else best
+        want[k] = best
+    got = retrieval.cited(
+        spark.createDataFrame([(k, " ".join(q)) for k, q in quotes] + [(60, ""), (61, None)], "item_id int, quote string"),
+        spark.createDataFrame([(k, " ".join(w)) for k, w in docs] + [(90, ""), (91, None)], "doc_id int, text string"),
+    )
+    assert {x["item_id"]: (x["tier"], x["doc_id"]) for x in got.collect()} == want | {60: (4, None), 61: (4, None)}

@@ -58,14 +58,19 @@ def answer_context(plan: Plan, vectors: DataFrame, query_vectors: DataFrame, tex
 def cited(quotes: DataFrame, docs: DataFrame, prefix: int = 8) -> DataFrame:
     """For each quote (item_id, quote) the document that holds it: whole (tier 1), half of it (2), a quarter (3), or none (4).
 
-    Quotes meet documents by a hash of their first ``prefix`` words, so that no quote is compared with
-    a text that doesn't hold its start.
+    Quotes meet documents by a hash of their first words: a quarter of the quote's, at most ``prefix``, so
+    that no quote is compared with a text that doesn't hold its start and none is missed at a tier.
     """
     words = lambda c: F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != "")
-    q = quotes.select("item_id", words(F.col("quote")).alias("q")).withColumn("h", F.xxhash64(F.array_join(F.slice("q", 1, prefix), " ")))
-    d = docs.select("doc_id", words(F.col("text")).alias("w"))
-    starts = d.select("doc_id", "w", F.posexplode(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - prefix + 1)), lambda i: F.xxhash64(F.array_join(F.slice("w", i, F.lit(prefix)), " ")))).alias("i", "h"))
-    met = starts.join(q, "h")
+    hashed = lambda c, at, n: F.xxhash64(F.array_join(F.slice(c, at, n), " "))
+    q = quotes.select("item_id", words(F.col("quote")).alias("q")).where(F.size("q") > 0)
+    q = q.withColumn("p", F.least(F.lit(prefix), F.ceil(F.size("q") / 4)).cast("int")).withColumn("h", hashed("q", F.lit(1), F.col("p")))
+    sizes = sorted(r["p"] for r in q.select("p").distinct().collect())  # at most ``prefix``
+    d = docs.select("doc_id", words(F.col("text")).alias("w")).where(F.size("w") > 0)
+    each = F.array(*(F.struct(F.lit(n).alias("p"), hashed("w", F.col("i") + 1, F.lit(n)).alias("h")) for n in sizes or [prefix]))
+    starts = d.select("doc_id", "w", F.explode(F.sequence(F.lit(0), F.size("w") - 1)).alias("i"))
+    starts = starts.select("doc_id", "w", "i", F.explode(each).alias("k")).where(F.col("i") + F.col("k.p") <= F.size("w"))
+    met = starts.select("doc_id", "w", "i", "k.p", "k.h").join(q, ["p", "h"])
     window = F.slice("w", F.col("i") + 1, F.size("q"))
     part = lambda n: F.slice("q", F.lit(1), n) == F.slice(window, F.lit(1), n)
     tier = F.when(window == F.col("q"), 1).when(part(F.ceil(F.size("q") / 2).cast("int")), 2).when(part(F.ceil(F.size("q") / 4).cast("int")), 3)
