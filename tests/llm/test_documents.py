@@ -258,6 +258,46 @@ def test_mixture(docs, none, rows):
     assert many.columns == docs.columns and many.count() == sum(x["taken"] // x["size"] for x in out if x["size"])
 
 
+def _hot_rows():
+    """Sources whose rows share one doc_id, or none, beside an ordinary one."""
+    rows = [(7, "one two three", "en", "a", 13)] * 400 + [(None, "one two three", "en", "b", 13)] * 900
+    rows += [(None, "w " * (i % 9 + 1), "en", "c", 18) for i in range(300)] + [(1000 + i, "w " * (i % 7 + 1), "fr", None, 2) for i in range(200)]
+    return rows
+
+
+@pytest.mark.parametrize("at_once", [1 << 13, 16])
+def test_rows_that_share_a_doc_id(spark, tmp_path, monkeypatch, at_once):
+    import duckdb
+
+    from tidemill.llm import common
+    from tidemill.llm.queries import ORACLE_SQL, QUERIES
+
+    monkeypatch.setattr(common, "COPIES", at_once)
+    rows = _hot_rows()
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    groups = defaultdict(list)
+    for x in mixing.mix(docs).collect():
+        groups[x["source_size"], x["target"]].append(x)
+    assert len(groups) == 4
+    for (size, target), got in groups.items():
+        assert sum(x["size"] for x in got) == size
+        assert abs(sum(x["taken"] for x in got) - target) <= 2 * max(x["size"] for x in got)
+    many = Counter((x["doc_id"], x["source"], len(x["text"].split())) for x in mixing.mixed_documents(docs).collect())
+    of = {sum(len(x[1].split()) for x in rows if x[3] == source): source for source in {r[3] for r in rows}}
+    want = Counter()
+    for (size, _), got in groups.items():
+        for x in got:
+            want[x["doc_id"], of[size], x["size"]] += x["taken"] // x["size"]
+    assert many == +want
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    for name in ("op2_shards", "op9_mix"):
+        found = con.execute(ORACLE_SQL[name])
+        df = QUERIES[name](spark, str(tmp_path)).select(*(d[0] for d in found.description))
+        assert _bag(df) == Counter(found.fetchall()), name
+
+
 def _print_by_hand(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     if not words:

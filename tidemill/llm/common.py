@@ -1,6 +1,8 @@
 """Helpers shared by the training-data operators."""
 from __future__ import annotations
 
+import math
+import re
 import tempfile
 from collections.abc import Callable
 from functools import wraps
@@ -25,17 +27,26 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
 def pin(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder, its lineage cut.
 
-    The folder is the one that the session names in ``spark.checkpoint.dir``. Only where that is
-    unset, as in tests on one machine, is a temporary one made.
+    The folder is the one that the session names in ``spark.checkpoint.dir``. Where that is unset, a
+    temporary one is made if the session runs in one process, as in tests; on a cluster, whose executors
+    would each write to a folder of their own, it is an error.
     """
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(
-            df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemill-")
-        )
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not one_process(context.master):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+            folder = tempfile.mkdtemp(prefix="tidemill-")
+        context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 
+def one_process(master: str) -> bool:
+    """Whether driver and executors of this master are one process."""
+    return re.fullmatch(r"local(\[.*\])?", master) is not None
+
+
 def width(spark: SparkSession) -> int:
     """The number of shuffle partitions that the session asks for."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -56,17 +67,40 @@ def words_in(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("bigint")
 
 
-#: Leading bits of a :func:`seat` that make up its bucket, of 60.
-SEAT_BITS = 12
+#: Rows of a bucket, on average, at most, and the fewest buckets (as a power of two).
+BUCKET, LEAST_BITS = 100_000, 12
+
+
+def bits_for(rows: int) -> int:
+    """How many leading bits make buckets of :data:`BUCKET` rows."""
+    return max(LEAST_BITS, math.ceil(math.log2(max(1, rows) / BUCKET)))
+
+
+def seat(seed: int, *parts: Column) -> Column:
+    """A seeded random 60-bit place in a shuffle, from what tells rows apart."""
+    return F.conv(F.substring(unit(seed, *parts), 1, 15), 16, 10).cast("bigint")
+
+
+def seat_bucket(place: Column, bits: int) -> Column:
+    return F.shiftright(place, 60 - bits)
+
+
+#: Copies of a row that one task makes at a time.
+COPIES = 1 << 13
 
 
-def seat(seed: int, row_id: Column) -> Column:
-    """A seeded random 60-bit place in a shuffle, from a row's id."""
-    return F.conv(F.substring(unit(seed, row_id), 1, 15), 16, 10).cast("bigint")
+def copied(groups: DataFrame, n: str, k: str) -> DataFrame:
+    """Each row as often as its column ``n`` says, numbered from 1 in ``k``; runs of :data:`COPIES` copies are dealt over all tasks."""
+    runs = groups.withColumn("_run", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n).cast("bigint") - 1, F.lit(COPIES).cast("bigint"))))
+    dealt = runs.repartition(width(groups.sparkSession), "_run", n)
+    numbers = F.sequence(F.col("_run") + 1, F.least(F.col("_run") + COPIES, F.col(n).cast("bigint")))
+    return dealt.withColumn(k, F.explode(numbers)).drop("_run")
 
 
-def seat_bucket(place: Column) -> Column:
-    return F.shiftright(place, 60 - SEAT_BITS)
+def repeated(groups: DataFrame, n: str, k: str) -> DataFrame:
+    """Like :func:`copied`, but rows with at most :data:`COPIES` copies stay where they are. ``groups`` is read twice."""
+    few = groups.where(F.col(n) <= COPIES).withColumn(k, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(n).cast("bigint"))))
+    return few.unionByName(copied(groups.where(F.col(n) > COPIES), n, k))
 
 
 def stratum(source: Column) -> Column:

@@ -11,12 +11,15 @@ excess goes to the others by weight. That fixed point is min(cap, level * weight
 that spends the budget, found by a cumulative sum over the sources sorted by cap / weight.
 
 Sums run over buckets of the shuffle and then within them, so that a source with a third of all rows
-is split. The place where the budget ends is found by three histograms of 4096 bins each, each of
+is split; buckets hold 100,000 rows on average at most. Copies of a row (equal in doc_id, source and size)
+are counted before they move, queue one after the other, and are told apart again in runs of 8192, so a
+doc_id that very many rows share, or null, costs no more than others. Targets take one task, with one
+narrow row for each source. The place where the budget ends is found by three histograms of 4096 bins each, each of
 one bin of the one before, and a sort of what is left in the last one. Only bins and the cut reach
 the driver.
 
 A null text has size 0, as the empty one, and takes nothing. Null sources form a source. Repeated
-rows count each, and rows equal in source and doc_id are taken alike. Runs with the same rows agree.
+rows count each. Runs with the same rows agree. An empty table gives no rows. Long texts are only counted.
 """
 from __future__ import annotations
 
@@ -24,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemill.llm.common import pick, pin, seat, seat_bucket, shelved, stratum, words_in
+from tidemill.llm.common import bits_for, copied, pick, pin, repeated, seat, seat_bucket, shelved, stratum, words_in
 
 BINS, LEVELS = 1 << 12, 3
 
@@ -48,7 +51,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float
 
 def mix(docs: DataFrame, seed: int = 9, share: float = 1.5, epochs: int = 2) -> DataFrame:
     """doc_id, size, source_size, target and taken for each row."""
-    rows = queued(pick(docs, "doc_id", "text", "source"), seed, share, epochs)
+    rows = queued(pick(docs, "doc_id", "text", "source").withColumn("digest", F.lit(0)), seed, share, epochs)
     return taken(rows, share, epochs).select("doc_id", "size", "source_size", "target", "taken")
 
 
@@ -56,37 +59,48 @@ def mix(docs: DataFrame, seed: int = 9, share: float = 1.5, epochs: int = 2) ->
 def mixed_documents(docs: DataFrame, seed: int = 9, share: float = 1.5, epochs: int = 2) -> DataFrame:
     """``docs`` with each row as often as the mix takes it: rows not taken go, rows taken twice come twice.
 
-    Rows equal in source, doc_id and size are taken alike, so the takings are joined back by these.
+    Rows are joined with what was taken of their like: those equal in all columns. Where the copies of a
+    row are not all taken equally often (at the end of a source's share only), one of them comes that often.
     """
-    rows = queued(pick(docs, "doc_id", "text", "source"), seed, share, epochs)
-    times = taken(rows, share, epochs).where("taken > 0").select(
+    digest = F.xxhash64(*(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("~")) for c in docs.columns))
+    rows = queued(docs.select("doc_id", "text", "source", digest.alias("digest")), seed, share, epochs)
+    times = taken(rows, share, epochs).groupBy(
         F.coalesce("doc_id", F.lit(-1)).alias("_id"), F.col("doc_id").isNull().alias("_none"), F.col("g").alias("_g"),
-        F.col("size").alias("_size"), F.expr("taken div size").cast("int").alias("_times"),
-    ).distinct()
+        F.col("size").alias("_size"), F.col("digest").alias("_digest"),
+    ).agg(F.sum(F.expr("taken div greatest(size, 1)")).alias("_times"), F.count("*").alias("_n")).where("_times > 0")
     marked = docs.select(
         "*", F.coalesce("doc_id", F.lit(-1)).alias("_id"), F.col("doc_id").isNull().alias("_none"),
-        stratum(F.col("source")).alias("_g"), words_in(F.col("text")).alias("_size"),
+        stratum(F.col("source")).alias("_g"), words_in(F.col("text")).alias("_size"), digest.alias("_digest"),
     )
-    found = marked.join(times, ["_id", "_none", "_g", "_size"])
-    repeated = found.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
-    return repeated.select(*(f"`{c}`" for c in docs.columns))
+    keys = ["_id", "_none", "_g", "_size", "_digest"]
+    found = marked.join(times, keys)
+    even = found.where("_times % _n = 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.expr("_times div _n"))))
+    odd = copied(found.where("_times % _n <> 0").dropDuplicates(keys), "_times", "_copy")
+    names = [f"`{c}`" for c in docs.columns]
+    return even.select(*names).unionByName(odd.select(*names))
 
 
 def queued(docs: DataFrame, seed: int, share: float, epochs: int) -> DataFrame:
-    """Narrow rows with the tokens of the source up to and with each row in one pass (``upto``), written down."""
-    rows = pin(docs.select(
-        "doc_id", words_in(F.col("text")).alias("size"), stratum(F.col("source")).alias("g"), seat(seed, F.col("doc_id")).alias("place")
-    )).withColumn("b", seat_bucket(F.col("place")))
-    sums = rows.groupBy("g", "b").agg(F.sum("size").alias("n"))
-    sizes = sums.groupBy("g").agg(F.sum("n").alias("source_size"))
+    """Narrow rows with the tokens of the source up to and with each row in one pass (``upto``), written down.
+
+    ``docs``: doc_id, text, source and digest. Rows equal in doc_id, source, size and digest are counted first,
+    and each of these copies has tokens of its own in the queue.
+    """
+    groups = docs.select("doc_id", words_in(F.col("text")).alias("size"), stratum(F.col("source")).alias("g"), "digest")
+    groups = pin(groups.groupBy("doc_id", "size", "g", "digest").agg(F.count("*").alias("n")))
+    groups = groups.withColumn("place", seat(seed, F.col("doc_id"), F.col("size")))
+    groups = groups.withColumn("b", seat_bucket(F.col("place"), bits_for(groups.count())))
+    tokens = F.sum(F.col("size") * F.col("n"))
+    sums = groups.groupBy("g", "b").agg(tokens.alias("tokens"))
+    sizes = sums.groupBy("g").agg(F.sum("tokens").alias("source_size"))
     below = Window.partitionBy("g").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("g", "b", F.coalesce(F.sum("n").over(below), F.lit(0)).alias("low"))
+    sums = sums.select("g", "b", F.coalesce(F.sum("tokens").over(below), F.lit(0)).alias("low"))
     sums = sums.join(sizes.join(targets(sizes, share=share, epochs=epochs), "g"), "g")
-    # Rows that agree in all of the order share the sum up to the last of them.
-    here = Window.partitionBy("g", "b").orderBy("place", F.coalesce("doc_id", F.lit(-1)), "size")
-    return pin(rows.join(sums, ["g", "b"]).select(
-        "doc_id", "size", "g", "place", "source_size", "target", (F.col("low") + F.sum("size").over(here)).alias("upto")
-    ))
+    here = Window.partitionBy("g", "b").orderBy("place", F.coalesce("doc_id", F.lit(-1)), "size", F.col("doc_id").isNull(), "digest")
+    before = F.col("low") + F.coalesce(tokens.over(here.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = pin(groups.join(sums, ["g", "b"]).select("doc_id", "size", "g", "digest", "n", "place", "source_size", "target", before.alias("before")))
+    rows = repeated(groups, "n", "k").withColumn("upto", F.col("before") + F.col("k") * F.col("size"))
+    return pin(rows.select("doc_id", "size", "g", "digest", "place", "source_size", "target", "upto"))
 
 
 def _finish(epoch: Column) -> Column:

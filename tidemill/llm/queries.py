@@ -84,7 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: A row's place in a shuffle: 60 bits of an MD5 digest.
-_SEAT = "('0x' || substr(md5('{seed}:' || coalesce(doc_id::VARCHAR, '~')), 1, 15))::BIGINT"
+_SEAT = "('0x' || substr(md5('{seed}:' || coalesce(doc_id::VARCHAR, '~') || ':' || {parts}), 1, 15))::BIGINT"
 
 ORACLE_SQL: dict[str, str] = {
     "op2_shards": f"""
@@ -93,13 +93,14 @@ WITH crc AS (
     SELECT i, list_reduce(list_concat([i::BIGINT], range(8)::BIGINT[]),
       lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c8
     FROM range(256) r(i))),
-a AS (
+s AS (
   SELECT doc_id, source, coalesce(strlen(text), 0)::BIGINT + 8 AS size,
     xor(list_reduce(list_concat([4294967295::BIGINT],
       list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT)),
       lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32,
-    CASE WHEN source IS NULL THEN '~' ELSE '=' || source END AS g, {_SEAT.format(seed=7)} AS place
+    CASE WHEN source IS NULL THEN '~' ELSE '=' || source END AS g
   FROM documents, crc),
+a AS (SELECT *, {_SEAT.format(seed=7, parts="size || ':' || text_crc32")} AS place FROM s),
 b AS (
   SELECT *, (row_number() OVER (PARTITION BY g ORDER BY place, doc_id, text_crc32, size) - 0.5::DOUBLE)
     / count(*) OVER (PARTITION BY g) AS part FROM a),
@@ -127,9 +128,10 @@ p AS (
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM p)
 SELECT query_id, rank::INT AS rank, vec_id, distance FROM r WHERE rank <= 10""",
     "op9_mix": f"""
-WITH a AS (
+WITH w AS (
   SELECT doc_id, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
-    CASE WHEN source IS NULL THEN '~' ELSE '=' || source END AS g, {_SEAT.format(seed=9)} AS place FROM documents),
+    CASE WHEN source IS NULL THEN '~' ELSE '=' || source END AS g FROM documents),
+a AS (SELECT *, {_SEAT.format(seed=9, parts="size")} AS place FROM w),
 s AS (SELECT g, sum(size)::BIGINT AS source_size, 2.0::DOUBLE * sum(size) AS cap,
     [3.0::DOUBLE, 1, 2][(row_number() OVER (ORDER BY g = '~', g) - 1) % 3 + 1] AS w FROM a GROUP BY g),
 l AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER ()
@@ -138,12 +140,12 @@ l AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER ()
 t AS (SELECT g, source_size, CASE WHEN v IS NULL THEN cap ELSE least(cap, v * w) END AS target
   FROM l, (SELECT arg_min(level, cap / w) AS v FROM l WHERE level <= cap / w)),
 q AS (SELECT a.*, source_size, target,
-    sum(size) OVER (PARTITION BY a.g ORDER BY place, doc_id, size) AS upto FROM a JOIN t USING (g)),
-e AS (SELECT g, place, doc_id, size, epoch, (epoch * source_size + upto) / target AS finish
+    sum(size) OVER (PARTITION BY a.g ORDER BY place, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto FROM a JOIN t USING (g)),
+e AS (SELECT g, upto, size, epoch, (epoch * source_size + upto) / target AS finish
   FROM q, (VALUES (0), (1)) p(epoch) WHERE size > 0 AND target > 0),
-f AS (SELECT *, sum(size) OVER (ORDER BY finish, g, place, doc_id, size, epoch) AS spent FROM e),
-u AS (SELECT g, doc_id, size, sum(size)::BIGINT AS taken FROM f
-  WHERE spent <= 1.5::DOUBLE * (SELECT sum(size) FROM a) GROUP BY g, doc_id, size)
+f AS (SELECT *, sum(size) OVER (ORDER BY finish, g, epoch ROWS UNBOUNDED PRECEDING) AS spent FROM e),
+u AS (SELECT g, upto, sum(size)::BIGINT AS taken FROM f
+  WHERE spent <= 1.5::DOUBLE * (SELECT sum(size) FROM a) GROUP BY g, upto)
 SELECT q.doc_id, q.size, q.source_size, q.target, coalesce(taken, 0)::BIGINT AS taken
-FROM q LEFT JOIN u ON q.g = u.g AND q.doc_id = u.doc_id AND q.size = u.size""",
+FROM q LEFT JOIN u ON q.g = u.g AND q.upto = u.upto AND q.size > 0""",
 }

@@ -9,8 +9,10 @@ law allows no such thing, so equal texts spread like other rows.
 
 No source and no sort lands in one task. A rank is the number of rows in lower buckets of the
 source's shuffle (counts of buckets, summed by a window) plus the rank in the bucket, and the
-place in the whole order is found the same way over buckets of fractional rank. Texts never move:
-size and checksum are taken at the scan.
+place in the whole order is found the same way over buckets of fractional rank. Buckets hold 100,000
+rows on average at most. Copies of a row (equal in doc_id, source, size and checksum) are counted before
+they move and told apart again in runs of 8192, so neither a doc_id nor a row that very many rows share
+lands in one task. Texts never move: size and checksum are taken at the scan.
 
 A null text has size 8 and checksum 0, as the empty one. Null sources form a source. Repeated rows
 get slots of their own, a null doc_id is a value like others, and an empty table gives no rows.
@@ -21,34 +23,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemill.llm.common import pick, pin, seat, seat_bucket, stratum
-
-#: Buckets of fractional rank.
-STEPS = 1 << 12
+from tidemill.llm.common import bits_for, pick, pin, repeated, seat, seat_bucket, stratum
 
 
 def interleave(docs: DataFrame, shards: int = 24, seed: int = 7) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard (null under this law) for each row."""
-    rows = pin(pick(docs, "doc_id", "text", "source").select(
+    rows = pick(docs, "doc_id", "text", "source").select(
         "doc_id",
         (F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint") + 8).alias("size"),
         F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
         stratum(F.col("source")).alias("g"),
-        seat(seed, F.col("doc_id")).alias("place"),
-    ))
-    rows = rows.withColumn("b", seat_bucket(F.col("place")))
+    )
+    # Copies of a row are counted before they move.
+    groups = pin(rows.groupBy("doc_id", "size", "text_crc32", "g").agg(F.count("*").alias("n")))
+    bits = bits_for(groups.count())
+    groups = groups.withColumn("place", seat(seed, F.col("doc_id"), F.col("size"), F.col("text_crc32")))
+    groups = groups.withColumn("b", seat_bucket(F.col("place"), bits))
     # Rank within the source.
     whole = Window.partitionBy("g")
     below = whole.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    counts = rows.groupBy("g", "b").agg(F.count("*").alias("n")).select(
-        "g", "b", F.coalesce(F.sum("n").over(below), F.lit(0)).alias("low"), F.sum("n").over(whole).alias("of")
+    counts = groups.groupBy("g", "b").agg(F.sum("n").alias("rows")).select(
+        "g", "b", F.coalesce(F.sum("rows").over(below), F.lit(0)).alias("low"), F.sum("rows").over(whole).alias("of")
     )
-    here = Window.partitionBy("g", "b").orderBy("place", "doc_id", "text_crc32", "size")
-    ranked = rows.join(counts, ["g", "b"]).withColumn("rank", F.col("low") + F.row_number().over(here))
-    part = (F.col("rank") - F.lit(0.5)) / F.col("of")
-    ranked = pin(ranked.select("doc_id", "size", "text_crc32", "g", "place", part.alias("part")))
+    here = Window.partitionBy("g", "b").orderBy("place", "doc_id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, -1)
+    groups = groups.join(counts, ["g", "b"]).withColumn("before", F.col("low") + F.coalesce(F.sum("n").over(here), F.lit(0)))
+    groups = pin(groups.select("doc_id", "size", "text_crc32", "g", "place", "n", "before", "of"))
+    part = (F.col("before") + F.col("k") - F.lit(0.5)) / F.col("of")
+    ranked = pin(repeated(groups, "n", "k").select("doc_id", "size", "text_crc32", "g", "place", part.alias("part")))
     # Place in the order of all rows.
-    ranked = ranked.withColumn("step", F.floor(F.col("part") * STEPS))
+    ranked = ranked.withColumn("step", F.floor(F.col("part") * float(1 << bits_for(ranked.count()))))
     every = Window.partitionBy()
     low = every.orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
     steps = ranked.groupBy("step").agg(F.count("*").alias("n")).select(
