@@ -3,6 +3,7 @@ import html
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -43,6 +44,26 @@ CASES = {
     "plain": ("Only some text, without any element. It is short.", "Only some text, without any element. It is short."),
     "raw": ("<article><script>if (a < b) { document.write('<p>no</p>'); }</script><style>p > b {}</style><p>Real text is here, really.</p></article>", "Real text is here, really."),
     "attributes": ("""<article data-x='a > b' title="<p>no</p>"><p>Real text is here, really.</p></article>""", "Real text is here, really."),
+    "script with an unquoted address": ("<article><p>Real text is here, really.</p><script src=https://cdn.x/y/>var a=1;</script><p>More of it, indeed.</p></article>",
+        "Real text is here, really. More of it, indeed."),
+    "hidden and advert inside a paragraph": ("""<article><p>Real text<span style='display:none'>hidden words here</span> is here, really.</p><p>Some more of it
+        <span class='ad'>Buy now, cheap!</span> and the end.</p></article>""", "Real text is here, really. Some more of it and the end."),
+    "inline elements with names": ("<article><p>One <span class=hl>bo</span>ld word <a class='link' href=x>and a link</a>, really it is.</p></article>",
+        "One bold word and a link, really it is."),
+    "math and noscript": ("""<article><p>Energy is <math><mi>E</mi><mo>=</mo><mi>m</mi></math> here, it is known.</p><noscript><p>Text without scripts is
+        here, too.</p></noscript></article>""", "Energy is E=m here, it is known. Text without scripts is here, too."),
+    "svg": ("<article><p>An icon <svg width=1><title>Icon</title><path d='x'/></svg> is here, really.</p><p>Next one.</p></article>", "An icon is here, really. Next one."),
+    "unclosed svg": ("<article><p>An icon <svg><g> is here, really.</p><p>Next one.</p></article><footer>Legal</footer>", "An icon is here, really. Next one."),
+    "remarks without names": ("""<html><body><div><div><h1>Some title of it</h1><p>First paragraph with some words, and more. It continues.</p><p>And a second
+        paragraph of text, with words. It goes on and on here.</p></div><div><h3>Comments</h3><div><div>Anna</div><p>I really liked this, thank you! It was
+        great.</p></div><div><div>Bob</div><p>Me too. It was very good indeed.</p></div></div></div><footer>(c) x</footer></body></html>""",
+        "Some title of it First paragraph with some words, and more. It continues. And a second paragraph of text, with words. It goes on and on here."),
+    "remarks beside an article": ("""<html><body><article><h1>Some title of it</h1><p>First paragraph with some words, and more. It continues.</p></article>
+        <div><div><div>Anna</div><p>I really liked this, thank you! It was great.</p></div><div><div>Bob</div><p>Me too. It was very good indeed.</p></div></div></body></html>""",
+        "Some title of it First paragraph with some words, and more. It continues."),
+    "noscript at the top": ("""<html><body><noscript>Please enable JavaScript to read this page.</noscript><div id=content><h1>Some title of it</h1><p>First paragraph
+        with some words, and more. It continues.</p></div></body></html>""", "Some title of it First paragraph with some words, and more. It continues."),
+    "only a menu": ("<html><body><nav><ul><li><a href=x>Home</a></li><li><a href=y>About us</a></li></ul></nav></body></html>", ""),
     "empty": ("", ""),
     "null": (None, ""),
     "cut": ("<article><p>It stops in the middle of a sentence, and of a <a href='x", "It stops in the middle of a sentence, and of a"),
@@ -63,6 +84,17 @@ def test_long_and_hostile_pages():
         assert isinstance(model.text(page), str)
 
 
+@pytest.mark.parametrize("page", [
+    "<div>" * 10 + "</section>" * 100_000 + "x", "<div>" * 30_000 + "</section>" * 30_000, '<p ">"' * 50_000, "<!" * 200_000, "<title>" * 50_000,
+    "<" + "a" * 200_000 + '"', "<dl><dd><dl>" + "<div>" * 20_000 + "<dt></dt>" * 20_000, "<i>" * 30_000 + "<b>" * 30_000 + "</i>" * 30_000,
+    "<span class=a>" * 20_000 + "<div></div>" * 20_000, "<p " + "style=" * 30_000 + ">x", "<p " + "class    " * 30_000 + ">x",
+])
+def test_time_of_hostile_pages_is_linear(page):
+    began = time.process_time()
+    parse(page)
+    assert time.process_time() - began < 2  # any step that is quadratic takes minutes
+
+
 def _joint(model, nodes, i):
     """P(content) of node i by summing over all states."""
     n = len(nodes)

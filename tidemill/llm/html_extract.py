@@ -1,17 +1,20 @@
 """Main text of web pages by a tree-structured graphical model.
 
-Each node of a page's tree (block elements, and runs of text as leaves) is content or not. The joint
+Each node of a page's tree (block elements, inline elements with names or hidden, and runs of text as leaves) is content or not. The joint
 distribution is a product of one potential for each parent and child, P(child | parent) by kind of
 child, and of one for each node's observations, P(observation | state). Sum-product message passing,
 one sweep up and one sweep down, gives every node's exact marginal; runs whose marginal of content
-reaches one half are the page's text, in page order. Both sweeps are linear in the number of nodes.
+reaches one half are the page's text, in page order. Where no run does but one reaches ``LEAST``, as in pages
+of bare divisions, those that have at least half of the highest marginal are. Both sweeps are linear in the number of nodes.
 
 The potentials are relative frequencies with add-one smoothing over labelled pages. The labelled
 pages are made by :func:`labelled_pages` from a fixed seed: ``PAGES`` pages in common layouts
-(semantic elements, classed divisions, bare divisions, tables), whose parts are known. Their number
+(semantic elements, classed divisions, bare divisions, tables, remarks without telling names, adverts and
+hidden text inside paragraphs), whose parts are known. Their number
 is a parameter and does not depend on the input.
 
-A null or empty page gives the empty text. Rows are independent: one pass, no shuffle; repeated rows
+A null or empty page gives the empty text. Very long, deep or broken pages take time and memory in
+proportion to their length, as tags that close nothing aren't searched for. Rows are independent: one pass, no shuffle; repeated rows
 each give a row; other columns are ignored.
 """
 from __future__ import annotations
@@ -26,26 +29,42 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.llm.common import pick, ship
-from tidemill.llm.html_tree import Node, parse
+from tidemill.llm.html_tree import INLINE, Node, parse
 
-PAGES, SEED, CONTENT = 1500, 5, 0.5
+PAGES, SEED, CONTENT, LEAST = 1500, 5, 0.5, 0.1
 
 _KIND = {
     **dict.fromkeys("p blockquote pre dd dt figcaption figure".split(), "para"),
-    **dict.fromkeys("h1 h2 h3 h4 h5 h6 hgroup".split(), "head"),
+    "h1": "title", **dict.fromkeys("h2 h3 h4 h5 h6 hgroup".split(), "head"),
     **dict.fromkeys("ul ol li dl menu".split(), "list"),
     **dict.fromkeys("table tbody thead tfoot tr td th caption".split(), "cell"),
     **dict.fromkeys("form fieldset button select option optgroup legend input dialog".split(), "form"),
     "article": "article", "main": "main", "section": "section", "nav": "nav", "aside": "aside", "header": "header",
-    "footer": "footer", "head": "meta", "#text": "text", "#page": "page", "html": "page", "body": "page",
+    "footer": "footer", "head": "meta", "noscript": "noscript", **dict.fromkeys(INLINE, "inline"), "#text": "text", "#page": "page", "html": "page", "body": "page",
 }
 
 
+#: Words that head or make up the parts around an article.
+_CUES = {
+    "talk": "comments comment replies reply discussion responses kommentare commentaires comentarios".split(),
+    "side": "related recommended trending popular tags categories archives".split(),
+    "ad": "advertisement sponsored anzeige publicité publicidad".split(),
+    "note": "cookies cookie consent javascript newsletter subscribe".split(),
+    "share": "share tweet facebook whatsapp pinterest".split(),
+}
+_CUE = {word: part for part, words in _CUES.items() for word in words}
+
+
+def _cue(text: str) -> str:
+    """The part of a page that a short text's words name, if any."""
+    return next((_CUE[w] for w in text.lower().split() if w in _CUE), "none")
+
+
 def observations(nodes: list[Node], i: int) -> list[str]:
     """What is seen of a node."""
     node = nodes[i]
     if node.name != "#text":
-        return ["w:" + word for word in node.labels]
+        return ["w:" + word for word in node.labels] or ["bare:" + _KIND.get(node.name, "div")]
     text = node.text
     n = len(text)
     share = node.linked / n
@@ -54,6 +73,7 @@ def observations(nodes: list[Node], i: int) -> list[str]:
         f"shape:{min(8, int(math.log2(n + 1)))}{min(3, stops)}{text[-1] in '.!?:;'}",
         f"links:{0 if share == 0 else 1 if share < 0.5 else 2}",
         f"sign:{'©' in text or '»' in text}",
+        f"cue:{_cue(text) if n < 60 else 'long'}",
     ]
 
 
@@ -129,8 +149,18 @@ class PageModel:
         if not html:
             return ""
         nodes = parse(html)
-        belief = self.marginals(nodes)
-        return " ".join(x.text for x, b in zip(nodes, belief, strict=True) if x.name == "#text" and b >= CONTENT)
+        out: list[str] = []
+        gap = False
+        beliefs = self.marginals(nodes)
+        most = max((b for node, b in zip(nodes, beliefs, strict=True) if node.name == "#text"), default=0.0)
+        least = min(CONTENT, most / 2) if most >= LEAST else CONTENT
+        for node, belief in zip(nodes, beliefs, strict=True):
+            if node.name == "#text":
+                gap = gap or not node.tight
+                if belief >= least:
+                    out += [" ", node.text] if gap and out else [node.text]
+                    gap = False
+        return "".join(out)
 
 
 # Labelled pages ------------------------------------------------------------------------------
@@ -149,6 +179,8 @@ _BAD = {
     "talk": "comments comment comment-list reply replies discussion respond disqus comment-body thread feedback".split(),
     "share": "share social sharing social-links share-buttons follow author-bio byline meta".split(),
 }
+#: Names that say nothing of what part an element belongs to.
+_PLAIN = "highlight term link caps lang emph ref nobr math inline keyword hl date name strong note-ref dropcap small x1 a".split()
 _TAGS = {"nav": ["nav", "div", "ul"], "header": ["header", "div"], "footer": ["footer", "div"], "side": ["aside", "div", "section"],
          "ad": ["div", "aside", "section"], "note": ["div", "section", "aside"], "form": ["form", "div"],
          "talk": ["section", "div", "ol"], "share": ["div", "ul"]}
@@ -174,6 +206,38 @@ class _Maker:
         self.states.append(state)
         return len(self.nodes) - 1
 
+    def cued(self, part: str, text: str) -> str:
+        """``text``, at times with a word that names its part."""
+        words = _CUES.get(part)
+        return f"{self.r.choice(words).capitalize()} {text}" if words and self.r.random() < 0.5 else text
+
+    def prose(self, home: int, text: str, linked: float = 0.0) -> None:
+        """A paragraph's text; at times with inline elements that are nodes, some of them not content."""
+        r = self.r
+        if r.random() > 0.2:
+            self.run(home, 1, text, linked)
+            return
+        for _ in range(r.randint(1, 3)):
+            self.run(home, 1, _words(r, 1, 12) + r.choice(["", "", "."]))
+            if r.random() < 0.6:
+                inner = self.element(r.choice(["span", "a", "em", "code", "sup", "mark", "time"]), home, 1, r.choice(_PLAIN))
+                self.run(inner, 1, _words(r, 1, 5), r.choice([0, 0, 1]))
+            else:
+                inner = self.element(r.choice(["span", "a", "small", "ins"]), home, 0, r.choice([*_BAD["ad"], *_BAD["note"], *_BAD["share"], *["hidden"] * 30]))
+                self.run(inner, 0, r.choice([_words(r, 1, 9), _sentences(r, 1, 2)]), r.choice([0, 0, 1]))
+        self.run(home, 1, text, linked)
+
+    def thread(self, parent: int) -> None:
+        """Readers' remarks in elements without telling names."""
+        r = self.r
+        top = self.element(r.choice(["div", "section", "ul"]), parent, 0)
+        self.run(self.element(r.choice(["h2", "h3", "h4", "div"]), top, 0), 0, self.cued("talk", _words(r, 0, 2)) or _words(r, 1, 2))
+        for _ in range(r.randint(1, 6)):
+            one = self.element(r.choice(["div", "li"]), top, 0)
+            self.run(self.element(r.choice(["div", "p"]), one, 0), 0, _words(r, 1, 4), r.choice([0, 1, 1]))
+            for _ in range(r.randint(1, 2)):
+                self.run(self.element(r.choice(["p", "div"]), one, 0), 0, _sentences(r, 1, 4))
+
     def run(self, parent: int, state: int, text: str, linked: float = 0.0) -> None:
         self.element("#text", parent, state)
         self.nodes[-1].text, self.nodes[-1].linked = text, int(linked * len(text))
@@ -185,13 +249,13 @@ class _Maker:
         top = self.element(name, parent, 0, r.choice(_BAD[part]) if not semantic or r.random() < 0.5 else "")
         if part in ("nav", "share") or part == "side" and r.random() < 0.6 or part == "footer" and r.random() < 0.4:
             if part == "side" and r.random() < 0.7:
-                self.run(self.element(r.choice(["h2", "h3", "h4"]), top, 0), 0, _words(r, 1, 3))
+                self.run(self.element(r.choice(["h2", "h3", "h4"]), top, 0), 0, self.cued("side", _words(r, 1, 3)))
             items = top if name in ("ul", "ol") else self.element("ul", top, 0) if r.random() < 0.7 else top
             for _ in range(r.randint(2, 9)):
                 self.run(self.element("li", items, 0) if items != top or name in ("ul", "ol") else top, 0, _words(r, 1, 5), r.choice([1, 1, 1, 0.8]))
         elif part == "talk":
             if r.random() < 0.7:
-                self.run(self.element(r.choice(["h2", "h3", "h4"]), top, 0), 0, _words(r, 1, 3))
+                self.run(self.element(r.choice(["h2", "h3", "h4"]), top, 0), 0, self.cued("talk", _words(r, 1, 3)))
             for _ in range(r.randint(1, 5)):
                 one = self.element(r.choice(["div", "li", "article"]), top, 0, r.choice(_BAD["talk"] + [""]))
                 if r.random() < 0.6:
@@ -211,7 +275,7 @@ class _Maker:
             for _ in range(r.randint(1, 3)):
                 home = top if r.random() < 0.6 else self.element(r.choice(["p", "div"]), top, 0)
                 text = r.choice([_words(r, 1, 8), _sentences(r, 1, 2), _sentences(r, 1, 1)])
-                self.run(home, 0, ("© " if part == "footer" and r.random() < 0.6 else "") + text, r.choice([0, 0, 0, 0.4, 1]))
+                self.run(home, 0, ("© " if part == "footer" and r.random() < 0.6 else "") + self.cued(part, text), r.choice([0, 0, 0, 0.4, 1]))
 
     def article(self, home: int) -> None:
         r = self.r
@@ -221,7 +285,7 @@ class _Maker:
         for _ in range(r.randint(1, 9)):
             roll = r.random()
             if roll < 0.6:
-                self.run(self.element("p", home, 1), 1, _sentences(r, 1, 6), r.choice([0, 0, 0, 0, 0.1, 0.3]))
+                self.prose(self.element("p", home, 1), _sentences(r, 1, 6), r.choice([0, 0, 0, 0, 0.1, 0.3]))
             elif roll < 0.66:
                 self.run(self.element("p", home, 1), 1, _words(r, 5, 120))
             elif roll < 0.72:
@@ -238,8 +302,10 @@ class _Maker:
                 rows = self.element("tr", self.element("table", home, 1), 1)
                 for _ in range(r.randint(2, 5)):
                     self.run(self.element(r.choice(["td", "th"]), rows, 1), 1, _words(r, 1, 4))
+            elif roll < 0.96:
+                self.prose(self.element("noscript", home, 1), _sentences(r, 1, 3))
             elif roll < 0.98:
-                self.run(home, 1, _sentences(r, 1, 4))
+                self.prose(home, _sentences(r, 1, 4))
             else:
                 self.junk(r.choice(["ad", "share", "side", "note"]), home)
 
@@ -258,20 +324,25 @@ class _Maker:
             if r.random() < 0.3:
                 self.junk(r.choice(["nav", "side", "ad"]), outer)
         style = r.random()
-        if style < 0.06:
+        if style < 0.08:
             home = outer  # no element of its own: its parts stand among the others
             self.states[home] = int(outer != at)
-        elif style < 0.55:
+        elif style < 0.45:
             home = self.element("article", outer, 1, r.choice(["", "", *_GOOD]))
-        elif style < 0.65:
+        elif style < 0.55:
             home = self.element("main", outer, 1, r.choice(["", *_GOOD]))
         else:
-            home = self.element(r.choice(["div", "div", "section", "td"]), outer, 1, r.choice(_GOOD) if r.random() < 0.85 else "")
+            home = self.element(r.choice(["div", "div", "section", "td"]), outer, 1, r.choice(_GOOD) if r.random() < 0.6 else "")
         if r.random() < 0.25:
             home = self.element("div", home, 1, r.choice(["", *_GOOD]))
         self.article(home)
         for part in after:
-            self.junk(part, outer if r.random() < 0.3 else at)
+            if part == "talk" and r.random() < 0.4:
+                self.thread(outer if r.random() < 0.3 else at)
+            else:
+                self.junk(part, outer if r.random() < 0.3 else at)
+        if r.random() < 0.15:
+            self.run(self.element("noscript", at, 0), 0, self.cued("note", _sentences(r, 1, 1)))
         return self.nodes, self.states
 
 
