@@ -64,7 +64,7 @@ def observations(nodes: list[Node], i: int) -> list[str]:
     """What is seen of a node."""
     node = nodes[i]
     if node.name != "#text":
-        return ["w:" + word for word in node.labels] or ["bare:" + _KIND.get(node.name, "div")]
+        return ["w:" + word for word in node.labels] or (["bare:div"] if node.name not in _KIND else [])
     text = node.text
     n = len(text)
     share = node.linked / n
