@@ -169,6 +169,112 @@ def test_random_spans_find_keys_after_names_and_in_paths():
         assert not secrets.random_spans(text, []), text
 
 
+def _chi_tail(x, df):
+    """P(chi-squared > x) for an even or odd df, by series."""
+    import math
+    if df % 2 == 0:
+        return math.exp(-x / 2) * sum((x / 2) ** k / math.factorial(k) for k in range(df // 2))
+    terms = sum(x ** (k - 0.5) / math.prod(range(1, 2 * k, 2)) for k in range(1, (df - 1) // 2 + 1))
+    return math.erfc(math.sqrt(x / 2)) + math.sqrt(2 / math.pi) * math.exp(-x / 2) * terms
+
+
+def _battery_by_hand(token):
+    """The three tests from their definitions, with exact chi-squared tails."""
+    import math
+    token = token.rstrip("=")
+    letters = next((a for a in secrets._ALPHABETS.values() if all(c in a for c in token)), None)
+    if letters is None or len(token) < 20:
+        return None
+    n, size, at = len(token), len(letters), [letters.index(c) for c in token]
+    k = max(2, min(16, size, n // 2))
+    expected = [n * sum(x * k // size == c for x in range(size)) / size for c in range(k)]
+    chi = sum((sum(x * k // size == c for x in at) - e) ** 2 / e for c, e in enumerate(expected))
+    signs = [2 * x >= size for x in at]
+    up, down = signs.count(True), signs.count(False)
+    if up and down:
+        runs = len([i for i in range(n) if i == 0 or signs[i] != signs[i - 1]])
+        mean = 2 * up * down / n + 1
+        var = 2 * up * down * (2 * up * down - n) / (n * n * (n - 1))
+        p_runs = math.erfc(abs(runs - mean) / math.sqrt(2 * var)) if var > 0 else 1.0
+    else:
+        p_runs = 2.0 ** (1 - n)
+    mid = sum(at) / n
+    spread = sum((x - mid) ** 2 for x in at)
+    r = sum((at[i] - mid) * (at[i + 1] - mid) for i in range(n - 1)) / spread if spread else 1.0
+    p_serial = math.erfc(abs(r + 1 / n) * math.sqrt(n / 2))
+    fisher = -2 * sum(math.log(max(p, 1e-300)) for p in (_chi_tail(chi, k - 1), p_runs, p_serial))
+    far = n * secrets.ORDINARY
+    scale, df = (k - 1 + 2 * far) / (k - 1 + far), (k - 1 + far) ** 2 / (k - 1 + 2 * far)
+    x = chi / scale
+    p_ordinary = 1 - 0.5 * math.erfc(((x / df) ** (1 / 3) - 1 + 2 / (9 * df)) / math.sqrt(4 / (9 * df)))
+    return _chi_tail(fisher, 6), p_ordinary
+
+
+def test_battery_against_definitions():
+    r = random.Random(41)
+    for _ in range(1500):
+        letters = r.choice(list(secrets._ALPHABETS.values()))
+        token = "".join(r.choice(letters[: r.choice([3, 8, 64])]) for _ in range(r.randint(18, 80)))
+        got, want = secrets.battery(token), _battery_by_hand(token)
+        assert (got is None) == (want is None), token
+        if got:
+            assert abs(got[0] - want[0]) <= 0.004 + 0.03 * want[0], token  # a normal approximation against exact tails
+            assert got[1] == pytest.approx(want[1], abs=1e-9)
+
+
+def _random_by_hand(text, base):
+    """Candidates of all parts and step-up control, comparing all pairs of spans."""
+    family = []
+    for m in re.finditer(r"[A-Za-z0-9+/_-]{20,}(?:=+(?![A-Za-z0-9+/_=-]))?", text):
+        spans = set()
+        for inner in ("+/_-", "+/", "_-", ""):
+            spans |= {(m.start() + c.start(), m.start() + c.end()) for c in re.finditer(rf"[A-Za-z0-9{inner}]{{20,}}=*", m[0])}
+        spans = sorted((-(e - s), s, e) for s, e in spans if all(e <= a or s >= b for a, b, _ in base))
+        tested = []
+        for n, s, e in spans:
+            both = any(c in "0123456789" for c in text[s:e]) and any(c.isalpha() for c in text[s:e])
+            tests = secrets.battery(text[s:e]) if both else None
+            tested.append((min(1.0, tests[1] * len(spans)) if tests and tests[0] >= 1e-4 else 1.0, -n, s, e))
+        held = []
+        for t in tested:
+            if t[0] <= 0.01 and all(t[3] <= h[2] or t[2] >= h[3] for h in held):
+                held.append(t)
+        family += held or sorted(tested, key=lambda t: (t[0], -t[1], t[2]))[:1]
+    if not family:
+        return []
+    mean = sum(f[1] for f in family) / len(family)
+    weighted = sorted((p * mean / n, s, e) for p, n, s, e in family)
+    passed = [k for k in range(len(weighted)) if weighted[k][0] <= 0.01 * (k + 1) / len(weighted)]
+    return [(s, e, "random") for _, s, e in weighted[: max(passed, default=-1) + 1]]
+
+
+def test_random_spans_against_all_pairs():
+    r = random.Random(42)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    some = 0
+    for _ in range(400):
+        make = lambda: r.choice(["".join(r.choice(letters) for _ in range(r.randint(10, 50))), "word_and_word", "0f3c" * 7, "token=abc123xyz", "/", "-", "_", "=", " ", "+"])
+        text = "".join(make() for _ in range(r.randint(1, 25)))
+        base = secrets.base_spans(text)
+        got = secrets.random_spans(text, base)
+        assert got == _random_by_hand(text, base), text
+        some += bool(got)
+    assert some > 100
+
+
+@pytest.mark.parametrize("piece", ["token=abcdefgh1234567 ", "0123456789abcdef01234567/", "Zx81kQpW03vTyL9sRb57NcHd2eFm/", "Zx81kQpW03vTyL9sRb57-NcHd2eFm7y8Uq2", "Zx81kQ"])
+def test_secrets_of_long_texts_take_linear_time(piece):
+    import time
+    began = time.process_time()
+    spans = secrets.all_spans(piece * 20_000)[1]
+    assert time.process_time() - began < 20  # comparing all pairs takes minutes
+    assert spans
+    long = "Zx81kQpW03vTyL9s" * 20
+    before = secrets._remembered.cache_info().currsize
+    secrets.battery(long)
+    assert secrets._remembered.cache_info().currsize == before
+
+
 def test_redaction_keeps_rows_and_other_text(docs, rows):
     out = secrets.redact(docs)
     assert out.columns == docs.columns

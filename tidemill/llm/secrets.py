@@ -27,7 +27,8 @@ false-discovery rate of ``FALSE_DISCOVERY`` by the weighted procedure of Benjami
 weights in proportion to length and mean one. A candidate also needs a letter and a digit, as words
 and numbers are no keys.
 
-Rows are independent: one pass, no shuffle. A null or empty text has no spans. Repeated rows each
+Rows are independent: one pass, no shuffle. A null or empty text has no spans. A very long text, or token,
+takes time and memory in proportion to its length (candidates are sorted); no part of it is skipped. Repeated rows each
 give a row; other columns are ignored or passed along on request.
 """
 from __future__ import annotations
@@ -47,6 +48,8 @@ from tidemill.llm.common import pick, shelved, ship
 #: In the order in which kinds at the same start are listed.
 KINDS = ("assign", "access", "hex", "random")
 LEAST_RANDOM, ORDINARY, FALSE_DISCOVERY, CANDIDATE_CHARS = 1e-4, 2.0, 0.01, 20
+#: Tokens up to this length have their tests remembered in a process.
+SHORT = 256
 
 _ANY_CASE = "|".join(
     "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
@@ -104,9 +107,17 @@ def _chi_normal(x: float, df: float) -> float:
     return ((x / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df))
 
 
-@lru_cache(maxsize=1 << 12)
 def battery(token: str) -> tuple[float, float] | None:
     """p-value under "random" and p-value under "ordinary"; None if no encoding fits."""
+    return _remembered(token) if len(token) <= SHORT else _battery(token)
+
+
+@lru_cache(maxsize=1 << 12)
+def _remembered(token: str) -> tuple[float, float] | None:
+    return _battery(token)
+
+
+def _battery(token: str) -> tuple[float, float] | None:
     token = token.rstrip("=")
     name = encoding_of(token)
     n = len(token)
@@ -154,29 +165,54 @@ def _mixed(token: str) -> bool:
     return any(c.isdigit() for c in token) and any(c.isalpha() for c in token)
 
 
+class _Marks:
+    """Characters of a part that spans cover; asking takes time in proportion to the characters asked about."""
+
+    def __init__(self, start: int, end: int) -> None:
+        self.start, self.marks = start, bytearray(end - start)
+
+    def cover(self, at: int, to: int) -> None:
+        at, to = max(0, at - self.start), min(len(self.marks), to - self.start)
+        self.marks[at:to] = b"\1" * (to - at)
+
+    def free(self, at: int, to: int) -> bool:
+        return self.marks.find(1, at - self.start, to - self.start) < 0
+
+
 def _stand_for(text: str, start: int, end: int, taken: list[tuple[int, int]]) -> list[tuple[float, int, int, int]]:
     """(p-value, length, start, end) of the candidates that stand for a part; none if base spans leave no candidate."""
-    apart = lambda at, to, others: not any(s < to and e > at for s, e in others)
+    marks = _Marks(start, end)
+    for s, e in taken:
+        marks.cover(s, e)
     spans = {m.span() for cut in _CUTS for m in cut.finditer(text, start, end)}
-    spans = [s for s in spans if apart(*s, taken)]
+    spans = [s for s in spans if marks.free(*s)]
     tested = []
     for at, to in spans:
         token = text[at:to]
         tests = battery(token) if _mixed(token) else None
         fit = tests is not None and tests[0] >= LEAST_RANDOM
         tested.append((min(1.0, tests[1] * len(spans)) if fit else 1.0, to - at, at, to))
-    found = []
+    found, marks = [], _Marks(start, end)
     for one in sorted(tested, key=lambda c: (-c[1], c[2])):
-        if one[0] <= FALSE_DISCOVERY and apart(*one[2:], [c[2:] for c in found]):
+        if one[0] <= FALSE_DISCOVERY and marks.free(*one[2:]):
             found.append(one)
+            marks.cover(*one[2:])
     return found or sorted(tested, key=lambda c: (c[0], -c[1], c[2]))[:1]
 
 
 def random_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """Spans that the battery adds to ``base`` (sorted by start)."""
     family = []
+    # One sweep over parts and base spans. Spans of one kind don't overlap, so few are live before the part's own.
+    live: list[tuple[int, int]] = []
+    ahead = 0
     for m in _PART.finditer(text):
-        family += _stand_for(text, *m.span(), [s[:2] for s in base if s[0] < m.end() and s[1] > m.start()])
+        start, end = m.span()
+        while ahead < len(base) and base[ahead][0] < end:
+            live.append(base[ahead][:2])
+            ahead += 1
+        live = [s for s in live if s[1] > start]
+        family += _stand_for(text, start, end, live)
     if not family:
         return []
     mean = sum(f[1] for f in family) / len(family)
