@@ -240,6 +240,24 @@ def test_vector_recall_at_the_threshold():
         assert met.mean() >= least
 
 
+def test_vector_recall_with_wider_segments():
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((1500, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side = rng.standard_normal((1500, 64))
+    side -= (side * x).sum(1, keepdims=True) * x
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    y = 0.931 * x + math.sqrt(1 - 0.931**2) * side
+    assert embeddings.layout(50_000) == embeddings.layout(1 << 20) == (16, 6)
+    for classes in (1 << 24, 1 << 31):
+        bits, rotations = embeddings.layout(classes)
+        assert bits > 16 and classes / 2**bits <= embeddings.CHANCE
+        mean, axes = embeddings.learn_rotations(x, rotations=rotations, rounds=3)
+        a, b = embeddings.codes_of(x, mean, axes, bits), embeddings.codes_of(y, mean, axes, bits)
+        assert a.shape == (1500, rotations * (64 // bits))
+        assert (a == b).any(axis=1).mean() >= 0.9
+
+
 def test_hamming_top_k(spark, monkeypatch):
     rng = np.random.default_rng(9)
     rows = [(i, [float(v) for v in rng.standard_normal(40)], 1, "m", 1, 2) for i in range(300)]
@@ -259,3 +277,18 @@ def test_hamming_top_k(spark, monkeypatch):
         monkeypatch.setattr(hamming, "QUERIES", queries)
         assert Counter(map(tuple, hamming.nearest(spark.createDataFrame(rows, VECTORS)).collect())) == want
     assert hamming.nearest(spark.createDataFrame([], VECTORS)).collect() == []
+
+
+def test_steps_of_a_search_grow_with_the_rows_met():
+    rng = np.random.default_rng(10)
+    codes, steps = rng.integers(0, 256, (80_000, 8)).astype(np.uint8), []
+    for n in (40_000, 80_000):
+        tables = hamming.SegmentTables(codes[:n])
+        for q in range(50):
+            tables.search(codes[q], 10, np.array([q]), np.arange(n), 64)
+        steps.append(tables.steps)
+    assert steps[1] <= 2.1 * steps[0]
+    # A bound from elsewhere ends a search that finds nothing within it.
+    tables.steps = 0
+    at, far = tables.search(codes[0] ^ np.uint8(255), 10, np.zeros(0, np.int64), np.arange(80_000), 3)
+    assert len(at) == 0 and tables.steps < 100

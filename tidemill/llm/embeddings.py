@@ -3,11 +3,13 @@
 Vectors with the same label link when their cosine, in double precision, is ``LEAST`` or more.
 
 1. Equal vectors of one label collapse to a class with a count, by an aggregation.
-2. Iterative quantisation learns rotations (one for each of ``ROTATIONS`` seeded starts) on a
+2. Iterative quantisation learns rotations (one for each of several seeded starts) on a
    sample of at most ``SAMPLE`` vectors, those with the smallest seeded hashes. Signs of a centred
    and rotated unit vector are a balanced 64-bit code.
-3. Each code is cut into segments of 16 bits; each segment is a key of its own table. Table rows
-   are narrow (class, table, key). Keys held by one class only are dropped before vectors are joined.
+3. Each code is cut into segments of 16 bits or more; each segment is a key of its own table. Segments
+   are as wide as it takes for at most ``CHANCE`` classes of the largest label to share one by chance, and
+   there are as many rotations as ``RECALL`` takes for that width (6 up to a million classes, 44 for a
+   billion), so work grows little faster than the rows. Table rows are narrow (class, table, key). Keys held by one class only are dropped before vectors are joined.
 4. Classes that share a key are reranked with their original vectors by block products. A pair that
    meets in more than one table counts in the first only, as the codes show. Keys with more than
    ``BLOCK`` classes are cut into blocks, and every pair of blocks is a task of its own, so none is
@@ -19,15 +21,17 @@ Steps 2 to 4 are taken for each length of more than ``FEW`` classes. All shorter
 compared exactly, a task for each length, so their number doesn't matter and no rotations are learned.
 
 All vectors are indexed; only the sample for the rotations is bounded. Recall is that of meeting in
-one of ROTATIONS * 4 tables: 0.96 at a cosine of exactly 0.93 for random rotations, over 0.99 from
+one of all tables: 0.96 at a cosine of exactly 0.93 for random rotations, over 0.99 from
 0.95; tests measure it against brute force. No pair below the threshold is ever linked.
 
 Vectors that are null, empty, zero, or hold null or non-finite components, and those without a label,
 link with nothing and keep themselves. Vectors of different lengths don't link. Repeated rows with
-one vec_id are other vectors to each other as far as counts go.
+one vec_id are other vectors to each other as far as counts go. An empty table gives no rows; other
+columns, whatever their names, are ignored.
 """
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,12 +40,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.llm.common import pick, pin, ship, unit, width
-from tidemill.llm.components import components, local_roots
+from tidemill.llm.components import components, local_roots, with_least
 
-LEAST, SAMPLE, ROTATIONS, SEGMENT, BLOCK, CELL, FEW, SEED = 0.93, 4096, 6, 16, 2048, 20_000, 1024, 3
+LEAST, SAMPLE, BLOCK, CELL, FEW, SEED = 0.93, 4096, 2048, 20_000, 1024, 3
+#: Bits of a code, classes that share a segment by chance, on average, at most, and recall at a cosine of just ``LEAST``.
+BITS, CHANCE, RECALL = 64, 16, 0.96
 
 
-def learn_rotations(x: np.ndarray, bits: int = 64, rotations: int = ROTATIONS, rounds: int = 30, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+def layout(classes: int) -> tuple[int, int]:
+    """Bits of a segment and number of rotations for so many classes of one label."""
+    bits = min(32, max(16, math.ceil(math.log2(max(1, classes) / CHANCE))))
+    agree = (1 - math.acos(LEAST) / math.pi) ** bits
+    tables = math.ceil(math.log(1 - RECALL) / math.log(1 - agree))
+    return bits, -(-tables // (BITS // bits))
+
+
+def learn_rotations(x: np.ndarray, bits: int = BITS, rotations: int = 6, rounds: int = 30, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
     """Mean, and a matrix (dimensions by rotations * bits), from unit vectors in rows.
 
     Each rotation starts at random and alternates signs with the rotation that brings the vectors
@@ -69,10 +83,11 @@ def learn_rotations(x: np.ndarray, bits: int = 64, rotations: int = ROTATIONS, r
     return mean, np.hstack(out)
 
 
-def codes_of(x: np.ndarray, mean: np.ndarray, axes: np.ndarray) -> np.ndarray:
-    """Segments (unsigned 16 bits) of the codes of unit vectors, a column for each table."""
-    bits = (x - mean) @ axes >= 0
-    return np.packbits(bits, axis=1, bitorder="little").view("<u2")
+def codes_of(x: np.ndarray, mean: np.ndarray, axes: np.ndarray, bits: int = 16) -> np.ndarray:
+    """Segments of ``bits`` bits of the codes of unit vectors, a column of 32-bit integers for each table."""
+    signs = ((x - mean) @ axes >= 0).reshape(len(x), -1, BITS)
+    kept = signs[:, :, : BITS // bits * bits].reshape(len(x), -1, bits)
+    return (kept @ (1 << np.arange(bits, dtype=np.int64))).astype(np.uint32).view(np.int32)
 
 
 def _unit_rows(vectors: pd.Series) -> np.ndarray:
@@ -97,7 +112,7 @@ def _pairs_of_key(x: np.ndarray, a: np.ndarray, b: np.ndarray, least: float) ->
 
 def _cell_links(meet: pd.DataFrame, least: float) -> pd.DataFrame:
     """Links within all keys of a cell: a row for each class that has any, with its count and its root in the cell."""
-    x, seg = _unit_rows(meet["embedding"]), np.stack([np.frombuffer(c, "<u2") for c in meet["code"]])
+    x, seg = _unit_rows(meet["embedding"]), np.stack(meet["code"].to_list())
     keys = [meet[c].to_numpy() for c in ("j", "i", "key", "t", "label")]
     order = np.lexsort(keys)
     changed = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
@@ -150,7 +165,8 @@ def near_vectors(vectors: DataFrame, least: float = LEAST) -> DataFrame:
     groups = rows.where("sound").groupBy("mark").agg(
         F.min("vec_id").alias("first"), F.count("*").alias("n"), F.first("label").alias("label"), F.first("embedding").alias("embedding")
     )
-    groups = pin(groups.select("*", F.xxhash64("mark").alias("cls")))
+    # Written down once, so the numbers that classes get here are theirs for good.
+    groups = pin(groups.select("*", F.monotonically_increasing_id().alias("cls")))
     groups = groups.withColumn("d", F.size("embedding"))
     sizes = groups.groupBy("d").agg(F.count("*").alias("m"))
     many = [r["d"] for r in sizes.where(F.col("m") > FEW).orderBy("d").collect()]
@@ -161,9 +177,8 @@ def near_vectors(vectors: DataFrame, least: float = LEAST) -> DataFrame:
     counts = links.groupBy("cls").agg(F.sum("links").alias("links"))
     roots = components(links.select(F.col("cls").alias("u"), F.col("root").alias("v")))
     g = groups.select("mark", "first", "n", "cls").join(counts, "cls", "left").join(roots, F.col("cls") == F.col("node"), "left")
-    g = g.select("mark", "first", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "cls").alias("root"))
-    lowest = g.groupBy("root").agg(F.min("first").alias("component"))
-    g = g.join(lowest, "root").select("mark", "n_links", "component")
+    g = pin(g.select("mark", "cls", "first", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "root"))
+    g = with_least(g, "root", "cls", "first", "component").select("mark", "n_links", "component")
     out = rows.select("vec_id", "mark").join(g, "mark", "left")
     component = F.when(F.col("component").isNull(), F.col("vec_id")).otherwise(F.col("component"))
     return out.select(
@@ -176,7 +191,7 @@ def _links_of_few(groups: DataFrame, least: float) -> DataFrame:
     """cls, links and root for the classes that have links, where no length has more than ``FEW`` classes: each label as one key."""
 
     def compared(meet: pd.DataFrame) -> pd.DataFrame:
-        same = {"t": 0, "key": 0, "i": 0, "j": 0, "block": 0, "code": bytes(2)}
+        same = {"t": 0, "key": 0, "i": 0, "j": 0, "block": 0, "code": [np.zeros(1, np.int32)] * len(meet)}
         return _cell_links(meet.assign(**same), least)
 
     return groups.select("d", "cls", "label", "n", "embedding").groupBy("d").applyInPandas(compared, "cls bigint, links bigint, root bigint")
@@ -186,19 +201,18 @@ def _links_of_length(groups: DataFrame, least: float) -> DataFrame:
     """cls, links and root, once for each block in which a class has links."""
     spark = groups.sparkSession
     sample = groups.orderBy(unit(SEED, F.col("mark"))).limit(SAMPLE).select("mark", "embedding").toPandas().sort_values("mark")
-    mean, axes = learn_rotations(_unit_rows(sample["embedding"]))
+    most = groups.groupBy("label").count().agg(F.max("count")).first()[0] or 0
+    bits, rotations = layout(most)
+    mean, axes = learn_rotations(_unit_rows(sample["embedding"]), rotations=rotations)
     shared = spark.sparkContext.broadcast((mean, axes))  # dimensions squared, whatever the number of rows
 
-    @F.pandas_udf("binary")
+    @F.pandas_udf("array<int>")
     def coded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for vectors in batches:
-            segments = codes_of(_unit_rows(vectors), *shared.value) if len(vectors) else []
-            yield pd.Series([s.tobytes() for s in segments], dtype=object)
+            yield pd.Series(list(codes_of(_unit_rows(vectors), *shared.value, bits)) if len(vectors) else [], dtype=object)
 
-    tables = axes.shape[1] // SEGMENT
     full = pin(groups.select("cls", "label", "n", "embedding", coded("embedding").alias("code")))
-    key = [F.struct(F.lit(t).alias("t"), F.conv(F.hex(F.substring("code", 2 * t + 1, 2)), 16, 10).cast("int").alias("key")) for t in range(tables)]
-    held = full.select("cls", "label", F.explode(F.array(*key)).alias("k")).select("cls", "label", "k.*")
+    held = full.select("cls", "label", F.posexplode("code").alias("t", "key"))
     shared_keys = held.groupBy("label", "t", "key").agg(F.count("*").alias("m")).where("m > 1")
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     met = held.join(shared_keys, ["label", "t", "key"]).withColumn("s", blocks).withColumn("block", F.pmod(F.hash("cls"), "s"))

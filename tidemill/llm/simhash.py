@@ -18,7 +18,8 @@ nothing; documents meet their component again by fingerprint in a join that Spar
 Texts are lower-cased in A-Z, words are runs of anything but ASCII white space, and shingles of
 ``SHINGLE`` words count as often as they occur. A null text counts as the empty text; texts without
 words have fingerprint zero and link like others. Repeated rows each give a row; other columns are
-ignored. A component whose doc_ids are all null has a null component_id.
+ignored. A component whose doc_ids are all null has a null component_id. An empty table gives no rows. A very
+long text takes memory in proportion to its length, in the task that reads it.
 """
 from __future__ import annotations
 
@@ -30,11 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.llm.common import pick, pin, shelved, ship
-from tidemill.llm.components import components, local_roots
+from tidemill.llm.components import components, local_roots, with_least
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 #: Distinct fingerprints, on average, whose own cell is the same; and variants that a task sorts at once.
 CELL, AT_ONCE = 1500, 1_000_000
+#: Rows of a cell beyond which it is split before the shuffle, and the bits that cells have at most.
+CROWD, MOST_BITS = 1_000_000, 48
 
 
 def fingerprint(text: str | None) -> int:
@@ -118,8 +121,9 @@ def _unique(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, np.nd
     return both >> np.int64(32), both & np.int64(0xFFFFFFFF)
 
 
-def _cell_roots(cell: pd.DataFrame, bits: int) -> pd.DataFrame:
+def _cell_roots(cell: pd.DataFrame) -> pd.DataFrame:
     """One row for each fingerprint of a cell that is not its own root there."""
+    bits = int(cell["bits"].iloc[0])
     fp = cell["fp"].to_numpy().astype(np.uint64)
     used = cell["used"].to_numpy()
     a, b = links(fp & np.uint64((1 << 64 - bits) - 1), used, 64 - bits)
@@ -136,12 +140,30 @@ def classes(prints: DataFrame) -> DataFrame:
     count = distinct.count()
     while count >> bits > CELL and bits < 24:
         bits += 2
-    masks = F.array(*(F.struct(F.lit(m).alias("mask"), F.lit(k).cast("byte").alias("used")) for m, k in _ball(bits, RADIUS // 2)))
-    sent = distinct.select("fp", F.explode(masks).alias("m")).select(
-        "fp", "m.used", F.shiftrightunsigned("fp", 64 - bits).cast("int").bitwiseXOR(F.col("m.mask").cast("int")).alias("cell")
+    sent = distinct.select("fp", F.lit(0).cast("byte").alias("used"), F.lit(0).alias("bits"), F.lit(0).cast("bigint").alias("cell"))
+    sent, edges = _deeper(sent, bits), None
+    while True:
+        # Cells that hold too many rows for one task are dealt by further bits, before anything is sent.
+        sizes = sent.groupBy("bits", "cell").agg(F.count("*").alias("n")).where(F.col("n") > CROWD)
+        crowded = pin(sizes.select("bits", "cell")) if bits + 4 <= MOST_BITS else None
+        some = crowded is not None and not crowded.isEmpty()
+        calm = sent.join(crowded, ["bits", "cell"], "left_anti") if some else sent
+        found = calm.groupBy("bits", "cell").applyInPandas(_cell_roots, "u bigint, v bigint")
+        edges = found if edges is None else edges.unionByName(found)
+        if not some:
+            return components(edges)
+        sent, bits = pin(_deeper(sent.join(crowded, ["bits", "cell"]), 4)), bits + 4
+
+
+def _deeper(sent: DataFrame, more: int) -> DataFrame:
+    """Rows (fp, used, bits, cell) sent on to the cells of ``more`` further bits that their variants reach."""
+    masks = F.array(*(F.struct(F.lit(m).alias("mask"), F.lit(k).cast("byte").alias("flips")) for m, k in _ball(more, RADIUS // 2)))
+    out = sent.select("fp", "used", "bits", "cell", F.explode(masks).alias("m")).where(F.col("used") + F.col("m.flips") <= RADIUS // 2)
+    next_bits = F.expr(f"shiftrightunsigned(shiftleft(fp, bits), {64 - more})").bitwiseXOR(F.col("m.mask").cast("bigint"))
+    return out.select(
+        "fp", (F.col("used") + F.col("m.flips")).cast("byte").alias("used"), (F.col("bits") + more).alias("bits"),
+        F.shiftleft("cell", more).bitwiseOR(next_bits).alias("cell"),
     )
-    edges = sent.groupBy("cell").applyInPandas(lambda cell: _cell_roots(cell, bits), "u bigint, v bigint")
-    return components(edges)
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
@@ -154,10 +176,8 @@ def near_copies(docs: DataFrame) -> DataFrame:
 def with_component(rows: DataFrame) -> DataFrame:
     """``rows`` (doc_id, fp and others) with component_id, the smallest doc_id of all that are linked."""
     firsts = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    found = firsts.join(classes(rows), firsts["fp"] == F.col("node"), "left")
-    found = found.select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    roots = found.groupBy("root").agg(F.min("first").alias("component_id"))
-    return rows.join(found.join(roots, "root").select("fp", "component_id"), "fp")
+    found = pin(firsts.join(classes(rows), firsts["fp"] == F.col("node"), "left").select("fp", "first", "root"))
+    return rows.join(with_least(found, "root", "fp", "first", "component_id").select("fp", "component_id"), "fp")
 
 
 @shelved

@@ -7,8 +7,8 @@ so one sweep over sorted keys with a stack of open rules sees, at each URL, exac
 host fits. Of those whose path starts the URL's path the longest wins: by characters of host and
 path together, then of the host.
 
-URLs are spread by ranges of (key, path, id) whose bounds come from a sample of at most
-``SAMPLE`` rows; the sample steers balance only. A rule goes to every range that its interval
+URLs are spread by ranges of (key, path, id) whose bounds come from a sample of about ``SAMPLE`` rows, or
+``EACH`` for a range of ``RANGE`` rows where that is more; the sample steers balance only. A rule goes to every range that its interval
 touches, which for all but the broadest rules is one. A host with very many URLs is split by path
 and id. Each range is sorted and swept in one pass.
 
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tidemill.llm.common import pick, ship, width
 
-SAMPLE = 20_000
+SAMPLE, EACH = 20_000, 10
 #: URLs of a range, on average, at most.
 RANGE = 250_000
 #: Sorts after every character of a key.
@@ -84,8 +84,8 @@ def judge(pages: DataFrame, rules: DataFrame | Iterable[tuple[str, str, str]], d
     order = F.concat("key", F.lit("\x00"), "path", F.lit("\x00"), F.coalesce(F.col("page_id").cast("string"), F.lit("")))
     count = pages.count()
     ranges = max(1, width(spark), count // RANGE)
-    share = min(1.0, SAMPLE / max(1, count))
-    sample = sorted(r[0] for r in urls.select(order.alias("o")).sample(share, seed=1).limit(2 * SAMPLE).collect())
+    wanted = max(SAMPLE, EACH * ranges)
+    sample = sorted(r[0] for r in urls.select(order.alias("o")).sample(min(1.0, wanted / max(1, count)), seed=1).limit(2 * wanted).collect())
     bounds = sorted({sample[len(sample) * i // ranges] for i in range(1, ranges)}) if sample else []
 
     @F.pandas_udf("int")
