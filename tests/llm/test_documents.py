@@ -13,6 +13,7 @@ import xxhash
 
 import corpus_pipeline
 from tidemill.llm import bpe, langid, mixing, secrets, sharding, simhash
+from tidemill.llm.common import pin
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, TEXT string, _id string, size double, g int"
 PATH = P.path("byte_bpe_50k.tiktoken")
@@ -304,6 +305,58 @@ def test_more_than_sixty_four_languages(spark):
     assert {x["lang_pred"] for x in out} == set(lang.values())
 
 
+def test_language_votes_by_hand():
+    """Family first, then votes of pairs, from dense features and the learned weights, one text at a time."""
+    r = random.Random(51)
+    words = {g: ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 7))) for _ in range(40)] for g in ("en", "de", "nl", "fr", "es", "ru", "xx")}
+    texts, langs = [], []
+    for g, own in words.items():
+        for _ in range(40):
+            texts.append(" ".join(r.choice(own + words["en"][:15]) for _ in range(r.randint(3, 40))))
+            langs.append(g)
+    feats = [langid.features(t) for t in texts]
+    model = langid.Model(langid.Sample([np.flatnonzero(f) for f in feats], [f[f > 0] for f in feats]), langs)
+    right = 0
+    for _ in range(200):
+        g = r.choice(list(words))
+        text = " ".join(r.choice(words[g] + words["en"][:15]) for _ in range(r.randint(2, 12)))
+        x = np.zeros(langid.BUCKETS)
+        got = langid.cells(text)
+        for c in got:
+            x[c] += 1 / len(got)
+        margin = {key: sum(float(x[c]) * float(model.table[c, i]) for c in np.flatnonzero(x)) + model.bias[i] for key, i in model.index.items()}
+        family = max({key[1] for key in margin if key[0] == "family"}, key=lambda f: margin["family", f])
+        members = [m for m in words if langid._FAMILY.get(m, m) == family]
+        wins, sums = Counter(), Counter()
+        for a in members:
+            for b in members:
+                if (a, b) in margin:
+                    wins[a if margin[a, b] >= 0 else b] += 1
+                    sums[a] += margin[a, b]
+                    sums[b] -= margin[a, b]
+        want = max(members, key=lambda m: (wins[m], sums[m]))
+        assert model.predict(text)[0] == want
+        right += want == g
+    assert right >= 150
+
+
+def test_language_and_secrets_of_a_long_text(spark):
+    long = "le la les une pour que " * 200_000
+    docs = spark.createDataFrame([(i, _prose(random.Random(i), g, 40), g) for i in range(40) for g in ("en", "fr")] + [(99, long, None)], "doc_id bigint, text string, lang string")
+    assert [x["lang_pred"] for x in langid.identify(docs).collect() if x["doc_id"] == 99] == ["fr"]
+    # A million words, one shingle at a time.
+    assert simhash.fingerprint(long) == _print_of_counts(Counter(zip(*(long.split()[i:] for i in range(4)))))
+
+
+def _print_of_counts(grams):
+    total, votes = sum(grams.values()), [0] * 64
+    for g, n in grams.items():
+        h = xxhash.xxh64_intdigest(" ".join(g).encode(), 42)
+        for k in range(64):
+            votes[k] += n * (h >> k & 1)
+    return sum(1 << k for k in range(64) if 2 * votes[k] > total)
+
+
 def test_language_cases(docs, none, rows):
     out = langid.identify(docs).collect()
     assert len(out) == len(rows)
@@ -519,6 +572,40 @@ def test_pipeline(spark, tmp_path, rows):
     assert Counter(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).collect())) == Counter(map(tuple, seen[5].collect()))
 
 
+def test_pipeline_stages_by_brute_force(spark, rows):
+    """Redaction and mixture inside the pipeline, and columns whose names clash with those of documents."""
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, TEXT string, _id string, size double, g int"
+    docs = spark.createDataFrame(rows, schema)
+    kept = docs
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        before = {r[0]: r[1] for r in kept.collect()}
+        kept = pin(stage(spark, kept, ""))  # as Parquet holds no names that differ in case only
+        assert kept.columns == docs.columns
+    for r in kept.collect():
+        text = before[r[0]]
+        base = [tuple(map(int, s.split(":")[1:])) for s in _base_by_hand(text)]
+        more = _random_by_hand(text, secrets.base_spans(text))
+        out, at = "", 0
+        for s, e in sorted(base + [(s, e) for s, e, _ in more]):
+            if s >= at:
+                out += text[at:s] + "[SECRET]"
+            at = max(at, e)
+        assert r[1] == out + text[at:]
+        assert r[4] is None or r[4] == len(r[1])
+    size = {r[0]: len((r[1] or "").encode().split()) for r in kept.collect()}
+    source = {r[0]: r[3] for r in kept.collect()}
+    mixed = corpus_pipeline.mixture(spark, kept, "")
+    took = Counter()
+    for r in mixed.collect():
+        took[r[3]] += size[r[0]]
+    target = {source[r["doc_id"]]: r["target"] for r in mixing.mix(kept).collect()}
+    for name, wanted in target.items():
+        assert abs(took[name] - wanted) <= 2 * max(size[i] for i in size if source[i] == name)
+    mixed = pin(mixed)
+    out = corpus_pipeline.tokens(spark, mixed, "")
+    assert Counter(r["doc_id"] for r in out.collect()) == Counter(r[0] for r in mixed.collect())
+
+
 def test_pipeline_of_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []

@@ -13,7 +13,9 @@ learned ``ABREAST`` at a time. Everything else covers all rows. Learning rows ar
 are not null. lang, source and doc_id are never inputs of a prediction.
 
 A text that is null or has no letter gets ``und`` with score 0. If nothing can be learned from, all
-texts get ``und``. Repeated rows each give a row. A doc_id of null counts as not held out.
+texts get ``und``. Repeated rows each give a row. A doc_id of null counts as not held out. An empty table gives
+no rows. A very long text takes memory in proportion to its length, in the task that reads it. Other columns,
+whatever their names, are ignored, or passed along by :func:`keep_identified`.
 """
 from __future__ import annotations
 
