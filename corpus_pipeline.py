@@ -4,8 +4,10 @@ Language ID drops texts without a language and writes the predicted one; SimHash
 of each group of near copies; the secret scan replaces secrets in the texts; mixing takes documents,
 some twice and some not at all, to bring sources to their targets; byte-level BPE encodes what is left.
 
-Columns that documents have besides doc_id, text, lang, source and n_chars go along unread. A null
-n_chars stays null. An empty table gives an empty result with the columns of the last stage.
+Columns that documents have besides doc_id, text, lang, source and n_chars go along unread as far as the
+mixture, whatever their names; the last stage returns doc_id, lang, source and what it made of the text. A null
+n_chars stays null. An empty table gives an empty result with the columns of the last stage. A very long text
+takes memory in proportion to its length in the task that reads it.
 """
 from __future__ import annotations
 
