@@ -55,11 +55,11 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("agg7_required_set_rule", """WITH g AS (SELECT user_id, bool_or(event_type = 'purchase') AS p, bool_or(event_type = 'signup') AS s, bool_or(event_type = 'error') AS e, count(*) AS n,
-count(*) FILTER (WHERE event_type IN ('purchase', 'signup')) AS ps, count(*) FILTER (WHERE event_type = 'error') AS ee FROM events WHERE event_id % 17 = 0 GROUP BY 1)
+count(*) FILTER (WHERE event_type IN ('purchase', 'signup')) AS ps, count(*) FILTER (WHERE event_type = 'error') AS ee FROM events GROUP BY 1)
 SELECT user_id, CASE WHEN p AND s THEN 'buyer' WHEN e THEN 'trouble' END AS label,
 CASE WHEN p AND s THEN 0.95::DOUBLE * (0.5 + 0.5 * ps / n) WHEN e THEN 0.85::DOUBLE * (0.5 + 0.5 * ee / n) END AS confidence FROM g""")
 def _(t: Tables) -> DataFrame:
-    return A.first_rule(t.events.where("event_id % 17 = 0"), "user_id", "event_type", [(["purchase", "signup"], "buyer", 0.95), (["error"], "trouble", 0.85)])
+    return A.first_rule(t.events, "user_id", "event_type", [(["purchase", "signup"], "buyer", 0.95), (["error"], "trouble", 0.85)])
 
 
 @query("agg8_stage_rollup", """WITH g AS (SELECT user_id, count(*) FILTER (WHERE event_type = 'purchase') AS done, count(*) FILTER (WHERE event_type = 'error') AS failed FROM events GROUP BY 1)
@@ -151,16 +151,16 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("agg19_state_lattice", """SELECT user_id, CASE max(CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 2 WHEN 'purchase' THEN 3 END) WHEN 1 THEN 'view' WHEN 2 THEN 'click' WHEN 3 THEN 'purchase' END AS event_type
-FROM events WHERE event_type IN ('view', 'click', 'purchase') AND event_id % 13 = 0 GROUP BY 1""")
+FROM events WHERE event_type IN ('view', 'click', 'purchase') GROUP BY 1""")
 def _(t: Tables) -> DataFrame:
-    rows = t.events.where("event_type IN ('view', 'click', 'purchase') AND event_id % 13 = 0")
+    rows = t.events.where("event_type IN ('view', 'click', 'purchase')")
     return A.lattice_state(rows, "user_id", "event_type", ["view", "click", "purchase"])
 
 
-@query("agg20_group_items", "SELECT lower(lang) AS section, count(*) AS n, string_agg(doc_id, ',' ORDER BY doc_id) AS docs FROM documents GROUP BY 1")
+@query("agg20_group_items", "SELECT doc_id // 50 AS parent, lower(lang) AS section, count(*) AS n, string_agg(doc_id, ',' ORDER BY doc_id) AS docs FROM documents GROUP BY 1, 2")
 def _(t: Tables) -> DataFrame:
     docs = F.array_join(F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: x.cast("string")), ",")
-    return t.documents.groupBy(F.lower("lang").alias("section")).agg(F.count("*").alias("n"), docs.alias("docs"))
+    return t.documents.groupBy(F.floor(F.col("doc_id") / 50).alias("parent"), F.lower("lang").alias("section")).agg(F.count("*").alias("n"), docs.alias("docs"))
 
 
 @query("agg21_ratio", "SELECT source, avg(CASE WHEN n_chars > 1000 THEN 1.0::DOUBLE ELSE 0 END) AS ratio FROM documents GROUP BY 1")
@@ -182,12 +182,12 @@ def _(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", ((F.col("lang") != "es") & ((F.col("doc_id") % 10 == 1) | (F.col("n_chars") % 100 >= 70))).alias("process"))
 
 
-@query("p10_manifest", """SELECT source, count(*) FILTER (WHERE n_chars > 500) AS process, count(*) FILTER (WHERE n_chars <= 500) AS skip,
+@query("p10_manifest", """SELECT doc_id // 50 AS batch, count(*) FILTER (WHERE n_chars > 500) AS process, count(*) FILTER (WHERE n_chars <= 500) AS skip,
 string_agg(doc_id, ',' ORDER BY doc_id) FILTER (WHERE n_chars <= 500) AS skipped, avg(CASE WHEN n_chars > 500 THEN 1.0::DOUBLE ELSE 0 END) AS ratio FROM documents GROUP BY 1""")
 def _(t: Tables) -> DataFrame:
     go = F.col("n_chars") > 500
     skipped = F.array_sort(F.collect_list(F.when(~go, F.col("doc_id"))))
-    return t.documents.groupBy("source").agg(
+    return t.documents.groupBy(F.floor(F.col("doc_id") / 50).alias("batch")).agg(
         F.count_if(go).alias("process"), F.count_if(~go).alias("skip"),
         F.when(F.size(skipped) > 0, F.array_join(F.transform(skipped, lambda x: x.cast("string")), ",")).alias("skipped"), F.avg(go.cast("double")).alias("ratio"),
     )

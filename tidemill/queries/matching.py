@@ -48,12 +48,12 @@ def _(t: Tables) -> DataFrame:
     return hit.withColumn("score", score).where("score >= 0.5").groupBy("p_partkey").agg(F.max("term").alias("term"), F.max("score").alias("score"))
 
 
-@query("j18_reference_cascade", """WITH r AS (SELECT DISTINCT c_name AS ref, c_custkey FROM customer WHERE c_custkey <= 300), a AS (SELECT c_name AS ref, c_custkey AS id FROM customer WHERE c_custkey <= 100), b AS (SELECT c_name AS ref, c_custkey + 1000000 AS id FROM customer WHERE c_custkey BETWEEN 50 AND 200)
+@query("j18_reference_cascade", """WITH r AS (SELECT DISTINCT c_name AS ref, c_custkey FROM customer), a AS (SELECT c_name AS ref, c_custkey AS id FROM customer WHERE c_mktsegment = 'BUILDING'), b AS (SELECT c_name AS ref, c_custkey + 1000000 AS id FROM customer WHERE c_acctbal > 0)
 SELECT r.ref, coalesce(a.id, b.id) AS id, CASE WHEN a.id IS NOT NULL THEN 'key' WHEN b.id IS NOT NULL THEN 'value' END AS step FROM r LEFT JOIN a USING (ref) LEFT JOIN b USING (ref)""")
 def _(t: Tables) -> DataFrame:
-    refs = t.customer.where("c_custkey <= 300").select(F.col("c_name").alias("ref"))
-    a = t.customer.where("c_custkey <= 100").select("c_name", F.col("c_custkey").alias("id"))
-    b = t.customer.where("c_custkey BETWEEN 50 AND 200").select("c_name", (F.col("c_custkey") + 1_000_000).alias("id"))
+    refs = t.customer.select(F.col("c_name").alias("ref"))
+    a = t.customer.where("c_mktsegment = 'BUILDING'").select("c_name", F.col("c_custkey").alias("id"))
+    b = t.customer.where("c_acctbal > 0").select("c_name", (F.col("c_custkey") + 1_000_000).alias("id"))
     return M.reference_cascade(refs, "ref", [("key", a, "c_name"), ("value", b, "c_name")])
 
 

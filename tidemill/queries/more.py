@@ -50,11 +50,11 @@ def _(t: Tables) -> DataFrame:
     return windows.forward_filled(t.conversations, "conv_id", ["turn"], F.when(F.col("role") == "user", F.col("text")), "asked").select("conv_id", "turn", "asked")
 
 
-@query("w15_lines_by_anchor", """WITH RECURSIVE o AS (SELECT l_orderkey AS k, l_quantity::DOUBLE AS y, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity, l_linenumber, l_partkey, l_suppkey) AS i FROM lineitem WHERE l_orderkey <= 1000),
+@query("w15_lines_by_anchor", """WITH RECURSIVE o AS (SELECT l_orderkey AS k, l_quantity::DOUBLE AS y, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity, l_linenumber, l_partkey, l_suppkey) AS i FROM lineitem),
 f AS (SELECT k, i, y, 0 AS line FROM o WHERE i = 1 UNION ALL SELECT o.k, o.i, CASE WHEN abs(o.y - f.y) > 5 THEN o.y ELSE f.y END, CASE WHEN abs(o.y - f.y) > 5 THEN f.line + 1 ELSE f.line END FROM f JOIN o ON o.k = f.k AND o.i = f.i + 1)
 SELECT k AS l_orderkey, line, count(*) AS n FROM f GROUP BY 1, 2""")
 def _(t: Tables) -> DataFrame:
-    out = packing.lines_by_anchor(t.lineitem.where("l_orderkey <= 1000"), "l_orderkey", ["l_quantity", "l_linenumber", "l_partkey", "l_suppkey"], F.col("l_quantity"))
+    out = packing.lines_by_anchor(t.lineitem, "l_orderkey", ["l_quantity", "l_linenumber", "l_partkey", "l_suppkey"], F.col("l_quantity"))
     return out.groupBy("l_orderkey", "line").agg(F.count("*").alias("n"))
 
 
@@ -170,10 +170,10 @@ def _(t: Tables) -> DataFrame:
     return words.groupBy("p_partkey").agg(F.count("*").alias("n"), F.round(F.min("x0"), 6).alias("low"), F.round(F.max("x1"), 6).alias("high"))
 
 
-@query("e5_default_fill", "SELECT l_orderkey, string_agg(CASE WHEN l_quantity > 25 THEN l_quantity::INT::VARCHAR ELSE '0' END, ',' ORDER BY l_partkey, l_linenumber, l_suppkey, l_quantity) AS pages FROM lineitem WHERE l_orderkey <= 500 GROUP BY 1")
+@query("e5_default_fill", "SELECT l_orderkey, string_agg(CASE WHEN l_quantity > 25 THEN l_quantity::INT::VARCHAR ELSE '0' END, ',' ORDER BY l_partkey, l_linenumber, l_suppkey, l_quantity) AS pages FROM lineitem GROUP BY 1")
 def _(t: Tables) -> DataFrame:
     item = F.struct("l_partkey", "l_linenumber", "l_suppkey", "l_quantity", F.when(F.col("l_quantity") > 25, F.col("l_quantity").cast("int")).alias("page"))
-    nested = t.lineitem.where("l_orderkey <= 500").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    nested = t.lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(item)).alias("items"))
     filled = F.transform("items", lambda x: x.withField("page", F.coalesce(x["page"], F.lit(0))))
     return nested.select("l_orderkey", F.array_join(F.transform(filled, lambda x: x["page"].cast("string")), ",").alias("pages"))
 

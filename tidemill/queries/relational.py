@@ -151,15 +151,16 @@ def _(t: Tables) -> DataFrame:
     return rows.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey"), "left").select("l_orderkey", "p_brand", "s_name", "n_name").distinct()
 
 
-@query("j4_bridge_scope", "SELECT s_suppkey FROM supplier WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = s_suppkey AND l_orderkey <= 20)")
+@query("j4_bridge_scope", "SELECT s_suppkey FROM supplier WHERE EXISTS (SELECT 1 FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_suppkey = s_suppkey AND o_orderpriority = '1-URGENT')")
 def _(t: Tables) -> DataFrame:
-    return t.supplier.join(t.lineitem.where("l_orderkey <= 20"), F.col("s_suppkey") == F.col("l_suppkey"), "left_semi").select("s_suppkey")
+    scope = t.lineitem.join(t.orders.where("o_orderpriority = '1-URGENT'"), F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")
+    return t.supplier.join(scope, F.col("s_suppkey") == F.col("l_suppkey"), "left_semi").select("s_suppkey")
 
 
 @query("j5_nested_children", """SELECT o.o_orderkey, count(l.l_partkey) AS n, string_agg(l.l_partkey, ',' ORDER BY l.l_partkey) AS parts
-FROM orders o LEFT JOIN lineitem l ON l.l_orderkey = o.o_orderkey WHERE o.o_orderkey <= 500 GROUP BY o.o_orderkey""")
+FROM orders o LEFT JOIN lineitem l ON l.l_orderkey = o.o_orderkey GROUP BY o.o_orderkey""")
 def _(t: Tables) -> DataFrame:
-    parents = t.orders.where("o_orderkey <= 500").select(F.col("o_orderkey").alias("l_orderkey"))
+    parents = t.orders.select(F.col("o_orderkey").alias("l_orderkey"))
     nested = R.with_children(parents, t.lineitem.select("l_orderkey", "l_partkey"), "l_orderkey", ["l_partkey"], "items")
     parts = F.array_join(F.transform("items", lambda x: x["l_partkey"].cast("string")), ",")
     return nested.select(F.col("l_orderkey").alias("o_orderkey"), F.size("items").cast("bigint").alias("n"), F.when(F.size("items") > 0, parts).alias("parts"))
@@ -224,11 +225,11 @@ def _(t: Tables) -> DataFrame:
     return t.customer.join(t.orders, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
-@query("j12_missing_required", """WITH u AS (SELECT DISTINCT user_id FROM events WHERE event_id % 9 = 0), r(x) AS (VALUES ('click'), ('purchase'), ('refund'), ('signup')),
-h AS (SELECT DISTINCT user_id, event_type FROM events WHERE event_id % 9 = 0)
+@query("j12_missing_required", """WITH u AS (SELECT DISTINCT user_id FROM events), r(x) AS (VALUES ('click'), ('purchase'), ('refund'), ('signup')),
+h AS (SELECT DISTINCT user_id, event_type FROM events)
 SELECT user_id, string_agg(x, ',' ORDER BY x) AS missing FROM u, r WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.user_id = u.user_id AND h.event_type = x) GROUP BY user_id""")
 def _(t: Tables) -> DataFrame:
-    out = R.missing_required(t.events.where("event_id % 9 = 0"), "user_id", "event_type", ["click", "purchase", "refund", "signup"])
+    out = R.missing_required(t.events, "user_id", "event_type", ["click", "purchase", "refund", "signup"])
     return out.withColumn("missing", F.array_join("missing", ","))
 
 

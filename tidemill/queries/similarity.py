@@ -36,10 +36,14 @@ def _(t: Tables) -> DataFrame:
     return S.jaccard_pairs(t.documents.select("doc_id", _top_words().alias("w")), "doc_id", "w", 0.8)
 
 
-@query("m1_kept_pages")
+@query("m1_kept_pages", f"""WITH RECURSIVE {_SETS}, o AS (SELECT doc_id // 20 AS k, doc_id AS p, t, row_number() OVER (PARTITION BY doc_id // 20 ORDER BY doc_id) AS i FROM w),
+f AS (SELECT k, 0::BIGINT AS i, NULL::BIGINT AS p, NULL::BIGINT AS dup, []::STRUCT(p BIGINT, t VARCHAR[])[] AS kept FROM o WHERE i = 1 UNION ALL
+SELECT k, i, p, dup, CASE WHEN dup IS NULL THEN list_append(kept, {{'p': p, 't': t}}) ELSE kept END FROM (SELECT o.k, o.i, o.p, o.t, f.kept,
+list_filter(f.kept, lambda x: len(o.t) > 0 AND len(list_intersect(x.t, o.t)) >= len(list_distinct(list_concat(x.t, o.t))) * 0.8)[1].p AS dup FROM f JOIN o ON o.k = f.k AND o.i = f.i + 1))
+SELECT k AS parent, p AS doc_id, dup AS duplicate_of FROM f WHERE i > 0""")
 def _(t: Tables) -> DataFrame:
-    pages = t.documents.select("source", "doc_id", _top_words().alias("w"))
-    return S.kept_pages(pages, "source", "doc_id", "w")
+    pages = t.documents.select(F.floor(F.col("doc_id") / 20).alias("parent"), "doc_id", _top_words().alias("w"))
+    return S.kept_pages(pages, "parent", "doc_id", "w")
 
 
 @query("m2_exact_duplicates", "SELECT md5(text) AS h, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY 1 HAVING count(*) > 1")
@@ -111,8 +115,9 @@ def _(t: Tables) -> DataFrame:
 
 @query("f36_word_alignment")
 def _(t: Tables) -> DataFrame:
-    start = F.array_join(F.slice(F.split("text", " "), 1, 8), " ")
-    return t.benchmark.select("item_id", S.matched_words(start, F.col("text")).alias("score"))
+    # Each item's whole text against the other's that follows it.
+    other = t.benchmark.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("other"))
+    return t.benchmark.join(other, "item_id").select("item_id", S.matched_words(F.col("text"), F.col("other")).alias("score"))
 
 
 @query("m5_citation_tiers")

@@ -47,7 +47,7 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     d = F.col("doc_id")
     pages = t.documents.select(
-        (d % 40).alias("doc_id"), d.alias("page"), F.when(d % 5 == 0, F.concat(F.lit("CG "), (d % 3).cast("string"))).alias("form"), F.col("source").alias("policy"),
+        F.floor(d / 40).alias("doc_id"), d.alias("page"), F.when(d % 5 == 0, F.concat(F.lit("CG "), (d % 3).cast("string"))).alias("form"), F.col("source").alias("policy"),
         (d % 7 == 0).alias("header"), (d % 11 == 0).alias("explicit"), F.col("text").rlike(r"^\s*[a-z]").alias("mid_sentence"), (d % 13 == 0).alias("follows"),
         (d % 17 == 0).alias("continuity"), (d % 3 == 0).alias("strong_header"),
     )

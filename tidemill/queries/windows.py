@@ -44,35 +44,36 @@ def _(t: Tables) -> DataFrame:
     return W.islands(t.documents.where("n_chars > 1500").select("source", F.floor(F.col("doc_id") / 10).alias("page")), "source", "page")
 
 
-@query("w8_capped_packing", """WITH RECURSIVE o AS (SELECT l_orderkey AS k, l_quantity::DOUBLE AS q, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS i FROM lineitem WHERE l_orderkey <= 2000),
+@query("w8_capped_packing", """WITH RECURSIVE o AS (SELECT l_orderkey AS k, l_quantity::DOUBLE AS q, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS i FROM lineitem),
 f AS (SELECT k, i, q, q AS s, 1 AS n, 0 AS bin FROM o WHERE i = 1 UNION ALL
 SELECT o.k, o.i, o.q, CASE WHEN f.s + o.q > 60 OR f.n >= 3 THEN o.q ELSE f.s + o.q END, CASE WHEN f.s + o.q > 60 OR f.n >= 3 THEN 1 ELSE f.n + 1 END, CASE WHEN f.s + o.q > 60 OR f.n >= 3 THEN f.bin + 1 ELSE f.bin END
 FROM f JOIN o ON o.k = f.k AND o.i = f.i + 1)
 SELECT k AS l_orderkey, bin, count(*) AS n, sum(q) AS total FROM f GROUP BY 1, 2""")
 def _(t: Tables) -> DataFrame:
-    rows = t.lineitem.where("l_orderkey <= 2000")
+    rows = t.lineitem
     out = K.packed(rows, "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity"], F.col("l_quantity"), 60, 3)
     return out.groupBy("l_orderkey", "bin").agg(F.count("*").alias("n"), F.sum("size").alias("total"))
 
 
-@query("w9_merge_small", """WITH RECURSIVE o AS (SELECT l_orderkey AS k, l_returnflag AS g, l_quantity::DOUBLE AS q, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS i FROM lineitem WHERE l_orderkey <= 2000),
+@query("w9_merge_small", """WITH RECURSIVE o AS (SELECT l_orderkey AS k, l_returnflag AS g, l_quantity::DOUBLE AS q, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS i FROM lineitem),
 f AS (SELECT k, i, g, q, q AS s, 0 AS chunk FROM o WHERE i = 1 UNION ALL
 SELECT o.k, o.i, o.g, o.q, CASE WHEN f.g = o.g AND f.s < 30 AND f.s + o.q <= 70 THEN f.s + o.q ELSE o.q END, CASE WHEN f.g = o.g AND f.s < 30 AND f.s + o.q <= 70 THEN f.chunk ELSE f.chunk + 1 END
 FROM f JOIN o ON o.k = f.k AND o.i = f.i + 1)
 SELECT k AS l_orderkey, chunk, min(g) AS l_returnflag, sum(q) AS size, count(*)::INT AS n FROM f GROUP BY 1, 2""")
 def _(t: Tables) -> DataFrame:
-    rows = t.lineitem.where("l_orderkey <= 2000")
+    rows = t.lineitem
     return K.merged_small(rows, "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity"], "l_returnflag", F.col("l_quantity"), 30, 70)
 
 
-@query("w10_context_budget", """WITH RECURSIVE o AS (SELECT source AS k, doc_id, (n_chars // 4)::DOUBLE AS a, (n_chars // 40)::DOUBLE AS b, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents),
+@query("w10_context_budget", """WITH RECURSIVE o AS (SELECT doc_id // 50 AS k, doc_id, (n_chars // 4)::DOUBLE AS a, (n_chars // 40)::DOUBLE AS b, row_number() OVER (PARTITION BY doc_id // 50 ORDER BY doc_id) AS i FROM documents),
 f AS (SELECT k, 0::BIGINT AS i, -1::BIGINT AS doc_id, 0.0::DOUBLE AS spent, '' AS use FROM o WHERE i = 1 UNION ALL
 SELECT o.k, o.i, o.doc_id, f.spent + CASE WHEN o.i <= 5 AND o.a <= 7600 - f.spent - 50 THEN o.a + 50 WHEN o.b <= 7600 - f.spent - 50 THEN o.b + 50 ELSE 0 END,
 CASE WHEN o.i <= 5 AND o.a <= 7600 - f.spent - 50 THEN 'full' WHEN o.b <= 7600 - f.spent - 50 THEN 'short' ELSE 'skip' END FROM f JOIN o ON o.k = f.k AND o.i = f.i + 1)
-SELECT k AS source, doc_id, use, spent FROM f WHERE i > 0""")
+SELECT k AS parent, doc_id, use, spent FROM f WHERE i > 0""")
 def _(t: Tables) -> DataFrame:
-    out = K.within_budget(t.documents, "source", ["doc_id"], F.floor(F.col("n_chars") / 4), F.floor(F.col("n_chars") / 40), int(0.95 * 8000))
-    return out.select("source", "doc_id", "use", "spent")
+    pages = t.documents.withColumn("parent", F.floor(F.col("doc_id") / 50))
+    out = K.within_budget(pages, "parent", ["doc_id"], F.floor(F.col("n_chars") / 4), F.floor(F.col("n_chars") / 40), int(0.95 * 8000))
+    return out.select("parent", "doc_id", "use", "spent")
 
 
 @query("w11_citation_numbers", """WITH f AS (SELECT user_id, event_type, min(event_id) AS i FROM events GROUP BY 1, 2), n AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY i) AS number FROM f)
@@ -91,9 +92,9 @@ def _(t: Tables) -> DataFrame:
     return W.label_sequence(t.events, "user_id", ["event_id"], "event_type").select("event_id", "continues")
 
 
-@query("w16_position_ids", "SELECT l_orderkey, 'cov_' || (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_linenumber, l_suppkey) - 1) AS id, l_partkey FROM lineitem WHERE l_orderkey <= 300")
+@query("w16_position_ids", "SELECT l_orderkey, 'cov_' || (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_linenumber, l_suppkey) - 1) AS id, l_partkey FROM lineitem")
 def _(t: Tables) -> DataFrame:
-    nested = t.lineitem.where("l_orderkey <= 300").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_partkey", "l_linenumber", "l_suppkey"))).alias("items"))
+    nested = t.lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_partkey", "l_linenumber", "l_suppkey"))).alias("items"))
     return nested.select("l_orderkey", F.posexplode("items").alias("i", "x")).select("l_orderkey", F.concat(F.lit("cov_"), F.col("i").cast("string")).alias("id"), "x.l_partkey")
 
 
@@ -106,12 +107,12 @@ def _(t: Tables) -> DataFrame:
     return W.merged_intervals(rows, "user_id", "s", "e")
 
 
-@query("e4_group_batches", """WITH RECURSIVE g AS (SELECT l_suppkey AS k, l_partkey AS p, sum(l_quantity)::DOUBLE AS q FROM lineitem WHERE l_suppkey <= 20 GROUP BY 1, 2), o AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY p) AS i FROM g),
+@query("e4_group_batches", """WITH RECURSIVE g AS (SELECT l_suppkey AS k, l_partkey AS p, sum(l_quantity)::DOUBLE AS q FROM lineitem GROUP BY 1, 2), o AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY p) AS i FROM g),
 f AS (SELECT k, i, q AS s, 1 AS n, 0 AS bin FROM o WHERE i = 1 UNION ALL SELECT o.k, o.i, CASE WHEN f.s + o.q > 300 OR f.n >= 5 THEN o.q ELSE f.s + o.q END, CASE WHEN f.s + o.q > 300 OR f.n >= 5 THEN 1 ELSE f.n + 1 END,
 CASE WHEN f.s + o.q > 300 OR f.n >= 5 THEN f.bin + 1 ELSE f.bin END FROM f JOIN o ON o.k = f.k AND o.i = f.i + 1)
 SELECT k AS l_suppkey, bin, count(*) AS n FROM f GROUP BY 1, 2""")
 def _(t: Tables) -> DataFrame:
-    g = t.lineitem.where("l_suppkey <= 20").groupBy("l_suppkey", "l_partkey").agg(F.sum("l_quantity").alias("q"))
+    g = t.lineitem.groupBy("l_suppkey", "l_partkey").agg(F.sum("l_quantity").alias("q"))
     return K.packed(g, "l_suppkey", ["l_partkey"], F.col("q"), 300, 5).groupBy("l_suppkey", "bin").agg(F.count("*").alias("n"))
 
 
