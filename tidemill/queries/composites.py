@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemill.functions import numbers as N
 from tidemill.functions import text as X
-from tidemill.operators import aggregates, matching, packing, relational, similarity
+from tidemill.operators import aggregates, matching, packing, relational
 from tidemill.plans.chunking import chunked
 from tidemill.plans.retrieval import answer_context, planned
 from tidemill.queries import Tables, query
@@ -21,17 +21,6 @@ def _(t: Tables) -> DataFrame:
     return answer_context(plan, t.embeddings, asked, texts, edges)
 
 
-@query("c2_page_analysis")
-def _(t: Tables) -> DataFrame:
-    words = F.array_distinct(F.filter(F.split(F.lower(F.array_join(F.slice(F.split("text", "\n"), 1, 10), " ")), r"\s+"), lambda w: w != ""))
-    kept = similarity.kept_pages(t.documents.select("source", "doc_id", words.alias("w")), "source", "doc_id", "w")
-    rules = [("contact", ["[0-9]{4}", "@"]), ("legal", ["(?i)rights reserved", "(?i)license"])]
-    kinds = t.documents.select("doc_id", F.coalesce(X.best_class(F.col("text"), rules)["label"], F.lit("unknown")).alias("kind"))
-    typed = kept.join(kinds, "doc_id").withColumn("kind", F.when(F.col("duplicate_of").isNotNull(), "duplicate").otherwise(F.col("kind")))
-    process = ~F.col("kind").isin("duplicate", "unknown")
-    return typed.groupBy("source").agg(F.count("*").alias("pages"), F.count_if(process).alias("process"), F.avg(process.cast("double")).alias("ratio"))
-
-
 @query("c3_table_normalisation", """SELECT p_partkey, p_retailprice::DECIMAL(18,2) AS price, coalesce(p_size, 0)::BIGINT AS size, p_retailprice < 0 AS negative FROM part""")
 def _(t: Tables) -> DataFrame:
     from tidemill.sources.text_tables import markdown_tables
