@@ -56,10 +56,10 @@ def same_but_for_punctuation(a: Column, b: Column) -> Column:
 def affix_stripped(name: Column, prefixes: Sequence[str], suffixes: Sequence[str]) -> Column:
     """Lower case and trimmed, then each prefix and each suffix taken off in turn, once each."""
     n = F.trim(F.lower(name))
-    for p in prefixes:
-        n = F.when(n.startswith(p), F.trim(F.substr(n, F.lit(len(p) + 1)))).otherwise(n)
+    for p in prefixes:  # each step names the one before once, so the expression stays small
+        n = F.trim(F.regexp_replace(n, rf"^\Q{p}\E", ""))
     for s in suffixes:
-        n = F.when(n.endswith(s), F.trim(F.left(n, F.length(n) - len(s)))).otherwise(n)
+        n = F.trim(F.regexp_replace(n, rf"\Q{s}\E$", ""))
     return n
 
 

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
+from tidemill.functions import text as X
 from tidemill.functions.text import same_but_for_signs
 
 
@@ -24,30 +26,49 @@ def section_partition(counts: DataFrame, key: str, value: str, pairs: Sequence[t
     return whole.unionByName(rest)
 
 
-def name_matched(old: DataFrame, new: DataFrame, key: str, name: str) -> DataFrame:
-    """Records of two sets paired one to one in passes: equal key (1.0), equal name (0.9), contained name (0.85); the rest alone.
+#: What names of records are freed of, in this order, before they are compared.
+PREFIXES = ("physical damage -", "hired auto physical damage -", "additional insured -")
+SUFFIXES = (" - increased limit", " - reduced limit", " coverage", " - modified", " modification")
 
-    Each pass joins what the passes before it left. Among equal names the n-th of one side goes with the
-    n-th of the other, by key. A contained name (over 8 characters) pairs the first of each side that is
-    free, by key; rows: old_key, new_key, how, confidence (0 for rest).
+
+def name_matched(old: DataFrame, new: DataFrame, key: str, name: str, canonical: str | None = None, endorsement: bool = False) -> DataFrame:
+    """Records of two sets paired one to one in passes: equal canonical id, then equal key (1.0), equal normal name
+    (0.9), contained name (0.85); the rest alone.
+
+    Names are compared in lower case without :data:`PREFIXES` and :data:`SUFFIXES`. Each pass joins what the
+    passes before it left. Of several with one canonical id the one with the smallest key counts. Among equal
+    names the n-th of one side goes with the n-th of the other, by key. A contained name (over 8 characters, with a
+    word in common) pairs the first of each side that is free, by key; rows: old_key, new_key, how, confidence (0
+    for added and removed). With ``endorsement`` the new set only modifies, so what it lacks is unchanged (1.0).
     """
-    a = old.select(F.col(key).alias("old_key"), F.lower(F.trim(name)).alias("n"))
-    b = new.select(F.col(key).alias("new_key"), F.lower(F.trim(name)).alias("n"))
-    by_key = a.join(b.drop("n"), F.col("old_key") == F.col("new_key")).select("old_key", "new_key")
+    normal = X.affix_stripped(F.col(name), PREFIXES, SUFFIXES)
+    ids = (lambda df: F.col(canonical)) if canonical else (lambda df: F.lit(None).cast("string"))
+    a = old.select(F.col(key).alias("old_key"), normal.alias("n"), ids(old).alias("c"))
+    b = new.select(F.col(key).alias("new_key"), normal.alias("n"), ids(new).alias("c"))
+    passes = []
+    if canonical:
+        one = a.where("c IS NOT NULL AND c <> ''").groupBy("c").agg(F.min("old_key").alias("old_key"))
+        two = b.where("c IS NOT NULL AND c <> ''").groupBy("c").agg(F.min("new_key").alias("new_key"))
+        passes.append(("canonical", 1.0, one.join(two, "c").select("old_key", "new_key")))
+        a, b = a.join(passes[-1][2], "old_key", "left_anti"), b.join(passes[-1][2], "new_key", "left_anti")
+    by_key = a.join(b.select("new_key"), F.col("old_key") == F.col("new_key")).select("old_key", "new_key")
+    passes.append(("key", 1.0, by_key))
     a, b = a.join(by_key, "old_key", "left_anti"), b.join(by_key, "new_key", "left_anti")
     nth = lambda k: F.row_number().over(Window.partitionBy("n").orderBy(k))
-    by_name = a.withColumn("i", nth("old_key")).join(b.withColumn("i", nth("new_key")), ["n", "i"]).where("n <> ''").select("old_key", "new_key")
+    named = lambda df, k: df.where("n <> ''").select(k, "n").withColumn("i", nth(k))
+    by_name = named(a, "old_key").join(named(b, "new_key"), ["n", "i"]).select("old_key", "new_key")
+    passes.append(("name", 0.9, by_name))
     a, b = a.join(by_name, "old_key", "left_anti"), b.join(by_name, "new_key", "left_anti")
     # Containment needs a shared word, so pairs come from an equi-join on words.
     words = lambda df, k: df.where(F.length("n") > 8).select(k, "n", F.explode(F.array_distinct(F.split("n", r"\W+"))).alias("w")).where("w <> ''")
     pairs = words(a, "old_key").join(words(b, "new_key").withColumnRenamed("n", "m"), "w").where(F.col("n").contains(F.col("m")) | F.col("m").contains(F.col("n"))).select("old_key", "new_key").distinct()
     first_new = pairs.groupBy("old_key").agg(F.min("new_key").alias("new_key"))
-    part = first_new.groupBy("new_key").agg(F.min("old_key").alias("old_key")).select("old_key", "new_key")
-    a, b = a.join(part, "old_key", "left_anti"), b.join(part, "new_key", "left_anti")
-    tag = lambda df, how, sure: df.select("old_key", "new_key", F.lit(how).alias("how"), F.lit(sure).alias("confidence"))
-    out = tag(by_key, "key", 1.0).unionByName(tag(by_name, "name", 0.9)).unionByName(tag(part, "contained", 0.85))
-    out = out.unionByName(tag(a.select("old_key", F.lit(None).cast(b.schema["new_key"].dataType).alias("new_key")), "removed", 0.0))
-    return out.unionByName(tag(b.select(F.lit(None).cast(a.schema["old_key"].dataType).alias("old_key"), "new_key"), "added", 0.0))
+    passes.append(("contained", 0.85, first_new.groupBy("new_key").agg(F.min("old_key").alias("old_key")).select("old_key", "new_key")))
+    a, b = a.join(passes[-1][2], "old_key", "left_anti"), b.join(passes[-1][2], "new_key", "left_anti")
+    passes.append(("unchanged" if endorsement else "removed", 1.0 if endorsement else 0.0, a.select("old_key", F.lit(None).cast(b.schema["new_key"].dataType).alias("new_key"))))
+    passes.append(("added", 0.0, b.select(F.lit(None).cast(a.schema["old_key"].dataType).alias("old_key"), "new_key")))
+    tagged = [df.select("old_key", "new_key", F.lit(how).alias("how"), F.lit(sure).alias("confidence")) for how, sure, df in passes]
+    return reduce(DataFrame.unionByName, tagged)
 
 
 def dictionary_match(df: DataFrame, text: str, entries: DataFrame) -> DataFrame:

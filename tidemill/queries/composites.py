@@ -10,15 +10,18 @@ from tidemill.operators import aggregates, matching, packing, relational
 from tidemill.plans.chunking import chunked
 from tidemill.plans.retrieval import answer_context, planned
 from tidemill.queries import Tables, query
+from tidemill.queries.matching import matched_rows, matched_sql
 
 
 @query("c1_hybrid_retrieval")
 def _(t: Tables) -> DataFrame:
     plan = planned("compare the limit and explain why", t.spark, k=20, most=2.0)
     asked = t.embeddings.where("vec_id IN (0, 7)").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    sections = F.array(*map(F.lit, ("coverages", "declarations", "limits_deductibles", "exclusions")))
+    vectors = t.embeddings.withColumn("section", F.get(sections, F.pmod(F.coalesce("label", F.lit(0)), F.lit(4)).cast("int")))
     edges = t.embeddings.select(F.col("vec_id").alias("edge_id"), F.col("vec_id").alias("src"), (F.col("vec_id") * 7 % 100).alias("dst"), F.lit("LIKE").alias("kind"))
     texts = t.documents.select(F.col("doc_id").alias("node"), X.token_estimate(F.col("text")).alias("tokens"), (X.token_estimate(F.col("text")) / 10).alias("summary_tokens"))
-    return answer_context(plan, t.embeddings, asked, texts, edges)
+    return answer_context(plan, vectors, asked, texts, edges)
 
 
 @query("c3_table_normalisation", """SELECT p_partkey, p_retailprice::DECIMAL(18,2) AS price, coalesce(p_size, 0)::BIGINT AS size, p_retailprice < 0 AS negative FROM part""")
@@ -65,7 +68,8 @@ def _(t: Tables) -> DataFrame:
     return matching.json_diff(old, new, "o_orderkey", "doc").groupBy("change").agg(F.count("*").alias("n"))
 
 
-@query("c8_entity_comparison")
+@query("c8_entity_comparison", f"""WITH a AS (SELECT p_partkey AS k, lower(trim(p_name)) AS n, NULL::VARCHAR AS c FROM part WHERE p_partkey % 3 <> 0), b AS (SELECT p_partkey AS k, lower(trim(p_name)) AS n, NULL::VARCHAR AS c FROM part WHERE p_partkey % 5 <> 0),
+{matched_sql('a', 'b')}, r AS ({matched_rows()}) SELECT how, count(*) AS n FROM r GROUP BY 1""")
 def _(t: Tables) -> DataFrame:
     old = t.part.where("p_partkey % 3 <> 0").select("p_partkey", "p_name")
     new = t.part.where("p_partkey % 5 <> 0").select("p_partkey", "p_name")

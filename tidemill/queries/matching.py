@@ -10,11 +10,43 @@ from tidemill.queries import Tables, query
 from tidemill.sources import text_tables as S
 
 
-@query("j13_name_matched")
+def matched_sql(old: str, new: str) -> str:
+    """CTEs for tables ``old`` and ``new`` of k, n (normal name) and c (canonical id), to m (old_key, new_key, how, confidence)."""
+    free = lambda t, side, done: f"{t} WHERE k NOT IN (SELECT {side} FROM {done})"
+    return f"""ca AS (SELECT min(k) AS old_key, c FROM {old} WHERE c <> '' GROUP BY c), cb AS (SELECT min(k) AS new_key, c FROM {new} WHERE c <> '' GROUP BY c),
+m0 AS (SELECT old_key, new_key FROM ca JOIN cb USING (c)), a1 AS (SELECT * FROM {free(old, 'old_key', 'm0')}), b1 AS (SELECT * FROM {free(new, 'new_key', 'm0')}),
+m1 AS (SELECT a1.k AS old_key, b1.k AS new_key FROM a1 JOIN b1 ON a1.k = b1.k), a2 AS (SELECT *, row_number() OVER (PARTITION BY n ORDER BY k) AS i FROM {free('a1', 'old_key', 'm1')}),
+b2 AS (SELECT *, row_number() OVER (PARTITION BY n ORDER BY k) AS i FROM {free('b1', 'new_key', 'm1')}), m2 AS (SELECT a2.k AS old_key, b2.k AS new_key FROM a2 JOIN b2 USING (n, i) WHERE n <> ''),
+a3 AS (SELECT * FROM {free('a2', 'old_key', 'm2')}), b3 AS (SELECT * FROM {free('b2', 'new_key', 'm2')}),
+pr AS (SELECT a3.k AS old_key, min(b3.k) AS new_key FROM a3 JOIN b3 ON length(a3.n) > 8 AND length(b3.n) > 8 AND (contains(a3.n, b3.n) OR contains(b3.n, a3.n))
+AND list_has_any(list_filter(regexp_split_to_array(a3.n, '\\W+'), lambda w: w <> ''), list_filter(regexp_split_to_array(b3.n, '\\W+'), lambda w: w <> '')) GROUP BY a3.k),
+m3 AS (SELECT min(old_key) AS old_key, new_key FROM pr GROUP BY new_key)"""
+
+
+def matched_rows(removed: str = "'removed' AS how, 0.0::DOUBLE AS confidence") -> str:
+    return f"""SELECT *, 'canonical' AS how, 1.0::DOUBLE AS confidence FROM m0 UNION ALL SELECT *, 'key', 1.0 FROM m1 UNION ALL SELECT *, 'name', 0.9 FROM m2 UNION ALL SELECT *, 'contained', 0.85 FROM m3
+UNION ALL SELECT k, NULL, {removed} FROM a3 WHERE k NOT IN (SELECT old_key FROM m3) UNION ALL SELECT NULL, k, 'added', 0.0 FROM b3 WHERE k NOT IN (SELECT new_key FROM m3)"""
+
+
+_TWO_SETS = """a AS (SELECT p_partkey AS k, lower(trim(p_name)) AS n, CASE WHEN p_partkey % 7 = 0 THEN 'c' || p_partkey END AS c FROM part WHERE p_partkey % 3 <> 0),
+b AS (SELECT p_partkey AS k, lower(trim(p_name)) || CASE WHEN p_size % 3 = 0 THEN ' plus' ELSE '' END AS n, CASE WHEN p_partkey % 7 = 1 THEN 'c' || (p_partkey - 1) END AS c FROM part WHERE p_partkey % 4 <> 0)"""
+
+
+def _two_sets(t: Tables) -> tuple[DataFrame, DataFrame]:
+    old = t.part.where("p_partkey % 3 <> 0").select("p_partkey", "p_name", F.when(F.col("p_partkey") % 7 == 0, F.concat(F.lit("c"), F.col("p_partkey").cast("string"))).alias("c"))
+    name = F.when(F.col("p_size") % 3 == 0, F.concat("p_name", F.lit(" plus"))).when(F.col("p_size") % 3 == 1, F.concat(F.lit("Physical Damage - "), "p_name", F.lit(" Coverage"))).otherwise(F.col("p_name"))
+    new = t.part.where("p_partkey % 4 <> 0").select("p_partkey", name.alias("p_name"), F.when(F.col("p_partkey") % 7 == 1, F.concat(F.lit("c"), (F.col("p_partkey") - 1).cast("string"))).alias("c"))
+    return old, new
+
+
+@query("j13_name_matched", f"WITH {_TWO_SETS}, {matched_sql('a', 'b')} {matched_rows()}")
+def _(t: Tables) -> DataFrame:
+    return M.name_matched(*_two_sets(t), "p_partkey", "p_name", "c")
+
+
+@query("j13_endorsement", f"""WITH {_TWO_SETS}, {matched_sql('a', 'b')} {matched_rows("'unchanged', 1.0")}""")
 def _(t: Tables) -> DataFrame:
-    old = t.part.where("p_partkey % 3 <> 0").select("p_partkey", "p_name")
-    new = t.part.where("p_partkey % 4 <> 0").select("p_partkey", F.when(F.col("p_size") > 25, F.concat("p_name", F.lit(" plus"))).otherwise(F.col("p_name")).alias("p_name"))
-    return M.name_matched(old, new, "p_partkey", "p_name")
+    return M.name_matched(*_two_sets(t), "p_partkey", "p_name", "c", endorsement=True)
 
 
 @query("j15_aligned_sections", """SELECT a.l_returnflag, a.n AS one, b.n AS two FROM (SELECT l_returnflag, count(*) AS n FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1) a
