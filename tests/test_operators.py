@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemill.functions import numbers as N
 from tidemill.functions import records as R
+from tidemill.functions import questions as Q
 from tidemill.functions import text as X
 from tidemill.operators import matching, packing, relational, similarity, windows
 from tidemill.plans import chunking, retrieval
@@ -250,3 +251,66 @@ def test_citation_tiers_of_short_quotes_by_brute_force(spark):
         spark.createDataFrame([(k, " ".join(w)) for k, w in docs] + [(90, ""), (91, None)], "doc_id int, text string"),
     )
     assert {x["item_id"]: (x["tier"], x["doc_id"]) for x in got.collect()} == want | {60: (4, None), 61: (4, None)}
+
+
+@pytest.mark.parametrize("field,text,want", [
+    ("policy_numbers", "What is policy POL-12345?", ["POL-12345"]), ("policy_numbers", "Check policy CA-001-2024", ["CA-001-2024"]),
+    ("policy_numbers", "Compare policy POL-12345 with CA-001-2024 and GL123456", ["CA-001-2024", "GL123456", "POL-12345"]), ("policy_numbers", "Find 12345-POL", ["12345-POL"]),
+    ("coverage_types", "Show me WC limits", ["workers compensation"]), ("coverage_types", "Find E&O coverage", ["professional liability"]),
+    ("dates", "Effective date is 01/15/2024", ["01/15/2024"]), ("dates", "Renewal date: March 1, 2025", ["March 1, 2025"]),
+    ("amounts", "A limit of $1,000,000 or 1.5 million", ["1,000,000", "1.5"]), ("amounts", "$5000", ["5000"]), ("amounts", "$25000", []),
+    ("locations", "in Springfield, IL", ["IL", "Springfield"]), ("entity_names", "is Acme Steel Corporation insured? What Policy Coverage", ["Acme Steel Corporation"]),
+    ("section_hints", "which exclusions", ["exclusions"]), ("section_hints", "", []),
+])
+def test_question_entities(spark, field, text, want):
+    assert one(spark, Q.entities(F.col("a"))[field], a=text) == want
+
+
+def test_question_terms_and_filters(spark):
+    c = F.col
+    assert one(spark, Q.expanded(c("a")), a="Is BI covered?") == ["Is BI covered?", "Is bodily injury covered?", "Is personal injury covered?"]
+    assert one(spark, Q.expanded(c("a")), a="nothing here") == ["nothing here"]
+    assert len(one(spark, Q.expanded(c("a")), a="deductible, claim and loss under the umbrella")) == 5
+    assert one(spark, Q.canonical_term(c("a")), a="wc") == "workers compensation"
+    assert one(spark, Q.canonical_term(c("a")), a="no such term") == "no such term"
+    assert one(spark, Q.section_filters(Q.section_hints(c("a")), F.lit("AUDIT")), a="an exclusion") == ["exclusions"]
+    assert one(spark, Q.section_filters(Q.section_hints(c("a")), F.lit("QA")), a="hm") == ["coverages", "declarations", "schedule"]
+    plan = retrieval.planned("compare the limit and explain why", spark)
+    assert (plan.intent, plan.sections, plan.depth) == ("ANALYSIS", ("coverages", "declarations", "limits_deductibles"), 2)
+
+
+@pytest.mark.parametrize("text,kind,want", [
+    ("COMMON POLICY DECLARATIONS\nNamed Insured", None, "declarations"), ("What is not covered\nExclusions", "policy", "exclusions"), ("Statement of values", None, "sov"),
+    ("THIS ENDORSEMENT CHANGES THE POLICY. PLEASE READ IT CAREFULLY.", None, "endorsement"), ("ACORD 25", None, "certificate_of_insurance"),
+    ("Loss run", None, "loss_run"), ("nothing of the kind", None, "unknown"), ("Conditions. This endorsement modifies it", "bundle", "conditions"), (None, None, "unknown"),
+])
+def test_page_types(spark, text, kind, want):
+    from tidemill.operators import pages
+
+    rows = spark.createDataFrame([(text, kind)], "x string, doc string")
+    assert pages.page_types(rows, "x", "doc").first()["page_type"] == want
+
+
+def test_a_rerun_after_a_failure_changes_nothing(spark, tmp_path):
+    """Partitions are replaced as a whole, so a run that died half way and its repetition leave what one run leaves."""
+    path = str(tmp_path / "out")
+    rows = spark.range(100).selectExpr("id", "id % 4 AS part")
+    sinks.replace_partitions(rows.where("part <> 3"), path, "part")
+    broken = rows.where("part < 2").withColumn("id", F.when(F.col("id") == 97, F.raise_error(F.lit("lost")).cast("bigint")).otherwise(F.col("id")))
+    with pytest.raises(Exception, match="lost"):
+        sinks.replace_partitions(broken, path, "part")
+    for _ in range(2):
+        sinks.replace_partitions(rows, path, "part")
+        assert sorted(r["id"] for r in spark.read.parquet(path).collect()) == list(range(100))
+    sinks.append(spark.createDataFrame([(1000, 1)], "id bigint, part int").select("id"), str(tmp_path / "rows"))
+    sinks.append(spark.createDataFrame([(1001,)], "id bigint"), str(tmp_path / "rows"))
+    assert spark.read.parquet(str(tmp_path / "rows")).count() == 2
+
+
+def test_name_matching_passes(spark):
+    old = spark.createDataFrame([(1, "Auto Liability", "c1"), (2, "Physical Damage - Hail", None), (3, "General Property Cover", None), (4, "Alone", None)], "k int, n string, c string")
+    new = spark.createDataFrame([(9, "Other name", "c1"), (8, "hail - modified", None), (7, "General Property Cover plus flood", None), (6, "Unpaired", None)], "k int, n string, c string")
+    out = {(r["old_key"], r["new_key"], r["how"]) for r in matching.name_matched(old, new, "k", "n", "c").collect()}
+    assert out == {(1, 9, "canonical"), (2, 8, "name"), (3, 7, "contained"), (4, None, "removed"), (None, 6, "added")}
+    kept = {r["how"] for r in matching.name_matched(old, new, "k", "n", "c", endorsement=True).collect()}
+    assert "unchanged" in kept and "removed" not in kept

@@ -200,6 +200,10 @@ def entities(text: Column) -> Column:
     )
 
 
+#: A character of a word, in any script.
+_WORD = r"[\p{L}\p{N}_]"
+
+
 def _literal(term: str) -> str:
     return r"\Q" + term + r"\E"
 
@@ -215,7 +219,7 @@ def expanded(text: Column, terms: Sequence[tuple[str, Sequence[str]]] = EXPANSIO
         others = [o for o in others if o.lower() != term.lower()][:per_term]
         at = F.instr(F.lower(text), term.lower())
         versions = F.array(*(F.concat(F.substring(text, F.lit(1), at - 1), F.lit(o), F.substring(text, at + len(term), F.length(text))) for o in others))
-        found.append(F.when(F.lower(text).rlike(rf"\b{_literal(term.lower())}\b"), versions).otherwise(none))
+        found.append(F.when(F.lower(text).rlike(rf"(?<!{_WORD}){_literal(term.lower())}(?!{_WORD})"), versions).otherwise(none))
     every = F.concat(*found)
     lows = F.transform(every, F.lower)
     first = F.filter(every, lambda x, i: F.array_position(lows, F.lower(x)) == i + 1)

@@ -63,13 +63,17 @@ def _(t: Tables) -> DataFrame:
     return found.select("conv_id", "turn", *(F.array_join(f"e.{k}", "|").alias(k) for k in _ENTITIES))
 
 
+#: Begin or end of a text, or a character that is in no word of any script; RE2's word border knows ASCII only.
+_EDGE = r"(?:{}|[^\p{{L}}\p{{N}}_])"
+
+
 def _versions() -> str:
     parts = []
     for term, others in Q.EXPANSIONS:
         others = [o for o in others if o.lower() != term.lower()][:3]
         at = f"strpos(lower(x), {_quoted(term.lower())})"
         made = ", ".join(f"substr(x, 1, {at} - 1) || {_quoted(o)} || substr(x, {at} + {len(term)})" for o in others)
-        parts.append(f"CASE WHEN regexp_matches(lower(x), {_quoted(chr(92) + 'b' + term.lower() + chr(92) + 'b')}) THEN [{made}] ELSE []::VARCHAR[] END")
+        parts.append(f"CASE WHEN regexp_matches(lower(x), {_quoted(_EDGE.format('^') + term.lower() + _EDGE.format('$'))}) THEN [{made}] ELSE []::VARCHAR[] END")
     return "flatten([[x], " + ", ".join(parts) + "])"
 
 
