@@ -24,7 +24,7 @@ def markdown_tables(df: DataFrame, key: str, text: str) -> DataFrame:
     cells = lambda line: F.transform(F.split(F.regexp_replace(F.trim(line), r"^\||\|$", ""), r"\|"), lambda c: F.trim(c))
     lines = tables.withColumn("_l", F.filter(F.split("_t", "\n"), lambda x: F.trim(x) != "")).where(F.get("_l", F.lit(1)).rlike(r"^[\s|:\-]+$"))
     lines = lines.withColumn("_h", cells(F.get("_l", F.lit(0))))
-    rows = lines.select(key, "table", "_h", F.posexplode(F.slice("_l", 3, 1 << 20)).alias("row", "_r")).withColumn("_c", cells(F.col("_r")))
+    rows = lines.select(key, "table", "_h", F.posexplode(F.slice("_l", F.lit(3), F.size("_l"))).alias("row", "_r")).withColumn("_c", cells(F.col("_r")))
     padded = F.transform(F.sequence(F.lit(0), F.size("_h") - 1), lambda i: F.get(F.col("_c"), i))
     names = F.transform(F.col("_h"), lambda h, i: F.when(h == "", F.concat(F.lit("column_"), i.cast("string"))).otherwise(h))
     pairs = F.arrays_zip(names.alias("k"), padded.alias("v"))
