@@ -253,3 +253,12 @@ def intent(text: Column) -> Column:
     out = F.when(F.coalesce(F.trim(text), F.lit("")) == "", row("QA", F.lit(0.0))).when((n["GENERAL"] > 0) & (total == 0), row("GENERAL", F.lit(1.0)))
     out = out.when(total == 0, row("QA", F.lit(0.5))).when(at == 0, row("QA", F.greatest(sure, F.lit(LEAST_QA))))
     return out.when(sure < LEAST_OTHER, row("QA", F.lit(0.5))).when(at == 1, row("ANALYSIS", sure)).otherwise(row("AUDIT", sure))
+
+
+def hashed_words(text: Column, size: int = 64) -> Column:
+    """How often words of each of ``size`` hash buckets occur: an encoder without a model."""
+    words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
+    buckets = F.transform(words, lambda w: F.pmod(F.conv(F.substring(F.md5(w), 1, 6), 16, 10).cast("bigint"), F.lit(size)))
+    start = F.array_repeat(F.lit(0.0), size)
+    slots = F.sequence(F.lit(0), F.lit(size - 1))
+    return F.when(F.size(words) > 0, F.transform(slots, lambda i: F.size(F.filter(buckets, lambda b: b == i)).cast("double"))).otherwise(start)

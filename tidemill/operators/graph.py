@@ -66,3 +66,43 @@ def with_provenance(nodes: DataFrame, mentions: DataFrame) -> DataFrame:
 def non_null(props: str) -> F.Column:
     """A property map without its nulls."""
     return F.map_filter(props, lambda _, v: v.isNotNull())
+
+
+#: Kinds of node that need a description, and the boost for each match with the question.
+DESCRIBED, MATCH_BOOST = ("Exclusion", "Condition"), 0.05
+
+
+def scored_nodes(found: DataFrame, boosts: DataFrame, kinds: Sequence[str] = (), names: Sequence[str] = (), decay: float = 0.9) -> DataFrame:
+    """``found`` (node, kind, section, distance, props) with a score; evidence without a quote is left out.
+
+    decay to the power of distance, plus the section's boost (``boosts``: section in lower case, boost; one row a
+    section), plus 0.05 for a kind asked for and 0.05 for a name, title or term that holds a name asked for.
+    """
+    rows = found.where((F.col("kind") != "Evidence") | (F.trim(F.coalesce(F.try_element_at("props", F.lit("quote")), F.lit(""))) != ""))
+    low = lambda xs: [x.lower() for x in xs]
+    called = F.lower(F.coalesce(*(F.nullif(F.try_element_at("props", F.lit(k)), F.lit("")) for k in ("name", "title", "term"))))
+    kind = F.lower("kind").isin(low(kinds)) if kinds else F.lit(False)
+    name = F.lit(False)
+    for x in low(names):
+        name = name | F.coalesce(called.contains(x), F.lit(False))
+    extra = (kind.cast("int") + name.cast("int")) * MATCH_BOOST
+    joined = rows.join(F.broadcast(boosts.limit(1000)), F.lower(rows["section"]) == boosts["section"], "left").drop(boosts["section"])
+    return joined.withColumn("score", F.pow(F.lit(decay), "distance") + F.coalesce("boost", F.lit(0.0)) + extra).drop("boost")
+
+
+def hydrated(nodes: DataFrame, records: DataFrame) -> DataFrame:
+    """``nodes`` (node, kind, props) with sparse ones filled from ``records`` (kind, node, attributes; one row each).
+
+    Sparse: under 3 properties, or of a kind in :data:`DESCRIBED` without description and definition_text. Attributes go
+    over properties; a description that is still missing is the source_text.
+    """
+    value = lambda k: F.coalesce(F.try_element_at("props", F.lit(k)), F.lit(""))
+    bare = F.col("kind").isin(*DESCRIBED) & (value("description") == "") & (value("definition_text") == "")
+    sparse = bare | (F.size("props") < 3)
+    kept = F.map_filter("props", lambda k, _: ~F.array_contains(F.map_keys("attributes"), k))
+    over = F.map_concat(kept, "attributes")
+    source = F.try_element_at(over, F.lit("source_text"))
+    lacks = ~F.array_contains(F.map_keys(over), "description") & (F.coalesce(source, F.lit("")) != "")
+    full = F.when(lacks, F.map_concat(over, F.create_map(F.lit("description"), source))).otherwise(over)
+    out = nodes.join(records.select("kind", "node", "attributes"), ["kind", "node"], "left")
+    return out.withColumn("props", F.when(sparse & F.col("attributes").isNotNull(), full).otherwise(F.col("props"))).select(*nodes.columns)

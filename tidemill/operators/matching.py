@@ -97,6 +97,61 @@ def reference_cascade(refs: DataFrame, ref: str, candidates: Sequence[tuple[str,
     return refs.join(best, ref, "left")
 
 
+def containments(inner: DataFrame, outer: DataFrame) -> DataFrame:
+    """(inner, outer) for each text of one set that is part of a text of the other; both have one column of that name.
+
+    An equi-join on grams: a text of up to 3 characters is its own key, a longer one is looked up by that of its
+    4-character parts that fewest outer texts hold. Nulls and empty texts have no partner.
+    """
+    grams = lambda c, n: F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(c, i, n))).otherwise(F.array().cast("array<string>"))
+    a, b = inner.select("inner").where("inner <> ''").distinct(), outer.select("outer").where("outer <> ''").distinct()
+    held = b.select("outer", F.explode(F.array_distinct(F.concat(*(grams(F.col("outer"), n) for n in (1, 2, 3, 4))))).alias("gram"))
+    long = a.where(F.length("inner") > 3).select("inner", F.explode(F.array_distinct(grams(F.col("inner"), 4))).alias("gram"))
+    known = held.where(F.length("gram") == 4).groupBy("gram").agg(F.count("*").alias("texts"))
+    rare = long.join(known, "gram", "left").groupBy("inner").agg(F.min_by("gram", F.struct(F.coalesce("texts", F.lit(0)), "gram")).alias("gram"))
+    keyed = rare.unionByName(a.where(F.length("inner") <= 3).select("inner", F.col("inner").alias("gram")))
+    return keyed.join(held, "gram").where(F.col("outer").contains(F.col("inner"))).select("inner", "outer")
+
+
+#: The steps of :func:`resolved_references` in order.
+REFERENCE_STEPS = ("key", "attribute", "typed", "value", "part", "temporary")
+
+
+def resolved_references(refs: DataFrame, entities: DataFrame, mentions: DataFrame) -> DataFrame:
+    """ref, key and step: each distinct reference with the entity that the first of six steps finds, nulls where none does.
+
+    ``refs``: ref; ``entities``: seq, key, kind, value, ids (array); ``mentions``: chunk, pos, kind, value. A reference is
+    an entity's key, one of its ids, ``kind:value``, its value, over 3 characters that are part of the value or hold it
+    (case and outer spaces don't count from the third step on), or ``temp_chunk_kind_...`` for a mention in that chunk
+    whose kind and value are an entity's. Several entities in one step: the lowest ``seq``. Each step's keys are
+    reduced to one entity before the join, so a value that very many entities share is no hot key.
+    """
+    r = refs.select("ref").where("ref IS NOT NULL").distinct()
+    plain = lambda c: F.lower(F.trim(c))
+    least = F.min(F.struct("seq", "key")).alias("e")
+    by = lambda k: entities.select(k.alias("k"), "seq", "key").where("k IS NOT NULL").groupBy("k").agg(least)
+    values = entities.select(plain("value").alias("k"), "seq", "key").where("k <> ''").groupBy("k").agg(least)
+    typed = F.when(~F.contains("kind", F.lit(":")), F.concat(F.lower("kind"), F.lit(":"), F.lower(F.coalesce("value", F.lit("")))))
+    long = r.select("ref", plain("ref").alias("p")).where(F.length("p") > 3)
+    texts, names = long.select("p").distinct(), values.select("k")
+    within = containments(texts.withColumnRenamed("p", "inner"), names.withColumnRenamed("k", "outer")).select(F.col("inner").alias("p"), F.col("outer").alias("k"))
+    around = containments(names.withColumnRenamed("k", "inner"), texts.withColumnRenamed("p", "outer")).select(F.col("outer").alias("p"), F.col("inner").alias("k"))
+    part = within.unionByName(around).join(values, "k").groupBy("p").agg(F.min("e").alias("e"))
+    meant = mentions.select("chunk", "pos", "kind", plain("value").alias("v")).where("v <> ''")
+    same = entities.select("kind", plain("value").alias("v"), "seq", "key").groupBy("kind", "v").agg(least)
+    there = meant.join(same, ["kind", "v"]).groupBy("chunk", "kind").agg(F.min_by("e", F.struct("pos", "e")).alias("e"))
+    bits = F.split("ref", "_")
+    temporary = r.where(F.startswith("ref", F.lit("temp_")) & (F.size(bits) >= 3)).select("ref", bits[1].alias("chunk"), bits[2].alias("kind"))
+    found = [
+        r.join(by(F.col("key")), F.col("ref") == F.col("k")), r.join(by(F.explode("ids")), F.col("ref") == F.col("k")), r.join(by(typed), F.lower("ref") == F.col("k")),
+        r.join(values, plain("ref") == F.col("k")), long.join(part, "p"), temporary.join(there, ["chunk", "kind"]),
+    ]
+    tagged = reduce(DataFrame.unionByName, (df.select("ref", F.lit(i).alias("i"), "e") for i, df in enumerate(found)))
+    best = tagged.groupBy("ref").agg(F.min(F.struct("i", "e")).alias("b"))
+    steps = F.array(*map(F.lit, REFERENCE_STEPS))
+    return r.join(best, "ref", "left").select("ref", F.col("b.e.key").alias("key"), F.get(steps, F.col("b.i")).alias("step"))
+
+
 def json_leaves(df: DataFrame, key: str, document: str) -> DataFrame:
     """(key, path, value) for every leaf of a JSON text, at any depth; arrays by position."""
 

@@ -197,3 +197,24 @@ def section_spans(df: DataFrame, key: str, text: str, rules: PageRules = RULES)
     new = (~F.col("section").eqNullSafe(F.lag("section").over(order))).cast("int")
     at = at.withColumn("_new", new).withColumn("span", F.sum("_new").over(order))
     return at.groupBy(key, "span").agg(F.first("section").alias("section"), F.min("_i").alias("start"), F.max("_i").alias("end"))
+
+
+#: Names that say nothing, and how references to sections begin.
+GENERIC_NAMES = (
+    "the policy", "policy", "this policy", "the insured", "insured", "coverage", "exclusion", "endorsement", "schedule",
+    "declarations", "form", "section", "paragraph", "item", "part", "provision",
+)
+SECTION_REFERENCES = (r"^SECTION\s+[IVX\d]+", r"^PART\s+[A-Z\d]+", r"^PARAGRAPH\s+[A-Z\d\.]+", r"^\d+\.\s+[A-Z]", r"^[A-Z]\.\d+")
+
+
+def reject_reason(kind: Column, name: Column, confidence: Column) -> Column:
+    """Why a coverage or exclusion is of low quality, null for one that isn't, for other kinds and without a name.
+
+    The first of: confidence (0.8 where missing) under 0.85, a generic name, a reference to a section, a name of under 5
+    characters without its article.
+    """
+    low = F.lower(F.trim(name))
+    reason = F.when(F.coalesce(confidence, F.lit(0.8)) < 0.85, "low_confidence").when(low.isin(*GENERIC_NAMES), "generic_names")
+    reason = reason.when(name.rlike("(?i)" + "|".join(SECTION_REFERENCES)), "section_references")
+    reason = reason.when(F.length(F.trim(F.regexp_replace(low, r"^(the|a|an)\s+", ""))) < 5, "short_names")
+    return F.when(F.lower(kind).isin("coverage", "exclusion") & (name != ""), reason)

@@ -1,6 +1,8 @@
 """Keyed, repeatable writes."""
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,3 +38,33 @@ def merge_edges(base: DataFrame, new: DataFrame, nodes: DataFrame) -> DataFrame:
     keys = ["scope", "src", "dst", "type"]
     both = base.withColumnRenamed("props", "_p").join(sound, keys, "full_outer")
     return both.select(*keys, F.coalesce("props", "_p").alias("props"))
+
+
+def without_scope(nodes: DataFrame, edges: DataFrame, scope: str) -> tuple[DataFrame, DataFrame]:
+    """A graph (nodes: scope, id; edges: scope, src, dst) without one scope's nodes, and without its edges."""
+    return nodes.where(F.col("scope") != scope), edges.where(F.col("scope") != scope)
+
+
+def evidence(found: DataFrame, chunks: DataFrame, entities: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Evidence nodes, and SUPPORTED_BY edges to them from entities that exist.
+
+    ``found``: scope, id, entity, chunk, quote, confidence; ``chunks``: chunk, text, page; ``entities``: scope, id. A missing
+    quote is the first 500 characters of its chunk, a missing or zero confidence 0.9. Evidence is known by its
+    whole id: a shortened one would merge different evidence.
+    """
+    quote = F.coalesce(F.nullif("quote", F.lit("")), F.substring("text", 1, 500), F.lit(""))
+    sure = F.coalesce(F.nullif(F.col("confidence"), F.lit(0.0)), F.lit(0.9))
+    name = F.concat(F.lit("evidence_"), F.col("id").cast("string"))
+    nodes = found.join(chunks, "chunk", "left").select("scope", name.alias("id"), "chunk", quote.alias("quote"), "page", sure.alias("confidence"))
+    known = entities.select("scope", F.col("id").alias("src"))
+    edges = found.select("scope", F.col("entity").alias("src"), name.alias("dst"), F.lit("SUPPORTED_BY").alias("type")).distinct()
+    return nodes, edges.join(known, ["scope", "src"], "left_semi")
+
+
+def vector_rows(df: DataFrame, key: str, text: str, encoder: Callable[[Column], Column]) -> DataFrame:
+    """key, content_hash and embedding of texts that aren't blank.
+
+    ``encoder`` makes an array column of a text column: a pandas UDF around a model, or an expression.
+    """
+    rows = df.where(F.trim(text) != "")
+    return rows.select(key, F.sha2(text, 256).alias("content_hash"), encoder(F.col(text)).alias("embedding"))
