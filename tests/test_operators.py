@@ -314,3 +314,97 @@ def test_name_matching_passes(spark):
     assert out == {(1, 9, "canonical"), (2, 8, "name"), (3, 7, "contained"), (4, None, "removed"), (None, 6, "added")}
     kept = {r["how"] for r in matching.name_matched(old, new, "k", "n", "c", endorsement=True).collect()}
     assert "unchanged" in kept and "removed" not in kept
+
+
+def test_containments_by_brute_force(spark):
+    r = random.Random(5)
+    text = lambda n: "".join(r.choice("abé ") for _ in range(n))
+    inner, outer = [text(r.randint(0, 7)) for _ in range(150)] + [None], [text(r.randint(0, 25)) for _ in range(60)] + [None, "same", "same"]
+    got = matching.containments(spark.createDataFrame([(x,) for x in inner], "inner string"), spark.createDataFrame([(x,) for x in outer], "outer string"))
+    want = {(a, b) for a in inner if a for b in outer if b and a in b}
+    rows = got.collect()
+    assert len(rows) == len(want) and {tuple(x) for x in rows} == want
+    empty = spark.createDataFrame([], "inner string")
+    assert matching.containments(empty, spark.createDataFrame([("a",)], "outer string")).count() == 0
+
+
+def test_references_at_the_edges(spark):
+    entities = [(1, "k1", "Cov", "Auto Liability", ["a1"]), (2, "k2", "Cov", "auto liability ", ["a2", "k1"]), (3, "k3", "Excl", None, None), (4, "k4", "Excl", "wo", []), (5, "k5", "Excl", "  ", [])]
+    mentions = [("9", 1, "Excl", "WO"), ("9", 0, "Excl", "unknown"), ("9", 0, "Cov", None)]
+    refs = ["k1", "a2", "cov:AUTO liability", " auto liability", "auto", "aut", "big auto liability form", "two words", "temp_9_Excl_1", "temp_9_Cov_1", "temp_9", "excl:", "", None, "k1"]
+    got = matching.resolved_references(
+        spark.createDataFrame([(x,) for x in refs], "ref string"), spark.createDataFrame(entities, "seq int, key string, kind string, value string, ids array<string>"),
+        spark.createDataFrame(mentions, "chunk string, pos int, kind string, value string"),
+    )
+    assert {x["ref"]: (x["key"], x["step"]) for x in got.collect()} == {
+        "k1": ("k1", "key"), "a2": ("k2", "attribute"), "cov:AUTO liability": ("k1", "typed"), " auto liability": ("k1", "value"), "auto": ("k1", "part"), "aut": (None, None),
+        "big auto liability form": ("k1", "part"), "two words": ("k4", "part"), "temp_9_Excl_1": ("k4", "temporary"), "temp_9_Cov_1": (None, None), "temp_9": (None, None), "excl:": ("k3", "typed"), "": (None, None),
+    }
+
+
+def _lev(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        prior, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            prior, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, prior + (x != y))
+    return row[-1]
+
+
+def test_windows_of_quotes_by_brute_force(spark):
+    from tidemill.plans import citations
+
+    r = random.Random(3)
+    vocabulary = ["alpha", "beta", "gamma", "deltas", "delta", "coverage", "coverages", "x"]
+    pages = [(p, k, [r.choice(vocabulary) for _ in range(r.choice([0, 2, 6, 30]))]) for p in range(3) for k in range(1, 6)]
+    quotes = []
+    for i in range(80):
+        p, _, w = r.choice(pages)
+        at, n = r.randrange(len(w) + 1), r.randint(1, 25)
+        q = [x if r.random() < 0.9 else r.choice(vocabulary) for x in w[at : at + n]]
+        quotes.append((i, p if i % 9 else None, r.choice([1, 3, None]), q))
+    like = lambda a, b: a == b or _lev(a, b) <= int(max(len(a), len(b)) * 0.2)
+
+    for least in (0.6, 0.75):
+        want = {}
+        for i, p, expected, q in quotes:
+            q = q[:15]
+            n = len(q)
+            need = -(-round(n * least * 100) // 100)
+            hits = []
+            for parent, k, w in pages:
+                for at in range(len(w) - n + 1) if parent == p and n else ():
+                    window = w[at : at + n]
+                    m = n - need + 1
+                    block = any(q[b * n // m : (b + 1) * n // m] == window[b * n // m : (b + 1) * n // m] for b in range(m))
+                    if block and sum(map(like, q, window)) >= need:
+                        hits.append((abs(k - (expected or 1)), k, at))
+                    assert block or sum(a == b for a, b in zip(q, window, strict=True)) < need
+            if hits:
+                want[i] = min(hits)[1:]
+        got = citations.windows(
+            spark.createDataFrame(quotes, "item_id int, parent int, expected int, q array<string>"), spark.createDataFrame(pages, "parent int, page int, w array<string>"), least
+        )
+        assert {x["item_id"]: (x["page"], x["at"]) for x in got.collect()} == want and len(want) > 20
+
+
+def test_citation_methods(spark):
+    from tidemill.plans import citations
+
+    body = "the insurer pays for sudden damage to covered property at the described premises during the policy period only"
+    half = body.split()[:9]
+    chunks = [(1, 1, "nothing of note stands on this first page", [1.0, 0.0]), (1, 2, body, [0.0, 1.0]), (2, 1, "other file", [0.0, 1.0])]
+    quotes = [
+        (1, 1, 1, body, None), (2, 1, 1, "2. " + body.replace("sudden", "suden").replace("damage", "harm"), None), (3, 1, 1, " ".join(half) + " " + "unlike words follow here and they go on for long", [0.1, 1.0]),
+        (4, 1, 3, "wholly different wording that matches none", [0.2, 1.0]), (5, 1, 3, "too short", [0.0, 1.0]), (6, 1, 3, "wholly different wording that matches none", [1.0, -9.0]),
+        (7, 1, None, None, None), (8, None, 4, body, [0.0, 1.0]), (9, 1, 2, "", [0.0, 1.0]),
+    ]
+    got = citations.resolved(
+        spark.createDataFrame(quotes, "item_id int, parent int, page int, quote string, vector array<double>"), spark.createDataFrame(chunks, "parent int, page int, text string, vector array<double>")
+    )
+    rows = {x["item_id"]: x for x in got.collect()}
+    assert {k: (x["method"], x["page"], x["at"]) for k, x in rows.items()} == {
+        1: ("direct_text_match", 2, 0), 2: ("direct_text_match", 2, 0), 3: ("semantic_chunk_match", 2, 0), 4: ("semantic_chunk_match", 2, None), 5: ("placeholder", 3, None),
+        6: ("placeholder", 3, None), 7: ("placeholder", 1, None), 8: ("placeholder", 4, None), 9: ("placeholder", 2, None),
+    }
+    assert rows[1]["confidence"] == 0.9 and rows[5]["confidence"] == 0 and rows[4]["confidence"] == pytest.approx(1 - rows[4]["distance"])
