@@ -11,7 +11,7 @@ from tidemill.llm.queries import ORACLE_SQL, QUERIES
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_rows_of_sql(name, spark, data):
     con = duckdb.connect()
-    for table in ("documents", "embeddings", "pages"):
+    for table in ("documents", "embeddings", "pages", "benchmark"):
         path = f"{data}/{table}.parquet"
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{path}{'/*.parquet' if os.path.isdir(path) else ''}'")
     found = con.execute(ORACLE_SQL[name])
@@ -26,6 +26,6 @@ def test_rows_of_sql(name, spark, data):
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_whole_table_comes_back(name, spark, data):
     out = QUERIES[name](spark, data)
-    table = {"op1_extract": "pages", "op3_urls": "pages", "op5_topk": None, "op8_vectors": "embeddings"}.get(name, "documents")
+    table = {"op1_extract": "pages", "op3_urls": "pages", "op5_topk": None, "op8_vectors": "embeddings", "op13_centroids": "embeddings"}.get(name, "documents")
     if table:
         assert out.count() == spark.read.parquet(f"{data}/{table}.parquet").count()

@@ -7,14 +7,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemill.llm.bpe import bpe_digests
+from tidemill.llm.centroids import cluster
 from tidemill.llm.embeddings import near_vectors
 from tidemill.llm.hamming import nearest
 from tidemill.llm.html_extract import extract_pages
+from tidemill.llm.importance import resample
 from tidemill.llm.langid import identify
 from tidemill.llm.mixing import mix
 from tidemill.llm.secrets import scan_documents
 from tidemill.llm.sharding import interleave
 from tidemill.llm.simhash import near_copies
+from tidemill.llm.toxicity import score_documents
 from tidemill.llm.url_rules import judge
 
 
@@ -70,6 +73,18 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_table(spark, sf_dir, "documents"))
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_extract": op1_extract,
     "op2_shards": op2_shards,
@@ -81,23 +96,30 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_vectors": op8_vectors,
     "op9_mix": op9_mix,
     "op10_language": op10_language,
+    "op11_importance": op11_importance,
+    "op12_toxicity": op12_toxicity,
+    "op13_centroids": op13_centroids,
 }
 
 #: A row's place in a shuffle: 60 bits of an MD5 digest.
 _SEAT = "('0x' || substr(md5('{seed}:' || coalesce(doc_id::VARCHAR, '~') || ':' || {parts}), 1, 15))::BIGINT"
 
-ORACLE_SQL: dict[str, str] = {
-    "op2_shards": f"""
-WITH crc AS (
+#: CRC-32 of a text, with the table of its 256 bytes' sums.
+_CRC_TABLE = """crc AS (
   SELECT list(c8 ORDER BY i) AS t FROM (
     SELECT i, list_reduce(list_concat([i::BIGINT], range(8)::BIGINT[]),
       lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c8
-    FROM range(256) r(i))),
+    FROM range(256) r(i)))"""
+_CRC = """xor(list_reduce(list_concat([4294967295::BIGINT],
+      list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda h: ('0x' || h)::BIGINT)),
+      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_shards": f"""
+WITH {_CRC_TABLE},
 s AS (
   SELECT doc_id, source, coalesce(strlen(text), 0)::BIGINT + 8 AS size,
-    xor(list_reduce(list_concat([4294967295::BIGINT],
-      list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT)),
-      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32,
+    {_CRC.format(text="coalesce(text, '')")} AS text_crc32,
     CASE WHEN source IS NULL THEN '~' ELSE '=' || source END AS g
   FROM documents, crc),
 a AS (SELECT *, {_SEAT.format(seed=7, parts="size || ':' || text_crc32")} AS place FROM s),
@@ -148,4 +170,29 @@ u AS (SELECT g, upto, sum(size)::BIGINT AS taken FROM f
   WHERE spent <= 1.5::DOUBLE * (SELECT sum(size) FROM a) GROUP BY g, upto)
 SELECT q.doc_id, q.size, q.source_size, q.target, coalesce(taken, 0)::BIGINT AS taken
 FROM q LEFT JOIN u ON q.g = u.g AND q.upto = u.upto AND q.size > 0""",
+    "op11_importance": f"""
+WITH {_CRC_TABLE},
+w AS (
+  SELECT doc_id, row_number() OVER () AS k, regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words
+  FROM documents),
+d AS (SELECT k, unnest(words) AS word FROM w),
+e AS (SELECT unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS word FROM benchmark),
+v AS (SELECT word, ({_CRC.format(text="word")} % 10000) AS bucket
+  FROM (SELECT word FROM d UNION SELECT word FROM e), crc),
+s AS (SELECT bucket, count(*) AS s FROM d JOIN v USING (word) GROUP BY bucket),
+g AS (SELECT bucket, count(*) AS t FROM e JOIN v USING (word) GROUP BY bucket),
+gain AS (
+  SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM d) + 10000)
+    / ((s + 1)::DOUBLE * ((SELECT count(*) FROM e) + 10000))))::BIGINT AS gain FROM s LEFT JOIN g USING (bucket)),
+x AS (SELECT k, sum(gain)::BIGINT AS weight FROM d JOIN v USING (word) JOIN gain USING (bucket) GROUP BY k),
+y AS (
+  SELECT doc_id, k, coalesce(len(words), 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+    coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE)
+      / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM w LEFT JOIN x USING (k)),
+z AS (SELECT k, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, weight DESC, n_features DESC) AS rank FROM y WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 10 * (SELECT count(*) FROM z) // 100 THEN rank END AS rank
+FROM y LEFT JOIN z USING (k)""",
 }
