@@ -191,6 +191,7 @@ def test_network_by_loops_and_in_blocks(monkeypatch):
     net.vectors[0] = 0
     rows, first = toxicity.keys(pa.array(texts))
     want = _naive(net, rows, first)
+    assert all(np.array_equal(*pair) for pair in zip(toxicity.keys_of(texts, 3), (rows, first)))
     assert np.allclose(net.logits(rows, first), want, atol=1e-4)
     monkeypatch.setattr(toxicity, "BLOCK", 7)
     assert np.allclose(net.logits(rows, first), want, atol=1e-4)
