@@ -20,23 +20,27 @@ def _fold(items: Column, start: Column, step, finish=None) -> Column:
     return F.aggregate(items, start, step, finish) if finish else F.aggregate(items, start, step)
 
 
-def packed(df: DataFrame, key: str, order: Sequence[str], size: Column, most: float, most_items: int) -> DataFrame:
+def packed(df: DataFrame, key: str, order: Sequence[str], size: Column, most: float | Column, most_items: int | Column) -> DataFrame:
     """Items in order into bins: a bin closes when the next item would take it over ``most`` or ``most_items``.
 
-    Returns key, the order columns, size and bin (from 0). An item over the limit has a bin of its own.
+    Limits may be columns, each item's then holding when it comes. Returns key, the order columns, size and bin (from 0). An item
+    over the limit has a bin of its own.
     """
-    got = _items(df, key, order, {"size": size.cast("double")})
+    limits = {n: c for n, c in (("most", most), ("most_items", most_items)) if isinstance(c, Column)}
+    got = _items(df, key, order, {"size": size.cast("double"), **limits})
     start = F.struct(F.lit(-1).alias("bin"), F.lit(0.0).alias("sum"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
-        new = (acc["bin"] < 0) | (acc["sum"] + x["size"] > most) | (acc["n"] >= most_items)
+        room = {"most": most, "most_items": most_items} | {n: x[n] for n in limits}
+        new = (acc["bin"] < 0) | (acc["sum"] + x["size"] > room["most"]) | (acc["n"] >= room["most_items"])
         return F.struct(
             F.when(new, acc["bin"] + 1).otherwise(acc["bin"]).alias("bin"), F.when(new, x["size"]).otherwise(acc["sum"] + x["size"]).alias("sum"),
             F.when(new, 1).otherwise(acc["n"] + 1).alias("n"), F.concat(acc["out"], F.array(F.when(new, acc["bin"] + 1).otherwise(acc["bin"]))).alias("out"),
         )
 
     bins = _fold("_items", start, step, lambda acc: acc["out"])
-    return got.select(key, F.explode(F.arrays_zip("_items", bins.alias("bin"))).alias("_z")).select(key, "_z._items.*", "_z.bin")
+    rows = got.select(key, F.explode(F.arrays_zip("_items", bins.alias("bin"))).alias("_z"))
+    return rows.select(key, *(f"_z._items.{c}" for c in (*order, "size")), "_z.bin")
 
 
 def merged_small(df: DataFrame, key: str, order: Sequence[str], group: str, size: Column, least: float, most: float) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 _HEADING = re.compile(r"^#{1,6}\s+(.*)")
 _BREAK = re.compile(r"\n\n+|\n(?=#{1,6} )")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
+_PIECES = re.compile(r"([.!?]+\s+)")
 
 
 def tokens_in(text: str) -> int:
@@ -46,6 +47,53 @@ def split_to_limit(text: str, most: int) -> list[str]:
     return [*out, now] if now else out
 
 
+def sentences(text: str) -> list[str]:
+    """A text cut at the space after a full stop, an exclamation mark or a question mark."""
+    return _SENTENCE.split(text)
+
+
+def split_with_overlap(text: str, most: int, overlap: int) -> list[str]:
+    """Pieces of about ``most`` tokens by lines, each beginning with the last lines of the one before that ``overlap`` holds.
+
+    A line over the limit is a break: it is cut behind sentences, without overlap. Pieces are sums of their parts' tokens, so
+    a sentence over the limit stays whole.
+    """
+    if tokens_in(text) <= most:
+        return [text]
+    out: list[str] = []
+
+    def filled(parts: list[str], glue: str, carry: int) -> list[str]:
+        """Puts out all full pieces of the parts and returns what is left."""
+        held: list[tuple[str, int]] = []
+        size = 0
+        for part in parts:
+            n = tokens_in(part)
+            if held and size + n > most:
+                out.append(glue.join(x for x, _ in held))
+                kept, size = len(held), 0
+                while carry and kept and size + held[kept - 1][1] <= carry:
+                    kept -= 1
+                    size += held[kept][1]
+                held = held[kept:]
+            held.append((part, n))
+            size += n
+        return [x for x, _ in held]
+
+    lines: list[str] = []
+    for line in text.split("\n"):
+        if tokens_in(line) <= most:
+            lines.append(line)
+            continue
+        if rest := filled(lines, "\n", overlap):
+            out.append("\n".join(rest))
+        lines = []
+        if rest := filled(_PIECES.split(line), "", 0):
+            out.append("".join(rest))
+    if rest := filled(lines, "\n", overlap):
+        out.append("\n".join(rest))
+    return out
+
+
 def chunks_of(text: str, most: int, least: int, overlap: int) -> list[tuple[str, str, int]]:
     """(section, chunk, tokens) of a text: a chunk ends at a section change once it has ``least`` tokens, or at ``most``."""
     out: list[tuple[str, str, int]] = []
