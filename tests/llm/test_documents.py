@@ -609,3 +609,69 @@ def test_pipeline_stages_by_brute_force(spark, rows):
 def test_pipeline_of_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def _queue(rows, share=1.5, epochs=2):
+    """Words that each (doc_id, source, size) gets in a plain fair queue over rows of equal targets for their weights."""
+    sizes = Counter()
+    for _, source, size in rows:
+        sizes[source] += size
+    names, weights = sorted(sizes), {}
+    for k, source in enumerate(names):
+        weights[source] = (3.0, 1.0, 2.0)[k % 3]
+    budget, left, target = sum(sizes.values()) * share, set(names), {}
+    while left:
+        level = (budget - sum(target.values())) / sum(weights[s] for s in left)
+        over = {s for s in left if sizes[s] * epochs < level * weights[s] - 1e-9}
+        if not over:
+            target |= {s: level * weights[s] for s in left}
+            break
+        target |= {s: float(sizes[s] * epochs) for s in over}
+        left -= over
+    return sizes, target, budget
+
+
+@pytest.mark.parametrize("sources,each,words", [(4, 1, 5), (7, 10, 4), (6, 50, 7), (12, 100, 3), (3000, 1, 4)])
+def test_mixture_of_sources_of_one_size(spark, monkeypatch, sources, each, words):
+    monkeypatch.setattr(mixing, "BUCKET", 40)
+    table = [(i * each + k, f"s{i:05d}", words) for i in range(sources) for k in range(each)]
+    docs = spark.createDataFrame([(d, "w " * n, s) for d, s, n in table], "doc_id bigint, text string, source string").repartition(3)
+    sizes, target, budget = _queue(table)
+    got = mixing.mix(docs).collect()
+    assert len(got) == len(table)
+    taken = Counter()
+    for r, (doc_id, source, size) in zip(sorted(got), table):
+        assert (r["doc_id"], r["size"], r["source_size"]) == (doc_id, size, sizes[source]) and abs(r["target"] - target[source]) < 1e-6
+        assert r["taken"] in (0, size, 2 * size)
+        taken[source] += r["taken"]
+    assert budget - words < sum(taken.values()) <= budget
+    assert all(abs(taken[s] - target[s]) <= 2 * words for s in sizes)
+    assert sorted(got) == sorted(mixing.mix(docs.repartition(5)).collect())
+    kept = Counter(r["doc_id"] for r in mixing.mixed_documents(docs).collect())
+    assert kept == Counter({r["doc_id"]: r["taken"] // r["size"] for r in got if r["taken"]})
+
+
+def test_pipeline_over_sources_of_one_size(spark, tmp_path):
+    r = random.Random(12)
+    table = [(i, _prose(r, "en" if i % 2 else "fr", 40), "en" if i % 2 else "fr", f"s{i}", 1) for i in range(40)]
+    spark.createDataFrame(table, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert 50 <= len(out) <= 60 and max(Counter(x["doc_id"] for x in out).values()) == 2
+
+
+@pytest.mark.parametrize("ids", [lambda i: None, lambda i: 7, lambda i: 11, lambda i: i if i % 2 else None])
+def test_languages_of_documents_that_share_ids(spark, ids):
+    r = random.Random(6)
+    table = [(ids(i), _prose(r, "en" if i % 2 else "fr", 12), "en" if i % 2 else "fr") for i in range(1200)]
+    docs = spark.createDataFrame(table, "doc_id bigint, text string, lang string").repartition(3)
+    if all(zlib.crc32(str(x[0]).encode()) % 3 == 1 for x in table if x[0] is not None) and table[0][0] is not None:
+        return
+    truth = {t: g for _, t, g in table}
+    got = [(x["lang_pred"], truth[x["text"]]) for x in docs.withColumn("p", langid.predictor(docs, langid.learn(docs))("text")).select("text", "p.lang_pred").collect()]
+    assert sum(a == b for a, b in got) >= 0.99 * len(got)
+
+
+def test_languages_beyond_the_limit(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MOST", 3)
+    docs = spark.createDataFrame([(i, f"{'abcde'[i % 5] * 4} {i}", f"l{min(i % 5, 4)}") for i in range(200) for _ in range(1 + (i % 5 < 3))], "doc_id bigint, text string, lang string")
+    assert set(langid.learn(docs).langs) <= {f"l{i}" for i in range(5)} and len(langid.learn(docs).langs) == 3

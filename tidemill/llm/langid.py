@@ -6,8 +6,9 @@ among families one against the rest, and among the languages of a family one aga
 ties by summed margins. Prediction is one table lookup for each byte and a mean for each text.
 
 The machines learn on a bounded sample: at most ``SAMPLE`` documents of each language, those with the
-smallest seeded hashes of doc_id, chosen by rank among a prefiltered share. Every lang value that occurs
-is learned; beyond ``LANGUAGES`` of them the sample of each shrinks in proportion, down to ``LEAST_SAMPLE``
+smallest seeded hashes of doc_id and text together, chosen by rank among a prefiltered share, so that documents which share
+a doc_id or have none are drawn like others; equal rows count once. Every lang value that occurs
+is learned, up to the ``MOST`` with the most documents; beyond ``LANGUAGES`` of them the sample of each shrinks in proportion, down to ``LEAST_SAMPLE``
 documents. Samples are held sparse and made dense ``ROWS`` at a time, and machines against the rest are
 learned ``ABREAST`` at a time. Everything else covers all rows. Learning rows are those whose crc32(doc_id as text) mod 3 is not 1 and whose lang and text
 are not null. lang, source and doc_id are never inputs of a prediction.
@@ -31,6 +32,8 @@ from pyspark.sql.window import Window
 from tidemill.llm.common import pick, shelved, ship, unit
 
 BUCKETS, SAMPLE, LANGUAGES, LEAST_SAMPLE, ROWS, ABREAST, SEED = 1 << 13, 300, 64, 30, 2048, 128, 11
+#: The most languages that are learned, those with the most documents: weights grow with them.
+MOST = 1024
 #: Families by ISO 639-1 code; other codes are families of their own.
 FAMILIES = {
     "germanic": ("en", "de", "nl", "sv", "da", "no", "nb", "nn", "is", "af"),
@@ -199,24 +202,23 @@ def held_out(doc_id: Column) -> Column:
 
 
 def learn(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """The model from the rows that may be learned from, with every language that they have."""
-    ship(docs.sparkSession)
-    rows = pick(docs, "doc_id", "text", "lang").where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull())
-    sizes = (
-        rows.where(F.col("text").isNotNull()).groupBy("lang").count()
-        .orderBy(F.desc("count"), "lang").collect()
-    )
+    """The model from the rows that may be learned from."""
+    spark = docs.sparkSession
+    ship(spark)
+    rows = pick(docs, "doc_id", "text", "lang").where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    # Rows that share a doc_id, or have none, are told apart by their texts; equal rows are one.
+    rows = rows.withColumn("_h", unit(SEED, F.col("doc_id"), F.xxhash64("text")))
+    sizes = rows.groupBy("lang").agg(F.approx_count_distinct("_h").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST).collect()
     if not sizes:
         return Model(Sample([], []), [])
     if len(sizes) > LANGUAGES:
         sample = min(sample, max(LEAST_SAMPLE, sample * LANGUAGES // len(sizes)))
-    # A share of each language that holds the sample with room to spare, then the first by rank.
-    share = F.create_map(*(F.lit(v) for r in sizes for v in (r["lang"], min(1.0, (1.3 * sample + 50) / r["count"]))))
-    key = unit(SEED, F.col("doc_id"))
-    part = F.conv(F.substring(key, 1, 8), 16, 10).cast("double") / float(1 << 32)
-    some = rows.where(F.col("text").isNotNull() & (part < F.element_at(share, F.col("lang"))))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(key, F.xxhash64("text")))
-    some = some.select("text", "lang", rank.alias("_r")).where(F.col("_r") <= sample)
+    # A share of each language that holds the sample with room to spare, also for the error of the count, then the first by rank.
+    share = spark.createDataFrame([(r["lang"], min(1.0, (1.6 * sample + 50) / r["n"])) for r in sizes], "lang string, _share double")
+    part = F.conv(F.substring("_h", 1, 8), 16, 10).cast("double") / float(1 << 32)
+    drawn = rows.join(F.broadcast(share), "lang").where(part < F.col("_share"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("_h"))
+    some = drawn.groupBy("lang", "_h").agg(F.min("text").alias("text")).withColumn("_r", rank).where(F.col("_r") <= sample)
 
     @F.pandas_udf("struct<i array<int>, v array<float>>")
     def sparse(texts: pd.Series) -> pd.DataFrame:

@@ -15,19 +15,21 @@ is split; buckets hold 100,000 rows on average at most. Copies of a row (equal i
 are counted before they move, queue one after the other, and are told apart again in runs of 8192, so a
 doc_id that very many rows share, or null, costs no more than others. Targets take one task, with one
 narrow row for each source. The place where the budget ends is found by three histograms of 4096 bins each, each of
-one bin of the one before, and a sort of what is left in the last one. Only bins and the cut reach
-the driver.
+one bin of the one before. What is left in the last one, which may be very many entries that tie, is dealt by ranges of about 100,000
+of the full order, and the range where the budget ends is summed entry by entry. Only bins, ranges' sums and the cut reach the driver.
 
 A null text has size 0, as the empty one, and takes nothing. Null sources form a source. Repeated
 rows count each. Runs with the same rows agree. An empty table gives no rows. Long texts are only counted.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemill.llm.common import bits_for, copied, pick, pin, repeated, seat, seat_bucket, shelved, stratum, words_in
+from tidemill.llm.common import BUCKET, bits_for, copied, pick, pin, repeated, seat, seat_bucket, shelved, stratum, words_in
 
 BINS, LEVELS = 1 << 12, 3
 
@@ -110,29 +112,53 @@ def _finish(epoch: Column) -> Column:
 def taken(rows: DataFrame, share: float, epochs: int) -> DataFrame:
     """``rows`` of :func:`queued` with the tokens that the mix takes of each."""
     able = rows.where((F.col("size") > 0) & (F.col("target") > 0))
-    entries = able.select("size", "g", "place", F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), F.explode(F.array(*(
+    entries = able.select("size", "g", "place", _id().alias("doc_id"), F.explode(F.array(*(
         F.struct(F.lit(e).alias("epoch"), _finish(F.lit(e)).alias("finish")) for e in range(epochs)
     ))).alias("e")).select("size", "g", "place", "doc_id", "e.*")
     budget = (rows.agg(F.sum("size")).first()[0] or 0) * share
     # Finish times as y in [0, 1), in order.
     y = F.col("finish") / (F.col("finish") + 1)
-    before, last = 0, None
+    before, last, left = 0, None, 0
     for level in range(1, LEVELS + 1):
-        bins = entries.groupBy(F.floor(y * float(BINS**level)).alias("bin")).agg(F.sum("size").alias("n")).orderBy("bin").collect()
+        bins = entries.groupBy(F.floor(y * float(BINS**level)).alias("bin")).agg(F.sum("size").alias("n"), F.count("*").alias("entries")).orderBy("bin").collect()
         cut = None
         for r in bins:
             if before + r["n"] > budget:
-                cut = r["bin"]
+                cut, left = r["bin"], r["entries"]
                 break
             before += r["n"]
         if cut is None:  # the budget holds all that is left
             return rows.withColumn("taken", _times(able_column(), rows, epochs, None))
         entries = entries.where(F.floor(y * float(BINS**level)) == cut)
         last = cut / float(BINS**level)
-    order = ["finish", "g", "place", "doc_id", "size", "epoch"]
-    running = F.sum("size").over(Window.orderBy(*order)) + F.lit(before)
-    edge = entries.withColumn("sum", running).where(F.col("sum") <= budget).agg(F.max(F.struct(*order)).alias("edge")).first()["edge"]
-    return rows.withColumn("taken", _times(able_column(), rows, epochs, (last, edge)))
+    return rows.withColumn("taken", _times(able_column(), rows, epochs, (last, _edge(entries, left, before, budget))))
+
+
+#: What decides between entries, in turn.
+_ORDER = ("finish", "g", "place", "doc_id", "size", "epoch")
+
+
+def _edge(entries: DataFrame, count: int, before: int, budget: float) -> Row | None:
+    """The last of ``entries``, in order, that the budget holds past the ``before`` tokens taken; None if it holds none.
+
+    All of them may tie in finish time, so they are dealt by ranges of the order, and only the range in which the
+    budget ends is summed entry by entry.
+    """
+    ranged = pin(entries.repartitionByRange(math.ceil(count / BUCKET), *_ORDER).withColumn("part", F.spark_partition_id()))
+    sums = {r["part"]: r["n"] for r in ranged.groupBy("part").agg(F.sum("size").alias("n")).collect()}
+    part = -1
+    for part in sorted(sums):
+        if before + sums[part] > budget:
+            break
+        before += sums[part]
+    running = F.sum("size").over(Window.partitionBy("part").orderBy(*_ORDER)) + F.lit(before)
+    within = ranged.where(F.col("part") == part).withColumn("sum", running).where(F.col("sum") <= budget)
+    found = within.agg(F.max(F.struct(*_ORDER)).alias("edge")).first()["edge"]
+    return found or ranged.where(F.col("part") < part).agg(F.max(F.struct(*_ORDER)).alias("edge")).first()["edge"]
+
+
+def _id() -> Column:
+    return F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-1).cast("bigint"))
 
 
 def able_column() -> Column:
@@ -150,8 +176,9 @@ def _times(able: Column, rows: DataFrame, epochs: int, cut: tuple | None) -> Col
         if edge is None:
             got = finish / (finish + 1) < F.lit(low)
         else:
-            mine = F.struct(finish.alias("finish"), "g", "place", F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), "size", F.lit(e).alias("epoch"))
-            edge_at = F.struct(F.lit(edge["finish"]), F.lit(edge["g"]), F.lit(edge["place"]), F.lit(edge["doc_id"]), F.lit(edge["size"]), F.lit(edge["epoch"]))
-            got = mine <= edge_at
+            mine = {"finish": finish, "g": F.col("g"), "place": F.col("place"), "doc_id": _id(), "size": F.col("size"), "epoch": F.lit(e)}
+            kinds = {"finish": "double", "g": "string", "place": "bigint", "doc_id": "bigint", "size": "bigint", "epoch": "int"}
+            at = F.struct(*(F.lit(edge[name]).cast(kinds[name]).alias(name) for name in _ORDER))
+            got = F.struct(*(mine[name].cast(kinds[name]).alias(name) for name in _ORDER)) <= at
         total = total + F.when(able & got, F.col("size")).otherwise(F.lit(0))
     return total.cast("bigint")
