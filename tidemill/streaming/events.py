@@ -1,6 +1,7 @@
 """Streams of events: change feeds, windows in event time, states, page continuation."""
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -26,11 +27,23 @@ def event_stream(spark: SparkSession, folder: str, files_at_once: int | None = N
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below the one that ``spark.checkpoint.dir`` names, which driver and executors share.
+
+    Where that is unset, a temporary one if the session runs in one process, as in tests; on a cluster that is an error.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        shared = tempfile.mkdtemp(prefix="tidemill-")
+    return f"{shared}/{uuid.uuid4().hex}"
+
+
 def run_once(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Runs a stream over all that is there, into files in the shared checkpoint folder, and returns what it wrote."""
     spark = stream.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemill-")
-    at = f"{shared}/stream-{uuid.uuid4().hex}"
+    at = shared_folder(spark)
 
     def write(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{at}/out/epoch={epoch}")
