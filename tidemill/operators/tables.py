@@ -18,8 +18,8 @@ def covered(cells: DataFrame, table: str) -> DataFrame:
 
 
 def rebuilt_headers(cells: DataFrame, table: str, header_rows: int = 1) -> DataFrame:
-    """One name for each column: the texts of the header cells that cover it, from top to bottom."""
-    top = covered(cells, table).where(F.col("r") < header_rows)
+    """One name for each column: the texts of the header cells that cover it, from top to bottom, each once."""
+    top = covered(cells, table).where((F.col("r") < header_rows) & (F.col("r") == F.col("row")))
     parts = F.array_sort(F.collect_list(F.struct("r", "text")))
     return top.groupBy(table, "c").agg(F.trim(F.array_join(F.transform(parts, lambda p: p["text"]), " ")).alias("header"))
 
