@@ -32,6 +32,8 @@ def test_articles_of_the_test_table(spark, data):
 
 
 CASES = {
+    "references end at tags": ("<article><p>Use &<b>amp;</b> here, and &am<!-- x -->p; there, really it is. A &lt;b&gt; stays.</p></article>",
+        "Use &amp; here, and &amp; there, really it is. A <b> stays."),
     "layout": ("""<html><body><header><h1>Site</h1><nav><a href=x>Home</a> <a href=y>About</a></nav></header><div class="cookie-notice">We use
         cookies. Accept them please.</div><div id="content"><h1>Title here</h1><p>First paragraph with some words, and more. It
         continues.</p><p>Short.</p><ul><li>point one</li><li>point two</li></ul></div><div class="sidebar"><h3>Related</h3><ul><li><a href=1>One

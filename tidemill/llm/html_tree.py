@@ -99,7 +99,7 @@ def parse(html: str) -> list[Node]:
     """Nodes in document order, parents first; node 0 is the page.
 
     Nodes are block elements, inline elements with a class, id, role or a mark that hides them, and runs
-    of text. Comments, markup, scripts, styles and other raw elements leave nothing; math and svg are
+    of text. Comments, markup, scripts, styles and other raw elements leave nothing and end character references; math and svg are
     inline content. A run's text has its character references decoded and its white space turned into
     single spaces; ``tight`` runs follow the run before without white space or a block's border. Runs
     without any text are dropped. Unclosed and misnested elements close with the nearest open ancestor.
@@ -116,7 +116,7 @@ def parse(html: str) -> list[Node]:
     def flush(border: bool) -> None:
         nonlocal run, linked, gap
         if run:
-            raw = unescape("".join(run))
+            raw = "".join(map(unescape, run))
             text = " ".join(raw.split())
             if text:
                 node = Node("#text", (), held.path[-1])
