@@ -205,12 +205,25 @@ def test_vectors_by_brute_force(spark, monkeypatch):
     assert embeddings.near_vectors(spark.createDataFrame([], VECTORS)).collect() == []
 
 
-def test_vectors_by_brute_force_through_tables(spark, monkeypatch):
-    monkeypatch.setattr(embeddings, "FEW", 4)
-    test_vectors_by_brute_force(spark, monkeypatch)
-
-
-def test_vectors_of_seventy_lengths(spark, monkeypatch):
+@pytest.mark.parametrize("n", [50, 500, 5000])
+def test_vector_recall_of_any_number(spark, monkeypatch, n):
+    monkeypatch.setattr(embeddings, "ROWS", 700)
+    rng = np.random.default_rng(n)
+    middles = rng.standard_normal((max(3, n // 12), 64))
+    x = middles[rng.integers(0, len(middles), n)] + rng.choice([0.2, 0.27, 0.33], (n, 1)) * rng.standard_normal((n, 64))
+    rows = [(i, [float(v) for v in x[i]], int(i % 2), "m", 1, 2) for i in range(n)]
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = (u @ u.T >= 0.93) & (np.arange(n)[:, None] % 2 == np.arange(n)[None, :] % 2)
+    want = near.sum(axis=1) - 1
+    learned = []
+    monkeypatch.setattr(embeddings, "_rotations", lambda *a, f=embeddings._rotations: learned.append(f(*a)) or learned[-1])
+    out = {r["vec_id"]: r["n_links"] for r in embeddings.near_vectors(spark.createDataFrame(rows, VECTORS)).collect()}
+    assert len(out) == n and all(out[i] <= want[i] for i in range(n))
+    assert want.sum() > n / 10 and sum(out.values()) >= 0.9 * want.sum()
+    assert learned[0].count() == 1
+
+
+def test_vectors_of_seventy_lengths(spark):
     rng = np.random.default_rng(31)
     rows = []
     for d in range(2, 72):
@@ -219,8 +232,7 @@ def test_vectors_of_seventy_lengths(spark, monkeypatch):
             rows += [(len(rows) + i, [float(v) for v in x * (i + 1) + rng.standard_normal(d) * 1e-3], label, "m", 1, 2) for i in range(2)]
     frame = spark.createDataFrame(rows, VECTORS)
     assert [r["n_links"] for r in embeddings.near_vectors(frame).collect()] == [1] * len(rows)
-    # Lengths with few classes beside one with many, which is searched by tables.
-    monkeypatch.setattr(embeddings, "FEW", 4)
+    # Lengths with few classes beside one with more.
     x = rng.standard_normal((6, 80))
     more = [(1000 + i, [float(v) for v in x[i % 6] * (1 + i // 6)], 1, "m", 1, 2) for i in range(12)]
     out = {r["vec_id"]: r for r in embeddings.near_vectors(spark.createDataFrame(rows + more, VECTORS)).collect()}

@@ -17,8 +17,9 @@ Vectors with the same label link when their cosine, in double precision, is ``LE
    links and one root for each class, not pairs.
 5. Components follow from the roots; counts add up.
 
-Steps 2 to 4 are taken for each length of more than ``FEW`` classes. All shorter groups of one length are
-compared exactly, a task for each length, so their number doesn't matter and no rotations are learned.
+Vectors of each length have rotations of their own, all learned in one grouped job with a task for each length; the length is a part
+of every table's key, and vectors are coded in cells of about ``ROWS`` of a length, each with that length's rotations. So all lengths go
+through the same steps together, however many vectors they have; a length with one class only has no pairs.
 
 All vectors are indexed; only the sample for the rotations is bounded. Recall is that of meeting in
 one of all tables: 0.96 at a cosine of exactly 0.93 for random rotations, over 0.99 from
@@ -38,11 +39,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemill.llm.common import pick, pin, ship, unit, width
 from tidemill.llm.components import components, local_roots, with_least
 
-LEAST, SAMPLE, BLOCK, CELL, FEW, SEED = 0.93, 4096, 2048, 20_000, 1024, 3
+LEAST, SAMPLE, BLOCK, CELL, ROWS, SEED = 0.93, 4096, 2048, 20_000, 100_000, 3
 #: Bits of a code, classes that share a segment by chance, on average, at most, and recall at a cosine of just ``LEAST``.
 BITS, CHANCE, RECALL = 64, 16, 0.96
 
@@ -110,6 +112,11 @@ def _pairs_of_key(x: np.ndarray, a: np.ndarray, b: np.ndarray, least: float) ->
     return np.concatenate(found_a), np.concatenate(found_b)
 
 
+def _links_of_cell(meet: pd.DataFrame, least: float) -> pd.DataFrame:
+    """:func:`_cell_links` for each length of vectors in a cell."""
+    return pd.concat([_cell_links(part, least) for _, part in meet.groupby("d")], ignore_index=True)
+
+
 def _cell_links(meet: pd.DataFrame, least: float) -> pd.DataFrame:
     """Links within all keys of a cell: a row for each class that has any, with its count and its root in the cell."""
     x, seg = _unit_rows(meet["embedding"]), np.stack(meet["code"].to_list())
@@ -167,13 +174,7 @@ def near_vectors(vectors: DataFrame, least: float = LEAST) -> DataFrame:
     )
     # Written down once, so the numbers that classes get here are theirs for good.
     groups = pin(groups.select("*", F.monotonically_increasing_id().alias("cls")))
-    groups = groups.withColumn("d", F.size("embedding"))
-    sizes = groups.groupBy("d").agg(F.count("*").alias("m"))
-    many = [r["d"] for r in sizes.where(F.col("m") > FEW).orderBy("d").collect()]
-    links = _links_of_few(groups.where(~F.col("d").isin(many)), least)
-    for d in many:
-        links = links.unionByName(_links_of_length(groups.where(F.col("d") == d), least))
-    links = pin(links)
+    links = pin(_links(groups.withColumn("d", F.size("embedding")), least))
     counts = links.groupBy("cls").agg(F.sum("links").alias("links"))
     roots = components(links.select(F.col("cls").alias("u"), F.col("root").alias("v")))
     g = groups.select("mark", "first", "n", "cls").join(counts, "cls", "left").join(roots, F.col("cls") == F.col("node"), "left")
@@ -187,40 +188,70 @@ def near_vectors(vectors: DataFrame, least: float = LEAST) -> DataFrame:
     )
 
 
-def _links_of_few(groups: DataFrame, least: float) -> DataFrame:
-    """cls, links and root for the classes that have links, where no length has more than ``FEW`` classes: each label as one key."""
+def _rotations(groups: DataFrame, sizes: DataFrame) -> DataFrame:
+    """d, bits, mean and axes (bytes of doubles) for each length with more than one class, learned on at most ``SAMPLE`` of its vectors."""
+    # A share of each length that holds the sample with room to spare, then the first by rank.
+    key = unit(SEED, F.col("mark"))
+    part = F.conv(F.substring(key, 1, 8), 16, 10).cast("double") / float(1 << 32)
+    some = groups.join(sizes, "d").where(part * F.col("m") < 1.3 * SAMPLE + 50)
+    rank = F.row_number().over(Window.partitionBy("d").orderBy(key, "mark"))
+    some = some.withColumn("_r", rank).where(F.col("_r") <= SAMPLE).select("d", "most", "mark", "embedding")
 
-    def compared(meet: pd.DataFrame) -> pd.DataFrame:
-        same = {"t": 0, "key": 0, "i": 0, "j": 0, "block": 0, "code": [np.zeros(1, np.int32)] * len(meet)}
-        return _cell_links(meet.assign(**same), least)
+    def learned(sample: pd.DataFrame) -> pd.DataFrame:
+        bits, rotations = layout(int(sample["most"].iat[0]))
+        mean, axes = learn_rotations(_unit_rows(sample.sort_values("mark")["embedding"]), rotations=rotations)
+        return pd.DataFrame({"d": [sample["d"].iat[0]], "bits": [bits], "mean": [mean.tobytes()], "axes": [np.ascontiguousarray(axes).tobytes()]})
 
-    return groups.select("d", "cls", "label", "n", "embedding").groupBy("d").applyInPandas(compared, "cls bigint, links bigint, root bigint")
+    return some.groupBy("d").applyInPandas(learned, "d int, bits int, mean binary, axes binary")
 
 
-def _links_of_length(groups: DataFrame, least: float) -> DataFrame:
+def _coded(groups: DataFrame, sizes: DataFrame, models: DataFrame) -> DataFrame:
+    """cls and code of each class. Classes of a length are dealt to parts; each part reads the length's rotations, then its classes."""
+    parts = sizes.select("d", F.ceil(F.col("m") / ROWS).cast("int").alias("parts"))
+    rows = groups.join(parts, "d").select(
+        "d", F.pmod(F.hash("cls"), "parts").alias("part"), F.lit(1).alias("side"), "cls", "embedding",
+        F.lit(None).cast("int").alias("bits"), F.lit(None).cast("binary").alias("mean"), F.lit(None).cast("binary").alias("axes"),
+    )
+    first = models.join(parts, "d").select(
+        "d", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("side"), F.lit(None).cast("bigint").alias("cls"),
+        F.lit(None).cast(groups.schema["embedding"].dataType).alias("embedding"), "bits", "mean", "axes",
+    )
+    dealt = rows.unionByName(first).repartition("d", "part").sortWithinPartitions("d", "part", "side")
+
+    def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits, mean, axes = 0, None, None
+        for batch in batches:
+            heads = np.flatnonzero(batch["side"].to_numpy() == 0)
+            for low, high in zip([0, *heads], [*heads, len(batch)], strict=True):
+                if low in heads:
+                    head = batch.iloc[low]
+                    bits, mean = int(head["bits"]), np.frombuffer(head["mean"])
+                    axes = np.frombuffer(head["axes"]).reshape(len(mean), -1)
+                    low += 1
+                if low < high:
+                    found = codes_of(_unit_rows(batch["embedding"].iloc[low:high]), mean, axes, bits)
+                    yield pd.DataFrame({"cls": batch["cls"].iloc[low:high].astype(np.int64), "code": list(found)})
+
+    return dealt.mapInPandas(code, "cls bigint, code array<int>")
+
+
+def _links(groups: DataFrame, least: float) -> DataFrame:
     """cls, links and root, once for each block in which a class has links."""
     spark = groups.sparkSession
-    sample = groups.orderBy(unit(SEED, F.col("mark"))).limit(SAMPLE).select("mark", "embedding").toPandas().sort_values("mark")
-    most = groups.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    bits, rotations = layout(most)
-    mean, axes = learn_rotations(_unit_rows(sample["embedding"]), rotations=rotations)
-    shared = spark.sparkContext.broadcast((mean, axes))  # dimensions squared, whatever the number of rows
-
-    @F.pandas_udf("array<int>")
-    def coded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for vectors in batches:
-            yield pd.Series(list(codes_of(_unit_rows(vectors), *shared.value, bits)) if len(vectors) else [], dtype=object)
-
-    full = pin(groups.select("cls", "label", "n", "embedding", coded("embedding").alias("code")))
-    held = full.select("cls", "label", F.posexplode("code").alias("t", "key"))
-    shared_keys = held.groupBy("label", "t", "key").agg(F.count("*").alias("m")).where("m > 1")
+    sizes = groups.groupBy("d", "label").agg(F.count("*").alias("k")).groupBy("d").agg(F.sum("k").alias("m"), F.max("k").alias("most"))
+    sizes = pin(sizes.where("most > 1"))
+    models = pin(_rotations(groups, sizes))
+    full = pin(groups.select("cls", "d", "label", "n", "embedding").join(_coded(groups, sizes, models), "cls"))
+    held = full.select("cls", "d", "label", F.posexplode("code").alias("t", "key"))
+    table = ["d", "label", "t", "key"]
+    shared_keys = held.groupBy(*table).agg(F.count("*").alias("m")).where("m > 1")
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    met = held.join(shared_keys, ["label", "t", "key"]).withColumn("s", blocks).withColumn("block", F.pmod(F.hash("cls"), "s"))
+    met = held.join(shared_keys, table).withColumn("s", blocks).withColumn("block", F.pmod(F.hash("cls"), "s"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("s") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))
-    met = met.select("cls", "label", "t", "key", "block", F.explode(pairs).alias("p")).select("cls", "t", "key", "label", "block", "p.*")
+    met = met.select("cls", *table, "block", F.explode(pairs).alias("p")).select("cls", *table, "block", "p.*")
     met = met.join(full.select("cls", "n", "embedding", "code"), "cls")
     # Many keys to a cell, as most hold two classes; a cell has about CELL rows.
     rows = shared_keys.agg(F.sum(F.col("m") * F.ceil(F.col("m") / BLOCK))).first()[0] or 0
     cells = max(width(spark), int(rows) // CELL)
-    met = met.withColumn("cell", F.pmod(F.xxhash64("label", "t", "key", "i", "j"), F.lit(cells)))
-    return met.groupBy("cell").applyInPandas(lambda meet: _cell_links(meet, least), "cls bigint, links bigint, root bigint")
+    met = met.withColumn("cell", F.pmod(F.xxhash64(*table, "i", "j"), F.lit(cells)))
+    return met.groupBy("cell").applyInPandas(lambda meet: _links_of_cell(meet, least), "cls bigint, links bigint, root bigint")
