@@ -59,10 +59,10 @@ def name_matched(old: DataFrame, new: DataFrame, key: str, name: str, canonical:
     by_name = named(a, "old_key").join(named(b, "new_key"), ["n", "i"]).select("old_key", "new_key")
     passes.append(("name", 0.9, by_name))
     a, b = a.join(by_name, "old_key", "left_anti"), b.join(by_name, "new_key", "left_anti")
-    # Containment needs a shared word, so pairs come from an equi-join on words.
-    words = lambda df, k: df.where(F.length("n") > 8).select(k, "n", F.explode(F.array_distinct(F.split("n", r"\W+"))).alias("w")).where("w <> ''")
-    pairs = words(a, "old_key").join(words(b, "new_key").withColumnRenamed("n", "m"), "w").where(F.col("n").contains(F.col("m")) | F.col("m").contains(F.col("n"))).select("old_key", "new_key").distinct()
-    first_new = pairs.groupBy("old_key").agg(F.min("new_key").alias("new_key"))
+    # All records of a name meet the same names, so names are paired, each with its first key.
+    first = lambda df, k: df.where(F.length("n") > 8).groupBy("n").agg(F.min(k).alias(k))
+    pairs = _contained_names(first(a, "old_key"), first(b, "new_key"))
+    first_new = pairs.groupBy("n").agg(F.min("new_key").alias("new_key"), F.min("old_key").alias("old_key"))
     passes.append(("contained", 0.85, first_new.groupBy("new_key").agg(F.min("old_key").alias("old_key")).select("old_key", "new_key")))
     a, b = a.join(passes[-1][2], "old_key", "left_anti"), b.join(passes[-1][2], "new_key", "left_anti")
     passes.append(("unchanged" if endorsement else "removed", 1.0 if endorsement else 0.0, a.select("old_key", F.lit(None).cast(b.schema["new_key"].dataType).alias("new_key"))))
@@ -71,6 +71,29 @@ def name_matched(old: DataFrame, new: DataFrame, key: str, name: str, canonical:
     return reduce(DataFrame.unionByName, tagged)
 
 
+def _contained_names(a: DataFrame, b: DataFrame) -> DataFrame:
+    """n, old_key and new_key for names n of ``a`` and m of ``b`` of which one contains the other and that share a word.
+
+    What is contained has all its words but the first and the last whole in the other name, so it is looked up by these two and by the
+    rarest of the rest: three words at most, whatever its length, and none that all names have unless it stands at an end.
+    """
+    split = lambda c: F.filter(F.split(c, r"\W+"), lambda w: w != "")
+    names = a.select("n").unionByName(b.select("n"))
+    rarity = names.select(F.explode(F.array_distinct(split(F.col("n")))).alias("w")).groupBy("w").agg(F.count("*").alias("df"))
+
+    def looked_up(df: DataFrame) -> DataFrame:
+        words = df.select("*", F.posexplode(split(F.col("n"))).alias("at", "w"), (F.size(split(F.col("n"))) - 1).alias("end"))
+        inner = words.where((F.col("at") > 0) & (F.col("at") < F.col("end"))).join(rarity, "w")
+        inner = inner.groupBy("n").agg(F.min_by("w", F.struct("df", "w")).alias("w")).join(df, "n")
+        return words.where((F.col("at") == 0) | (F.col("at") == F.col("end"))).select(*df.columns, "w").unionByName(inner.select(*df.columns, "w")).distinct()
+
+    whole = lambda df: df.select("*", F.explode(F.array_distinct(split(F.col("n")))).alias("w"))
+    small = lambda df: looked_up(df).withColumnRenamed("n", "m")
+    down = whole(a).join(small(b), "w").where(F.col("n").contains(F.col("m"))).select("n", "old_key", "new_key")
+    up = small(a).join(whole(b), "w").where(F.col("n").contains(F.col("m"))).select(F.col("m").alias("n"), "old_key", "new_key")
+    return down.unionByName(up).distinct()
+
+
 def dictionary_match(df: DataFrame, text: str, entries: DataFrame) -> DataFrame:
     """``df`` with value and how for the first entry (priority, term, value) equal to the text, else contained in it or it in the entry.
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -98,16 +99,24 @@ def reranked(hits: DataFrame, boosts: DataFrame, on: str, recency: Column | None
     return out.withColumn("final", final).drop("boost")
 
 
+def common_length(a: str, b: str) -> int:
+    """Length of the longest common subsequence, a bit for each character of ``a`` and one step for each of ``b``."""
+    places: dict[str, int] = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    every = (1 << len(a)) - 1
+    free = every  # characters of a that end no longer subsequence yet
+    for y in b:
+        hit = free & places.get(y, 0)
+        free = ((free + hit) | (free - hit)) & every
+    return len(a) - free.bit_count()
+
+
 def _indel(a: str, b: str) -> float:
     """1 - (insertions and deletions) / (total length); 1 for two empty texts."""
     if not a and not b:
         return 1.0
-    row = [0] * (len(b) + 1)
-    for x in a:
-        prior = 0
-        for j, y in enumerate(b, 1):
-            prior, row[j] = row[j], prior + 1 if x == y else max(row[j], row[j - 1])
-    return 2 * row[-1] / (len(a) + len(b))
+    return 2 * (common_length(a, b) if len(a) <= len(b) else common_length(b, a)) / (len(a) + len(b))
 
 
 @F.pandas_udf(DoubleType())
@@ -120,18 +129,37 @@ def indel_ratio(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Ser
 @F.pandas_udf(DoubleType())
 def matched_words(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Share of the first text's words that the best aligned window of the second matches (exactly, or 0.8 alike)."""
+    for a, b in pairs:
+        alike = _Alike()
+        yield pd.Series([None if x is None or y is None else _best_window(x.split(), y.split(), alike) for x, y in zip(a, b, strict=True)], dtype="float64")
 
-    def score(a: str | None, b: str | None) -> float | None:
-        if a is None or b is None:
-            return None
-        x, y = a.split(), b.split()
-        if not x:
-            return 0.0
-        like = lambda p, q: p == q or SequenceMatcher(None, p, q).ratio() >= 0.8
-        return max((sum(like(p, q) for p, q in zip(x, y[i : i + len(x)])) for i in range(max(1, len(y) - len(x) + 1))), default=0) / len(x)
 
-    for a, b in pairs:
-        yield pd.Series([score(p, q) for p, q in zip(a, b, strict=True)], dtype="float64")
+class _Alike(dict):
+    """Whether two words are equal or 0.8 alike by matching blocks, kept for a batch.
+
+    Blocks are a common subsequence, so words whose longest one is too short aren't compared further.
+    """
+
+    def __missing__(self, pair: tuple[str, str]) -> bool:
+        p, q = pair
+        most = 2 * min(len(p), len(q)) / max(1, len(p) + len(q))
+        self[pair] = p == q or (most >= 0.8 and _indel(p, q) >= 0.8 and SequenceMatcher(None, p, q).ratio() >= 0.8)
+        return self[pair]
+
+
+def _best_window(x: list[str], y: list[str], alike: _Alike) -> float:
+    """Largest share of words of ``x`` that match those of a window of ``y``, place by place; words are compared once for each pair."""
+    if not x:
+        return 0.0
+    names, other = list(dict.fromkeys(x)), list(dict.fromkeys(y))
+    place = {w: i for i, w in enumerate(other)}
+    at = np.array([place[w] for w in y], dtype=np.int64)
+    windows = max(1, len(y) - len(x) + 1)
+    count, rows = np.zeros(windows, np.int64), {w: np.array([alike[w, o] for o in other], dtype=bool)[at] if y else np.zeros(0, bool) for w in names}
+    for k, w in enumerate(x):
+        hits = rows[w][k:k + windows]
+        count[:len(hits)] += hits
+    return int(count.max()) / len(x)
 
 
 def fuzzy_best(sources: DataFrame, targets: DataFrame, block: str, name: str, least: float = 0.85) -> DataFrame:
@@ -146,3 +174,21 @@ def fuzzy_best(sources: DataFrame, targets: DataFrame, block: str, name: str, le
     found = a.join(b, [block, "lb"]).withColumn("score", indel_ratio("a", "b")).where(F.col("score") >= least)
     rank = F.row_number().over(Window.partitionBy(block, "a").orderBy(F.desc("score"), "b"))
     return found.withColumn("_r", rank).where("_r = 1").select(block, "a", "b", "score")
+
+
+def aligned_by_name(old: DataFrame, new: DataFrame, pair: str, key: str, name: str, least: float = 0.8) -> DataFrame:
+    """pair, old_key, new_key, confidence and method for the sections of two documents of each ``pair``.
+
+    One section on either side goes with the other whatever their names (direct, 1.0); else each old section with the
+    new one whose name is most alike by :func:`indel_ratio`, from ``least`` on, ties to the smaller key (fuzzy_match). Sections without a
+    name match nothing. Names that very many sections share are compared once for each pair of names.
+    """
+    lone = lambda df, k: df.groupBy(pair).agg(F.count("*").alias("n"), F.min(key).alias(k)).where("n = 1").drop("n")
+    direct = lone(old, "old_key").join(lone(new, "new_key"), pair)
+    several = lambda df: df.where(F.trim(name) != "").join(direct.select(pair), pair, "left_anti")
+    one, two = several(old), several(new)
+    best = fuzzy_best(one, two, pair, name, least)
+    first = two.groupBy(pair, F.lower(name).alias("b")).agg(F.min(key).alias("new_key"))
+    fuzzy = one.select(pair, F.col(key).alias("old_key"), F.lower(name).alias("a")).join(best, [pair, "a"]).join(first, [pair, "b"])
+    tell = lambda df, sure, how: df.select(pair, "old_key", "new_key", sure.alias("confidence"), F.lit(how).alias("method"))
+    return tell(direct, F.lit(1.0), "direct").unionByName(tell(fuzzy, F.col("score"), "fuzzy_match"))

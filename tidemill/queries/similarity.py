@@ -101,13 +101,37 @@ def _(t: Tables) -> DataFrame:
     return got.select("query_id", "vec_id", F.round(F.least(F.lit(1.0), 1 - F.col("distance") + 0.03 * (F.col("label") % 3)), 6).alias("score"))
 
 
-@query("j14_fuzzy_best")
+def _ratio(a: str, b: str) -> str:
+    """Ratio of two texts' longest common subsequence to their lengths, by the plain recurrence over rows."""
+    codes = lambda x: f"list_transform(string_split({x}, ''), lambda z: [unicode(z)])"
+    step = f"CASE WHEN c[1] = unicode({b}[x[1]]) THEN r[x[1]] + 1 ELSE greatest(r[x[1] + 1], acc[-1]) END"
+    row = f"list_reduce(list_concat([[0]], list_transform(range(1, length({b}) + 1), lambda j: [j::INT])), lambda acc, x: list_append(acc, ({step})::INT))"
+    return f"2.0::DOUBLE * list_reduce(list_concat([list_transform(range(0, length({b}) + 1), lambda z: 0)], {codes(a)}), lambda r, c: {row})[-1] / (length({a}) + length({b}))"
+
+
+@query("j14_fuzzy_best", f"""WITH a AS (SELECT DISTINCT p_brand, lower(p_name) AS a FROM part), b AS (SELECT DISTINCT p_brand, lower(p_name || 's') AS b FROM part),
+n AS (SELECT DISTINCT a, b FROM a JOIN b USING (p_brand)), s AS (SELECT a, b, {_ratio('a', 'b')} AS score FROM n),
+r AS (SELECT *, row_number() OVER (PARTITION BY p_brand, a ORDER BY score DESC, b) AS r FROM a JOIN b USING (p_brand) JOIN s USING (a, b) WHERE score >= 0.85)
+SELECT p_brand, a, b, score FROM r WHERE r = 1""")
 def _(t: Tables) -> DataFrame:
     targets = t.part.select("p_brand", F.concat("p_name", F.lit("s")).alias("p_name"))
     return S.fuzzy_best(t.part, targets, "p_brand", "p_name")
 
 
-@query("m6_name_gate")
+@query("j15_aligned_by_name", f"""WITH o AS (SELECT p_brand, p_partkey AS k, lower(p_name) AS n FROM part WHERE p_partkey % 3 <> 0), w AS (SELECT p_brand, p_partkey AS k, lower(p_name || CASE WHEN p_partkey % 2 = 0 THEN 's' ELSE '' END) AS n FROM part WHERE p_partkey % 5 <> 0 OR p_size = 7),
+oc AS (SELECT p_brand, p_brand || '/' || (k % 10) AS pair, k, n FROM o), wc AS (SELECT p_brand, p_brand || '/' || (k % 10) AS pair, k, n FROM w),
+d AS (SELECT a.pair, a.k AS old_key, b.k AS new_key FROM (SELECT pair, min(k) AS k FROM oc GROUP BY pair HAVING count(*) = 1) a JOIN (SELECT pair, min(k) AS k FROM wc GROUP BY pair HAVING count(*) = 1) b USING (pair)),
+names AS (SELECT DISTINCT a.n AS a, b.n AS b FROM oc a JOIN wc b USING (pair)), s AS (SELECT a, b, {_ratio('a', 'b')} AS score FROM names),
+r AS (SELECT a.pair, a.k AS old_key, b.k AS new_key, score, row_number() OVER (PARTITION BY a.pair, a.k ORDER BY score DESC, b.n, b.k) AS r FROM oc a JOIN wc b USING (pair) JOIN s ON s.a = a.n AND s.b = b.n WHERE score >= 0.8 AND a.pair NOT IN (SELECT pair FROM d))
+SELECT pair, old_key, new_key, 1.0::DOUBLE AS confidence, 'direct' AS method FROM d UNION ALL SELECT pair, old_key, new_key, score, 'fuzzy_match' FROM r WHERE r = 1""")
+def _(t: Tables) -> DataFrame:
+    pair = F.concat("p_brand", F.lit("/"), (F.col("p_partkey") % 10).cast("string")).alias("pair")
+    old = t.part.where("p_partkey % 3 <> 0").select(pair, "p_partkey", "p_name")
+    name = F.concat("p_name", F.when(F.col("p_partkey") % 2 == 0, "s").otherwise("")).alias("p_name")
+    return S.aligned_by_name(old, t.part.where("p_partkey % 5 <> 0 OR p_size = 7").select(pair, "p_partkey", name), "pair", "p_partkey", "p_name")
+
+
+@query("m6_name_gate", f"""WITH n AS (SELECT c_custkey, lower(c_name) AS a, lower(replace(c_name, '#', ' ') || '!') AS b FROM customer) SELECT c_custkey, {_ratio('a', 'b')} >= 0.9 AS same FROM n""")
 def _(t: Tables) -> DataFrame:
     a = t.customer.select("c_custkey", F.lower("c_name").alias("a"), F.lower(F.concat(F.replace("c_name", F.lit("#"), F.lit(" ")), F.lit("!"))).alias("b"))
     return a.select("c_custkey", (S.indel_ratio("a", "b") >= 0.9).alias("same"))
