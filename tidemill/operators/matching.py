@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from tidemill.functions import text as X
 from tidemill.functions.text import same_but_for_signs
+from tidemill.session import written
 
 
 def section_partition(counts: DataFrame, key: str, value: str, pairs: Sequence[tuple[str, str]]) -> DataFrame:
@@ -60,8 +61,8 @@ def name_matched(old: DataFrame, new: DataFrame, key: str, name: str, canonical:
     passes.append(("name", 0.9, by_name))
     a, b = a.join(by_name, "old_key", "left_anti"), b.join(by_name, "new_key", "left_anti")
     # All records of a name meet the same names, so names are paired, each with its first key.
-    first = lambda df, k: df.where(F.length("n") > 8).groupBy("n").agg(F.min(k).alias(k))
-    pairs = _contained_names(first(a, "old_key"), first(b, "new_key"))
+    first = lambda df, k: written(df.where(F.length("n") > 8).groupBy("n").agg(F.min(k).alias(k)))
+    pairs = written(_contained_names(first(a, "old_key"), first(b, "new_key")))
     first_new = pairs.groupBy("n").agg(F.min("new_key").alias("new_key"), F.min("old_key").alias("old_key"))
     passes.append(("contained", 0.85, first_new.groupBy("new_key").agg(F.min("old_key").alias("old_key")).select("old_key", "new_key")))
     a, b = a.join(passes[-1][2], "old_key", "left_anti"), b.join(passes[-1][2], "new_key", "left_anti")

@@ -2,8 +2,10 @@
 from __future__ import annotations
 
 import os
+import re
+import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 #: Settings under which Python workers give memory back to the system between batches.
@@ -30,3 +32,19 @@ def ship(spark: SparkSession) -> None:
     known = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in known.split(os.pathsep):
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, known]))
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a checkpoint in the folder of ``spark.checkpoint.dir``, its lineage cut, for plans that read it several times.
+
+    Where that is unset, a temporary folder is made if the session runs in one process, as in tests; on a cluster it is an error.
+    """
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not re.fullmatch(r"local(\[.*\])?", context.master):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+            folder = tempfile.mkdtemp(prefix="tidemill-")
+        context.setCheckpointDir(folder)
+    return df.checkpoint(eager=True)
