@@ -8,18 +8,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-#: Neighbours of a node, on average, that one part of its edges holds; nodes with more are dealt over several parts.
-HUB = 10_000
-
-
 def traversed(edges: DataFrame, starts: DataFrame, depth: int, kinds: Sequence[str] | None = None) -> DataFrame:
     """Nodes within ``depth`` (at most 3) undirected hops of start nodes over trails, which repeat no edge.
 
     ``edges``: edge_id, src, dst, kind (without ``>``); ``starts``: node. Distinct (start, node, distance, chain of kinds);
-    starts themselves are left out. Parallel edges of a kind are one row with their number and least and greatest id, and a hop's frontier
-    is distinct by (start, node, chain), so trails through hubs don't multiply. What a later hop has to know of the trails to a
-    state is which edges are in all of them, as only these bar its way: two at most. A second hop's trails over different
-    middle nodes have none in common that leads anywhere but to the start.
+    starts themselves are left out. A hop's frontier is distinct by (start, node, chain), so trails through hubs don't multiply: each
+    state meets the edges of its node once, in a join on that node, which Spark broadcasts where the frontier is small and splits
+    where a hub's edges are many. What a later hop has to know of the trails to a state is which edges are in all of them, as only these
+    bar its way: two at most. A second hop's trails over different middle nodes have none in common that leads anywhere but to
+    the start.
     """
     if not 1 <= depth <= 3:
         raise ValueError("depth must be 1 to 3")
@@ -27,37 +24,28 @@ def traversed(edges: DataFrame, starts: DataFrame, depth: int, kinds: Sequence[s
         edges = edges.where(F.col("kind").isin(*kinds))
     both = edges.select("edge_id", F.col("src").alias("at"), F.col("dst").alias("to"), "kind").unionByName(
         edges.where("src <> dst").select("edge_id", F.col("dst").alias("at"), F.col("src").alias("to"), "kind")
-    )
-    ways = both.where("at IS NOT NULL AND to IS NOT NULL").groupBy("at", "to", "kind").agg(F.count("*").alias("n"), F.min("edge_id").alias("low"), F.max("edge_id").alias("high"))
-    hubs = ways.groupBy("at").agg(F.count("*").alias("ways")).where(F.col("ways") > HUB).select("at", F.ceil(F.col("ways") / HUB).cast("int").alias("parts"))
-    ways = ways.join(hubs, "at", "left").withColumn("part", F.when(F.col("parts") > 1, F.pmod(F.hash("to"), "parts")).otherwise(0)).drop("parts")
-    ids = F.when(F.col("n") == 1, F.array("low")).when(F.col("n") == 2, F.array("low", "high"))
+    ).where("to IS NOT NULL")
     none = F.array().cast(f"array<{edges.schema['edge_id'].dataType.simpleString()}>")
-
-    def onward(front: DataFrame) -> DataFrame:
-        """The frontier with every way on from it."""
-        dealt = front.join(hubs, "at", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
-        return dealt.join(ways, ["at", "part"]).drop("part")
-
+    parallel = (F.count("*").alias("n"), F.min("edge_id").alias("low"), F.max("edge_id").alias("high"))
     reached = lambda df, hop, chain: df.where("to <> start").select("start", F.col("to").alias("node"), F.lit(hop).alias("distance"), chain.alias("chain"))
     begin = starts.select(F.col("node").alias("start"), F.col("node").alias("at")).where("start IS NOT NULL").distinct()
-    one = onward(begin)
-    found = reached(one, 1, F.coalesce("kind", F.lit(""))).distinct()
+    one = begin.join(both, "at").groupBy("start", "to", "kind").agg(*parallel)
+    found = reached(one, 1, F.coalesce("kind", F.lit("")))
     if depth == 1:
         return found
-    two = onward(one.select("start", F.col("to").alias("at"), F.col("kind").alias("k1"), F.col("n").alias("n1"), F.col("low").alias("low1")))
+    first = one.select("start", F.col("to").alias("at"), F.col("kind").alias("k1"), F.col("n").alias("n1"), F.col("low").alias("low1"))
+    two = first.join(both, "at").groupBy(*first.columns, "to", F.col("kind").alias("k2")).agg(*parallel)
     # Back at the start by a way of the same kind: both edges are of the same ones.
-    same = (F.col("to") == F.col("start")) & F.col("k1").eqNullSafe(F.col("kind"))
+    same = (F.col("to") == F.col("start")) & F.col("k1").eqNullSafe(F.col("k2"))
     once = lambda n, low: F.when(F.col(n) == 1, F.array(low)).otherwise(none)
-    barred = F.when(same, F.coalesce(ids, none)).otherwise(F.concat(once("n1", "low1"), once("n", "low")))
-    two = two.where(~same | (F.col("n") > 1)).groupBy("start", "to", "k1", F.col("kind").alias("k2")).agg(F.min("at").alias("x"), F.max("at").alias("y"), F.max(barred).alias("barred"))
+    barred = F.when(same, F.when(F.col("n") == 2, F.array("low", "high")).otherwise(none)).otherwise(F.concat(once("n1", "low1"), once("n", "low")))
+    two = two.where(~same | (F.col("n") > 1)).groupBy("start", "to", "k1", "k2").agg(F.min("at").alias("x"), F.max("at").alias("y"), F.max(barred).alias("barred"))
     two = two.withColumn("barred", F.when(F.col("x") == F.col("y"), F.col("barred")).otherwise(none))
     found = found.unionByName(reached(two, 2, F.concat_ws(">", "k1", "k2")))
     if depth == 2:
         return found
-    three = onward(two.select("start", F.col("to").alias("at"), "k1", "k2", "barred"))
-    free = (F.col("n") > 2) | (F.size(F.array_except(ids, "barred")) > 0)
-    return found.unionByName(reached(three.where(free), 3, F.concat_ws(">", "k1", "k2", "kind")).distinct())
+    three = two.select("start", F.col("to").alias("at"), "k1", "k2", "barred").join(both, "at").where(~F.array_contains("barred", F.col("edge_id")))
+    return found.unionByName(reached(three, 3, F.concat_ws(">", "k1", "k2", "kind")).distinct())
 
 
 def nearest_nodes(found: DataFrame, limit: int) -> DataFrame:
