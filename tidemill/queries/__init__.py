@@ -11,7 +11,7 @@ from tidemill.session import ship
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
-_MODULES = ("relational", "aggregates", "windows", "scalars", "similarity", "matching", "graphs", "streams", "composites", "more", "questions", "pages", "entities", "sections", "vectors", "cells", "synthesis", "runs")
+_MODULES = ("relational", "aggregates", "windows", "scalars", "similarity", "matching", "graphs", "streams", "composites", "more", "questions", "pages", "entities", "sections", "vectors", "cells", "synthesis", "runs", "registry")
 
 
 class Tables:
