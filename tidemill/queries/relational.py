@@ -132,6 +132,34 @@ def _(t: Tables) -> DataFrame:
     ).alias("content"))
 
 
+@query("p14_section_texts", """WITH p AS (SELECT *, p_partkey % 6 AS k, p_retailprice::DECIMAL(18,2) AS price, CASE WHEN p_retailprice >= 1000 THEN (p_retailprice::DECIMAL(18,2) // 1000)::INT::VARCHAR || ',' || right('000' || ((p_retailprice::DECIMAL(18,2))::VARCHAR), 6)
+  ELSE p_retailprice::DECIMAL(18,2)::VARCHAR END AS money FROM part)
+SELECT p_partkey, CASE k
+  WHEN 0 THEN 'Section: Declarations' || chr(10) || 'Policy Number: ' || p_partkey || chr(10) || 'Policy Period: Not specified to ' || p_size || chr(10) || 'Total Premium: $' || money || chr(10) || 'Context keywords: policy, insured, coverage, effective, premium, terms, named insured, policy number'
+  WHEN 1 THEN 'Section: Coverage' || chr(10) || 'Coverage Name: ' || p_name || chr(10) || 'Included: Yes' || chr(10) || 'Deductible: $' || money || ' (' || p_type || ')' || chr(10) || 'Context keywords: limit, coverage, protection, sublimit, deductible'
+  WHEN 2 THEN 'Section: Schedule of Values' || chr(10) || 'Location ID: ' || p_partkey || chr(10) || 'Construction: ' || p_type || chr(10) || 'Area: ' || p_size || ' sqft' || chr(10) || 'Context keywords: location, property, TIV, total insured value, address, occupancy'
+  WHEN 3 THEN 'Section: Driver Schedule' || chr(10) || 'Driver ID: ' || p_partkey || chr(10) || 'Name: ' || p_name || chr(10) || 'License: ' || p_brand || ' (Unknown State)'
+  WHEN 4 THEN 'Section: Definitions' || chr(10) || 'Term: ' || p_name || chr(10) || 'Definition: ' || p_brand || chr(10) || 'Context keywords: definition, defined, meaning, terminology, glossary, terms'
+  ELSE 'Document Section: Spare Parts' || chr(10) || chr(10) || 'Paid Amount: $' || money || chr(10) || 'Part Id: ' || p_partkey || chr(10) || chr(10) || 'Colour: ' || p_brand END AS content FROM p""")
+def _(t: Tables) -> DataFrame:
+    from tidemill.functions.section_text import section_text
+
+    text = lambda c: F.col(c).cast("string")
+    price = F.col("p_retailprice").cast("decimal(18,2)").cast("string")
+    kinds = [
+        ("Declarations", {"policy_no": text("p_partkey"), "named_insured": F.lit("N/A"), "exp_date": text("p_size"), "amount_due": price}),
+        ("coverages", {"coverage_name": F.lit(""), "name": text("p_name"), "ded": price, "deductible_type": text("p_type")}),
+        ("sov", {"loc_no": text("p_partkey"), "latitude": F.lit("1"), "construction_type": text("p_type"), "square_footage": text("p_size")}),
+        ("driver", {"id": text("p_partkey"), "name": text("p_name"), "dl_number": text("p_brand")}),
+        ("definitions", {"term": text("p_name"), "meaning": text("p_brand")}),
+        ("spare_parts", {"part_id": text("p_partkey"), "colour": text("p_brand"), "paid_amount": price, "claims": F.lit("[]")}),
+    ]
+    k = F.col("p_partkey") % 6
+    section = F.coalesce(*(F.when(k == i, F.lit(s)) for i, (s, _) in enumerate(kinds)))
+    data = F.coalesce(*(F.when(k == i, F.create_map(*(x for n, c in d.items() for x in (F.lit(n), c)))) for i, (_, d) in enumerate(kinds)))
+    return t.part.select("p_partkey", section_text(section, data).alias("content"))
+
+
 @query("j1_semi_join", "SELECT DISTINCT c.c_custkey, c.c_name FROM customer c JOIN orders o ON c.c_custkey = o.o_custkey WHERE o.o_orderstatus = 'F'")
 def _(t: Tables) -> DataFrame:
     return t.customer.join(t.orders.where("o_orderstatus = 'F'"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey", "c_name")
