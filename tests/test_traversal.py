@@ -63,3 +63,17 @@ def test_too_many_boosts_raise(spark):
     with pytest.raises(Exception, match="more than 1000 boosts"):
         G.scored_nodes(found, boosts).collect()
     assert len(G.scored_nodes(found, boosts.limit(1000)).collect()) == 1
+
+
+def test_properties_of_each_kind_of_node(spark):
+    rows = [
+        ("Coverage", "k1", {"name": "", "coverage_name": "Fire", "deductible_amount": "5", "unknown": "x"}), ("Coverage", "k2", {}), ("Driver", "k3", {"title": "T", "accidents": "2"}),
+        ("Exclusion", "k4", {"title": "War", "type": "absolute", "applies_to": None}), ("Endorsement", "k5", {"form_number": "CG", "endorsement_number": "9"}), ("Other", "k6", {"term": "A"}),
+    ]
+    df = spark.createDataFrame(rows, "kind string, key string, attributes map<string,string>")
+    got = {r["key"]: r["p"] for r in df.select("key", G.node_properties(F.col("kind"), F.col("key"), F.col("attributes"), F.lit("2024")).alias("p")).collect()}
+    base = lambda kind, key, **more: {"id": key, "entity_type": kind, "created_at": "2024"} | more
+    assert got == {
+        "k1": base("Coverage", "k1", name="Fire", deductible_amount="5"), "k2": base("Coverage", "k2", name="k2"), "k3": base("Driver", "k3", accidents="2"),
+        "k4": base("Exclusion", "k4", name="War", exclusion_type="absolute"), "k5": base("Endorsement", "k5", name="9", endorsement_number="CG"), "k6": base("Other", "k6", name="A"),
+    }

@@ -1,6 +1,7 @@
 """Property graphs as edge and node tables: bounded traversal, seeds, scores."""
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -84,6 +85,53 @@ def non_null(props: str) -> F.Column:
     return F.map_filter(props, lambda _, v: v.isNotNull())
 
 
+#: Attributes that may name a node, first match first.
+NAMES = ("name", "title", "coverage_name", "exclusion_name", "term", "coverage_type", "policy_number", "claim_number", "endorsement_number")
+#: Properties of each kind of node; those with other sources than their own name have them in the second table.
+PROPERTIES = {
+    "Policy": "policy_number policy_type policy_form status effective_date expiration_date policy_term total_premium base_premium rate_per_100",
+    "Organization": "name role address",
+    "Coverage": "name coverage_type coverage_part description per_occurrence_limit aggregate_limit deductible_amount deductible_type waiting_period coinsurance valuation_method included",
+    "Condition": "title condition_type description applies_to requirements consequences",
+    "Endorsement": "endorsement_number title description effective_date",
+    "Location": "location_id address construction_type occupancy year_built number_of_stories sprinklered building_value contents_value bi_value tiv flood_zone",
+    "Claim": "claim_number cause_of_loss status loss_date report_date paid_amount incurred_amount reserve_amount description",
+    "Exclusion": "name exclusion_type description applies_to source_text",
+    "Definition": "term definition_text",
+    "Monetary": "amount currency description monetary_type",
+    "Vehicle": "vin year make model",
+    "Driver": "name date_of_birth license_number violations accidents",
+}
+SOURCES = {
+    ("Coverage", "name"): ("name", "coverage_name", *NAMES), ("Coverage", "deductible_amount"): ("deductible", "deductible_amount"), ("Condition", "title"): ("title", "name"),
+    ("Endorsement", "endorsement_number"): ("form_number", "endorsement_number"), ("Endorsement", "title"): ("title", "name"), ("Claim", "report_date"): ("report_date", "reported_date"),
+    ("Exclusion", "name"): ("name", "title"), ("Exclusion", "exclusion_type"): ("exclusion_type", "type"), ("Definition", "definition_text"): ("definition_text", "definition"),
+    ("Monetary", "monetary_type"): ("type",),
+}
+
+
+def node_properties(kind: F.Column, key: F.Column, attributes: F.Column, created: F.Column | None = None) -> F.Column:
+    """The properties of a node as a map of texts without nulls: id, entity_type, name, created_at and those of its kind.
+
+    ``attributes``: a map of texts; an empty one counts as absent where another may stand for it. A kind's own name takes the place of the
+    general one, also where it is absent; other kinds have the general properties only. Without any name the key is the name.
+    """
+    table = {k: [{"name": n, "sources": list(SOURCES.get((k, n), (n,)))} for n in names.split()] for k, names in PROPERTIES.items()}
+    rules = F.from_json(F.lit(json.dumps(table)), "map<string, array<struct<name: string, sources: array<string>>>>")
+    mine = F.coalesce(F.try_element_at(rules, kind), F.array().cast("array<struct<name:string,sources:array<string>>>"))
+
+    def first(keys: F.Column) -> F.Column:
+        values = F.transform(keys, lambda k: F.try_element_at(attributes, k))
+        return F.coalesce(F.get(F.filter(values, lambda v: v.isNotNull() & (v != "")), F.lit(0)), F.try_element_at(values, F.lit(-1)))
+
+    pair = lambda k, v: F.struct(F.lit(k).alias("k"), v.cast("string").alias("v"))
+    name = F.coalesce(F.nullif(first(F.array(*map(F.lit, NAMES))), F.lit("")), key.cast("string"))
+    general = F.array(pair("id", key), pair("entity_type", kind), pair("name", name), pair("created_at", created if created is not None else F.lit(None)))
+    own = F.transform(mine, lambda r: F.struct(r["name"].alias("k"), F.coalesce(first(r["sources"]), F.when((kind == "Coverage") & (r["name"] == "name"), name)).alias("v")))
+    general = F.filter(general, lambda g: ~F.exists(mine, lambda r: r["name"] == g["k"]))
+    return F.map_from_entries(F.filter(F.concat(general, own), lambda x: x["v"].isNotNull()))
+
+
 #: Kinds of node that need a description, and the boost for each match with the question.
 DESCRIBED, MATCH_BOOST = ("Exclusion", "Condition"), 0.05
 

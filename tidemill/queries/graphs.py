@@ -63,6 +63,24 @@ def _(t: Tables) -> DataFrame:
     return t.supplier.withColumn("p", props).select("s_suppkey", F.size(G.non_null("p")).alias("n"))
 
 
+@query("graph5_mapped_properties", """WITH p AS (SELECT *, p_partkey % 5 AS k FROM part)
+SELECT p_partkey, CASE k WHEN 0 THEN 'coverage_type=' || p_type || ';deductible_amount=' || p_size || ';entity_type=Coverage;id=' || p_partkey || ';name=' || p_name
+  WHEN 1 THEN 'address=' || p_brand || ';entity_type=Organization;id=' || p_partkey WHEN 2 THEN 'claim_number=' || p_partkey || ';entity_type=Claim;id=' || p_partkey || ';name=' || p_partkey || ';report_date=' || p_size
+  WHEN 3 THEN 'currency=USD;entity_type=Monetary;id=' || p_partkey || ';monetary_type=' || p_type || ';name=' || p_partkey ELSE 'entity_type=Widget;id=' || p_partkey || ';name=' || p_name END AS props FROM p""")
+def _(t: Tables) -> DataFrame:
+    text = lambda c: F.col(c).cast("string")
+    kinds = [
+        ("Coverage", {"coverage_name": text("p_name"), "name": F.lit(""), "coverage_type": text("p_type"), "deductible": text("p_size"), "other": F.lit("x")}),
+        ("Organization", {"title": text("p_name"), "address": text("p_brand")}), ("Claim", {"claim_number": text("p_partkey"), "reported_date": text("p_size")}),
+        ("Monetary", {"currency": F.lit("USD"), "type": text("p_type")}), ("Widget", {"title": text("p_name"), "size": text("p_size")}),
+    ]
+    k = F.col("p_partkey") % 5
+    kind = F.coalesce(*(F.when(k == i, F.lit(n)) for i, (n, _) in enumerate(kinds)))
+    data = F.coalesce(*(F.when(k == i, F.create_map(*(x for n, c in d.items() for x in (F.lit(n), c)))) for i, (_, d) in enumerate(kinds)))
+    props = F.map_entries(G.node_properties(kind, F.col("p_partkey"), data))
+    return t.part.select("p_partkey", F.array_join(F.array_sort(F.transform(props, lambda x: F.concat(x["key"], F.lit("="), x["value"]))), ";").alias("props"))
+
+
 @query("s20_node_merge", "SELECT 'w' AS scope, n_nationkey AS id, CASE WHEN n_nationkey < 10 THEN 'New' ELSE 'Nation' END AS label, CASE WHEN n_nationkey < 10 THEN 'x' ELSE n_name END AS name, n_regionkey::VARCHAR AS region FROM nation")
 def _(t: Tables) -> DataFrame:
     from tidemill.sources.sinks import merge_nodes
