@@ -36,7 +36,8 @@ def _(t: Tables) -> DataFrame:
     return G.nearest_nodes(G.traversed(edges(t), t.spark.createDataFrame([("c7",)], "node string"), 2), 25)
 
 
-@query("graph2_seeds")
+@query("graph2_seeds", """WITH n AS (SELECT vec_id % 100 AS node, max(label::VARCHAR) AS label FROM embeddings GROUP BY 1), d AS (SELECT DISTINCT vec_id % 100 AS node FROM embeddings WHERE vec_id IN (3, 104))
+SELECT node, 'vector' AS via FROM d UNION ALL SELECT node, 'label' FROM n WHERE label = '9' AND node NOT IN (SELECT node FROM d)""")
 def _(t: Tables) -> DataFrame:
     nodes = t.embeddings.select("vec_id", "label").groupBy((F.col("vec_id") % 100).alias("node")).agg(F.max(F.col("label").cast("string")).alias("label"), F.collect_set("vec_id").alias("vector_ids"))
     wanted = t.spark.createDataFrame([(3, "a"), (104, "a"), (-1, "b")], "vec_id bigint, section string")

@@ -58,12 +58,13 @@ def _(t: Tables) -> DataFrame:
     return out.groupBy("l_orderkey", "line").agg(F.count("*").alias("n"))
 
 
-@query("f7_citation_form")
+@query("f7_citation_form", r"""SELECT item_id, trim(regexp_replace(regexp_replace(lower(regexp_replace(translate(text, '‘’“”–—', chr(39) || chr(39) || chr(34) || chr(34) || '--'),
+  '(?m)^\s*(?:[-*•]|\d+[.)]|[a-zA-Z][.)])\s+', '', 'g')), '[^\w\s.,;:\x27\x22$%()-]', '', 'g'), '\s+', ' ', 'g')) AS t FROM benchmark""")
 def _(t: Tables) -> DataFrame:
     return t.benchmark.select("item_id", X.quoted_form(F.col("text")).alias("t"))
 
 
-@query("f11_form_references")
+@query("f11_form_references", "SELECT p_partkey, [p_name || ' FORM', p_brand || ' FORM'] AS forms FROM part")
 def _(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", X.form_references(F.concat("p_name", F.lit(" FORM "), "p_brand", F.lit(" FORM"))).alias("forms"))
 

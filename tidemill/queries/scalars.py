@@ -59,7 +59,7 @@ def _(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", X.affix_stripped(name, prefixes, suffixes).alias("name"))
 
 
-@query("f10_title_case")
+@query("f10_title_case", """SELECT p_partkey, array_to_string(list_transform(string_split(lower(p_name), ' '), lambda w: upper(w[1]) || w[2:]), ' ') || '-Ii' AS name FROM part""")
 def _(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", X.coverage_name(F.concat("p_name", F.lit("-ii coverage form"))).alias("name"))
 
@@ -81,7 +81,10 @@ def _(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.size(X.paragraphs(F.col("text"))).cast("bigint").alias("n"))
 
 
-@query("f17_overlap_tail")
+@query("f17_overlap_tail", r"""WITH l AS (SELECT doc_id, list_filter(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS l FROM documents),
+s AS (SELECT doc_id, unnest(l) AS s, unnest(range(len(l))) AS i FROM l),
+r AS (SELECT *, sum(floor((length(s) / 4.0::DOUBLE + len(list_filter(regexp_split_to_array(s, '\s+'), lambda w: w <> '')) * 1.3::DOUBLE) / 2 * 1.1::DOUBLE)) OVER (PARTITION BY doc_id ORDER BY i DESC ROWS UNBOUNDED PRECEDING) AS n FROM s)
+SELECT doc_id, coalesce(string_agg(s, ' ' ORDER BY i) FILTER (WHERE n <= 50), '') AS tail FROM l LEFT JOIN r USING (doc_id) GROUP BY doc_id""")
 def _(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", X.overlap_tail(F.col("text")).alias("tail"))
 
