@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemill.llm.common import bits_for, pick, pin, repeated, seat, seat_bucket, stratum
+from tidemill.llm.common import COPIES, bits_for, pick, pin, repeated, seat, seat_bucket, stratum
 
 
 def interleave(docs: DataFrame, shards: int = 24, seed: int = 7) -> DataFrame:
@@ -36,7 +36,8 @@ def interleave(docs: DataFrame, shards: int = 24, seed: int = 7) -> DataFrame:
     )
     # Copies of a row are counted before they move.
     groups = pin(rows.groupBy("doc_id", "size", "text_crc32", "g").agg(F.count("*").alias("n")))
-    bits = bits_for(groups.count())
+    kinds, total, most = groups.agg(F.count("*"), F.sum("n"), F.max("n")).first()
+    bits = bits_for(kinds)
     groups = groups.withColumn("place", seat(seed, F.col("doc_id"), F.col("size"), F.col("text_crc32")))
     groups = groups.withColumn("b", seat_bucket(F.col("place"), bits))
     # Rank within the source.
@@ -47,11 +48,13 @@ def interleave(docs: DataFrame, shards: int = 24, seed: int = 7) -> DataFrame:
     )
     here = Window.partitionBy("g", "b").orderBy("place", "doc_id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, -1)
     groups = groups.join(counts, ["g", "b"]).withColumn("before", F.col("low") + F.coalesce(F.sum("n").over(here), F.lit(0)))
-    groups = pin(groups.select("doc_id", "size", "text_crc32", "g", "place", "n", "before", "of"))
+    groups = groups.select("doc_id", "size", "text_crc32", "g", "place", "n", "before", "of")
     part = (F.col("before") + F.col("k") - F.lit(0.5)) / F.col("of")
-    ranked = pin(repeated(groups, "n", "k").select("doc_id", "size", "text_crc32", "g", "place", part.alias("part")))
+    # Where some row has more copies than a run, groups are read twice.
+    each = repeated(pin(groups), "n", "k") if (most or 0) > COPIES else groups.withColumn("k", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n"))))
+    ranked = pin(each.select("doc_id", "size", "text_crc32", "g", "place", part.alias("part")))
     # Place in the order of all rows.
-    ranked = ranked.withColumn("step", F.floor(F.col("part") * float(1 << bits_for(ranked.count()))))
+    ranked = ranked.withColumn("step", F.floor(F.col("part") * float(1 << bits_for(total or 0))))
     every = Window.partitionBy()
     low = every.orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
     steps = ranked.groupBy("step").agg(F.count("*").alias("n")).select(
