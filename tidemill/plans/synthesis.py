@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemill.functions.text import COVERAGES, coverage_name, first_contained, slug, term_key
+from tidemill.session import written
 
 #: Effects on a coverage and the status of a term under them.
 STATUS = {"adds_coverage": "Covered", "expands_coverage": "Expanded", "limits_coverage": "Restricted", "restores_coverage": "Restored"}
@@ -81,6 +82,7 @@ def effective_coverages(changes: DataFrame, base: DataFrame | None = None) -> Da
     for documents without changes. Terms is a map in order of keys; text joins the first three texts.
     """
     key = ["doc_id", "coverage"]
+    changes = written(changes)  # read once for each thing that is gathered
     terms = changes.where(F.col("term").isNotNull()).groupBy(*key, "term").agg(F.max_by("status", "seq").alias("status"))
     terms = terms.groupBy(*key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("term", "status")))).alias("terms"))
     first = F.row_number().over(Window.partitionBy(*key).orderBy("seq"))
