@@ -15,7 +15,7 @@ ranking. A query costs each block its probes and the rows that they meet, nothin
 Codes are the signs (positive or not) of a vector's components. Rows whose vector is null, empty or
 holds a null have no code: they neither ask nor answer. Vectors of different lengths don't meet. A
 query finds other rows only, by distance and then id; with fewer than k, all of them. Rows repeated
-under one id answer each, but not to that id itself. An empty table gives no rows; other columns, whatever
+under one id answer each, but not to that id itself; rows of one id with different codes are dealt over the blocks, equal rows share one. An empty table gives no rows; other columns, whatever
 their names, are ignored.
 """
 from __future__ import annotations
@@ -127,7 +127,7 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 10) -> DataFrame:
     n, q = codes.count(), asked.count()
     row_blocks = -(-n // ROWS) or 1
     query_blocks = max(-(-q // QUERIES) or 1, -(-width(vectors.sparkSession) // row_blocks))
-    rows = codes.withColumn("r", F.pmod(F.xxhash64("id"), F.lit(row_blocks))).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
+    rows = codes.withColumn("r", F.pmod(F.xxhash64("id", "code"), F.lit(row_blocks))).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
     asked = asked.withColumn("q", F.pmod(F.hash("id"), F.lit(query_blocks)).cast("int"))
     home = F.pmod(F.hash("id", F.lit(1)), F.lit(row_blocks)).cast("bigint")
 
