@@ -278,3 +278,57 @@ def test_toxicity_without_labels_of_both_marks(spark):
     assert {x["predicted"] for x in toxicity.score_documents(docs, one).collect()} == {1}
     assert toxicity.score_documents(docs.limit(0), one).collect() == []
     assert isinstance(toxicity.learn(docs, one).languages, langid.Model)
+
+
+def test_toxicity_learns_rows_of_any_rank_and_length(spark):
+    ids = [i for i in range(1, 8000) if zlib.crc32(str(i).encode()) % 5]
+    toxic = ids[:2600]
+    early = set(sorted(toxic, key=lambda i: hashlib.md5(f"12:{i}".encode()).hexdigest())[:2000])
+    rows = [(i, ("moron " if i in early else "scumbag ") * 2 + "here and there", 1) for i in toxic] + [(i, "here and there with sun", 0) for i in ids[2600:4000]]
+    docs = spark.createDataFrame([(i, t, "en") for i, t, _ in rows], "doc_id int, text string, lang string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id int, toxic int")
+    model = toxicity.learn(docs, labels)
+    assert (model.scores(pa.array(["here scumbag there", "here moron there", "here and there"])) >= 0.5).tolist() == [True, True, False]
+    long = [(i, "here and there with sun " * 6000 + "scumbag " * (i % 2), i % 2) for i in ids[:24]]
+    docs = spark.createDataFrame([(i, t, "en") for i, t, _ in long], "doc_id int, text string, lang string")
+    model = toxicity.learn(docs, spark.createDataFrame([(i, y) for i, _, y in long], "doc_id int, toxic int"))
+    assert model.network is not None
+
+
+def test_toxicity_in_parts_is_the_same_for_any_partitions(spark, marked, monkeypatch):
+    monkeypatch.setattr(toxicity, "PART", 1 << 17)
+    monkeypatch.setattr(toxicity, "ROUNDS", (4, 4))
+    docs = spark.createDataFrame([(i, t, g) for i, t, g, _ in marked], "doc_id int, text string, lang string")
+    labels = spark.createDataFrame([(i, y) for i, _, _, y in marked], "doc_id int, toxic int")
+    one = toxicity.learn(docs.repartition(2), labels)
+    monkeypatch.setattr(toxicity, "MARKED", 0)
+    two = toxicity.learn(docs.unionByName(docs.limit(50)).repartition(5), labels)
+    assert np.array_equal(one.network.vectors, two.network.vectors) and (one.overall, one.thresholds) == (two.overall, two.thresholds)
+    known = toxicity.dealt(docs.where(~toxicity.held_out(docs["doc_id"])), labels)
+    got = known[0].toPandas()
+    assert known[1] > 2 and sorted(got["text"]) == sorted(t for i, t, _, _ in marked if zlib.crc32(str(i).encode()) % 5)
+    assert got.groupby(["part", "mark"])["aside"].sum().tolist() == [n // 4 for n in got.groupby(["part", "mark"]).size()]
+    aside = [x for x in marked if zlib.crc32(str(x[0]).encode()) % 5 == 0]
+    right = (one.scores(pa.array([t for _, t, _, _ in aside])) >= 0.5) == np.array([y == 1 for *_, y in aside])
+    assert right.mean() >= 0.95
+
+
+def test_gradients_in_blocks(monkeypatch):
+    r = random.Random(4)
+    rows, first = toxicity.keys(pa.array([" ".join(r.choice(["alpha", "beta", "gammas", "é"]) for _ in range(r.randint(1, 90))) for _ in range(9)] + [""]))
+    net = toxicity.Network()
+    args = (rows, first, np.arange(10)[::-1], np.arange(10) % 2, np.ones(10))
+    want = net._gradients(*args)
+    monkeypatch.setattr(toxicity, "BLOCK", 7)
+    assert all(np.allclose(a, b, atol=1e-6) for a, b in zip(net._gradients(*args), want, strict=True))
+
+
+def test_languages_of_all_rows(spark, monkeypatch):
+    rows = [("one two", "en"), ("one two", "en"), ("uno dos", "es"), ("tri", "x"), (None, "en"), ("abc", None), ("123", "y")]
+    docs = spark.createDataFrame(rows, "text string, lang string").repartition(3)
+    model = langid.counted(docs)
+    assert model.langs == ["en", "es", "x"] and [model.predict(t)[0] for t in ("one two", "dos uno", "tri", "1")] == ["en", "es", "x", "und"]
+    count = np.bincount(np.concatenate([langid.cells("one two")] * 2), minlength=langid.BUCKETS)
+    assert np.allclose(model.table[:, 0], np.log((count + 0.5) / (count.sum() + 0.5 * langid.BUCKETS)))
+    monkeypatch.setattr(langid, "MOST", 2)
+    assert langid.counted(docs).langs == ["", "en", "es"]

@@ -11,7 +11,7 @@ a doc_id or have none are drawn like others; equal rows count once. Every lang v
 is learned, up to the ``MOST`` with the most documents; beyond ``LANGUAGES`` of them the sample of each shrinks in proportion, down to ``LEAST_SAMPLE``
 documents. Samples are held sparse and made dense ``ROWS`` at a time, and machines against the rest are
 learned ``ABREAST`` at a time. Everything else covers all rows. Learning rows are those whose crc32(doc_id as text) mod 3 is not 1 and whose lang and text
-are not null. lang, source and doc_id are never inputs of a prediction.
+are not null. lang, source and doc_id are never inputs of a prediction. :func:`counted` has no sample: a simpler model of the counts of all rows.
 
 A text that is null or has no letter gets ``und`` with score 0. If nothing can be learned from, all
 texts get ``und``. Repeated rows each give a row. A doc_id of null counts as not held out. An empty table gives
@@ -25,6 +25,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -160,6 +161,18 @@ class Model:
             self.table[:, self.index[one, two]] = folded
             self.bias[self.index[one, two]] = b - float(sample.middle @ folded)
 
+    @classmethod
+    def of_counts(cls, counts: dict[str, np.ndarray]) -> Model:
+        """Each language against all others by the mean logarithm of its shares of the cells."""
+        own = cls(Sample([], []), [])
+        own.langs = own.families = sorted(counts)
+        own.members = {g: [g] for g in own.langs}
+        own.index = {("family", g): i for i, g in enumerate(own.langs)}
+        own.table, own.bias = np.zeros((BUCKETS, len(own.langs)), np.float32), np.zeros(len(own.langs))
+        for i, g in enumerate(own.langs):
+            own.table[:, i] = np.log((counts[g] + 0.5) / (counts[g].sum() + 0.5 * BUCKETS))
+        return own
+
     def predict(self, text: str | None) -> tuple[str, float]:
         """Language and score."""
         if not self.langs or not has_letter(text):
@@ -230,6 +243,36 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Model:
     return Model(Sample(found["i"].tolist(), found["v"].tolist()), found["lang"].tolist())
 
 
+def counted(rows: DataFrame) -> Model:
+    """A model of the counts of cells in all ``rows`` whose lang and text are not null.
+
+    Languages beyond the ``MOST`` with the most rows are counted together, under the empty name.
+    """
+    ship(rows.sparkSession)
+    known = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
+    named = {r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST).collect()}
+
+    def tallied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for lang, text in zip(batch.column(0), batch.column(1)):
+                own = lang.as_py() if lang.as_py() in named else ""
+                if own not in held and len(held) == ABREAST:
+                    yield _tally(held)
+                    held = {}
+                count = held.setdefault(own, np.zeros(BUCKETS, np.int64))
+                count += np.bincount(cells(text.as_py()), minlength=BUCKETS)
+        yield _tally(held)
+
+    pairs = known.mapInArrow(tallied, "lang string, counts binary").rdd.map(lambda row: (row[0], np.frombuffer(row[1], np.int64)))
+    found = pairs.reduceByKey(np.add).collect()
+    return Model.of_counts({lang: count for lang, count in found if count.any()})
+
+
+def _tally(held: dict[str, np.ndarray]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(list(held), pa.string()), pa.array([c.tobytes() for c in held.values()], pa.binary())], ["lang", "counts"])
+
+
 def predictor(docs: DataFrame, model: Model):
     """A column function: text to struct of lang_pred and score. The model (a table of fixed height) is broadcast."""
     ship(docs.sparkSession)
