@@ -109,9 +109,9 @@ class Network:
         self.base = np.full(1, -2, np.float32)
 
     def embed(self, rows: np.ndarray) -> np.ndarray:
-        x = self.vectors[rows[:, 0]]
+        x = self.vectors.take(rows[:, 0], axis=0)
         for k in range(1, rows.shape[1]):
-            x += self.vectors[rows[:, k]]
+            x += self.vectors.take(rows[:, k], axis=0)
         return x
 
     def responses(self, x: np.ndarray, n: int, ends: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
