@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidemill.functions.text import longest_only
+from tidemill.functions.text import as_re2, longest_only
 
 # Patterns and word lists that results depend on. --------------------------------------
 
@@ -142,8 +142,8 @@ def _strings(*items: str) -> Column:
 
 
 def _found(text: Column, patterns: Sequence[tuple[str, int]], any_case: bool = True) -> Column:
-    """Distinct trimmed matches of all patterns, sorted."""
-    every = [F.regexp_extract_all(text, F.lit("(?i)" * any_case + p), F.lit(group)) for p, group in patterns]
+    """Distinct trimmed matches of all patterns, sorted. A word's border is one of ASCII, as RE2 has it."""
+    every = [F.regexp_extract_all(text, F.lit(as_re2(p, any_case)), F.lit(group)) for p, group in patterns]
     return F.array_sort(F.array_distinct(F.filter(F.transform(F.concat(*every), lambda x: F.trim(x)), lambda x: x != "")))
 
 
