@@ -34,3 +34,10 @@ def test_borders_of_words_in_questions_are_those_of_sql(spark, tmp_path):
     rows = [(5 + 10 * i, 10 * j, "user", t) for i, t in enumerate(texts) for j in range(2)]
     got = same_as_sql(spark, tmp_path, "f31_question_entities", "conversations", rows, MESSAGES)
     assert any("5 million St" in r for r in got)
+
+
+def test_patterns_of_intents_are_matched_once_with_borders_of_sql(spark, tmp_path):
+    texts = ["listä of what\u000bis", "ésource here", "show this\rand changes", "show this\nand changes", "where did it\u2028all come from", "éaudit trail and audit trailé", " "]
+    same_as_sql(spark, tmp_path, "f29_intents", "conversations", [(5 + 6 * i, 6 * j, "user", t) for i, t in enumerate(texts) for j in range(2)], MESSAGES)
+    plan = __spark_entry__.queries()["f29_intents"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("provenance") == 1
