@@ -41,3 +41,27 @@ def test_patterns_of_intents_are_matched_once_with_borders_of_sql(spark, tmp_pat
     same_as_sql(spark, tmp_path, "f29_intents", "conversations", [(5 + 6 * i, 6 * j, "user", t) for i, t in enumerate(texts) for j in range(2)], MESSAGES)
     plan = __spark_entry__.queries()["f29_intents"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("provenance") == 1
+
+
+DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+
+def test_words_are_hashed_once_whatever_the_size(spark):
+    import time
+
+    from tidemill.functions.text import hashed_words
+
+    texts = spark.range(1).select(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(100_000)), lambda i: F.concat(F.lit("w"), i.cast("string"))), " ").alias("text")).cache()
+    assert texts.count() == 1
+    took = {}
+    for size in (2, 2, 128):
+        began = time.perf_counter()
+        counts = texts.select(hashed_words(F.col("text"), size).alias("v")).first()["v"]
+        took[size] = time.perf_counter() - began
+        assert len(counts) == size and sum(counts) == 100_000
+    assert took[128] < 12 * took[2]
+
+
+def test_words_of_encoded_rows_are_those_of_sql(spark, tmp_path):
+    texts = ["one\u000btwo three one", "", " ", "\n", "x y\tz\fa", "Straße É é", "w " * 3000]
+    same_as_sql(spark, tmp_path, "s26_encoded_rows", "documents", [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], DOCUMENTS)
