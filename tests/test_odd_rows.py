@@ -65,3 +65,8 @@ def test_words_are_hashed_once_whatever_the_size(spark):
 def test_words_of_encoded_rows_are_those_of_sql(spark, tmp_path):
     texts = ["one\u000btwo three one", "", " ", "\n", "x y\tz\fa", "Straße É é", "w " * 3000]
     same_as_sql(spark, tmp_path, "s26_encoded_rows", "documents", [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], DOCUMENTS)
+
+
+def test_text_search_is_that_of_sql(spark, tmp_path):
+    texts = ["a b c", "one\u000btwo three one", "\n", "one two three", "ONE\u000bTWO", "b a c", "x", "y", "a b c d"]
+    assert same_as_sql(spark, tmp_path, "e20_text_search", "documents", [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], DOCUMENTS)
