@@ -70,3 +70,13 @@ def test_words_of_encoded_rows_are_those_of_sql(spark, tmp_path):
 def test_text_search_is_that_of_sql(spark, tmp_path):
     texts = ["a b c", "one\u000btwo three one", "\n", "one two three", "ONE\u000bTWO", "b a c", "x", "y", "a b c d"]
     assert same_as_sql(spark, tmp_path, "e20_text_search", "documents", [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], DOCUMENTS)
+
+
+def test_spans_far_longer_than_a_bin(spark):
+    from tidemill.operators.relational import in_intervals
+
+    spans = [(1, 0, 3 * 10**9, "a"), (1, 5, 5, "b"), (1, 100, 90, "none"), (1, -7, 12, "c"), (2, 2, None, "none"), (2, 10**6, 10**6 + 17, "d"), (2, 0, 1 << 40, "e")]
+    points = [(k, at) for k in (1, 2, 3) for at in (-8, -7, 0, 5, 12, 13, 95, 10**6, 10**6 + 17, 10**6 + 18, 3 * 10**9, 3 * 10**9 + 1, 1 << 40)]
+    got = in_intervals(spark.createDataFrame(points, "k int, at bigint"), spark.createDataFrame(spans, "k int, s bigint, e bigint, name string"), "k", "at", "s", "e", 10)
+    want = sorted((k, at, n) for k, at in points for j, s, e, n in spans if j == k and e is not None and s <= at <= e)
+    assert sorted((r["k"], r["at"], r["name"]) for r in got.collect()) == want

@@ -117,12 +117,18 @@ def missing_required(df: DataFrame, key: str, value: str, required: Sequence[str
 def in_intervals(points: DataFrame, spans: DataFrame, key: str, at: str, start: str, end: str, width: int) -> DataFrame:
     """Points joined to all spans of their key with start <= at <= end.
 
-    Spans are cut into bins of ``width``, so the join is an equi-join on key and bin.
+    Bins are ``width`` wide, or that doubled until a span lies in two at most, so long spans take no more rows than short ones. The
+    join is an equi-join on key, doublings and bin; points look at the doublings only that spans of their key have.
     """
-    binned = spans.withColumn("_bin", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width))))
-    return points.withColumn("_bin", F.floor(F.col(at) / width)).join(binned, [key, "_bin"]).where(
+    length = (F.col(end) - F.col(start)).cast("double")
+    doubled = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(length, F.lit(1.0)) / width))).cast("int").alias("_doubled")
+    bin_of = lambda c: F.floor(F.col(c) / (F.lit(float(width)) * F.pow(F.lit(2.0), "_doubled")))
+    binned = spans.where(F.col(start) <= F.col(end)).select("*", doubled).withColumn("_bin", F.explode(F.sequence(bin_of(start), bin_of(end))))
+    scales = spans.where(F.col(start) <= F.col(end)).select(key, doubled).groupBy(key).agg(F.collect_set("_doubled").alias("_scales"))
+    dealt = points.join(scales, key).withColumn("_doubled", F.explode("_scales")).drop("_scales").withColumn("_bin", bin_of(at))
+    return dealt.join(binned, [key, "_doubled", "_bin"]).where(
         (F.col(start) <= F.col(at)) & (F.col(at) <= F.col(end))
-    ).drop("_bin")
+    ).drop("_doubled", "_bin")
 
 
 def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column | str], n: int) -> DataFrame:
