@@ -80,3 +80,27 @@ def test_spans_far_longer_than_a_bin(spark):
     got = in_intervals(spark.createDataFrame(points, "k int, at bigint"), spark.createDataFrame(spans, "k int, s bigint, e bigint, name string"), "k", "at", "s", "e", 10)
     want = sorted((k, at, n) for k, at in points for j, s, e, n in spans if j == k and e is not None and s <= at <= e)
     assert sorted((r["k"], r["at"], r["name"]) for r in got.collect()) == want
+
+
+def test_near_sets_are_compared_only_when_near(spark):
+    import random
+
+    from tidemill.operators.similarity import jaccard_pairs
+
+    chance = random.Random(5)
+    base = [[f"w{chance.randrange(40 + 60 * (i % 3))}" for _ in range(5 + 9 * (i % 5))] for i in range(60)]
+    rows = [(i, w) for i, w in enumerate(base)] + [(100 + i, w[1:] + [f"x{i % 7}"]) for i, w in enumerate(base)] + [(300, []), (301, ["a", "a"]), (302, ["a"]), (303, [f"n{i}" for i in range(35)]), (304, [f"n{i}" for i in range(28)])]
+    df = spark.createDataFrame(rows, "k bigint, t array<string>")
+    first = {}
+    for k, t in sorted(rows):
+        if t:
+            first.setdefault(frozenset(t), k)
+    sets = sorted((k, t) for t, k in first.items())
+    want = {(a, b): len(x & y) / len(x | y) for n, (a, x) in enumerate(sets) for b, y in sets[n + 1:] if len(x & y) / len(x | y) >= 0.8}
+    out = jaccard_pairs(df, "k", "t", 0.8)
+    assert {(r["a"], r["b"]): r["jaccard"] for r in out.collect()} == want and (303, 304) in want
+    # Of the pairs that share rare words, hardly any but the near ones have their sets joined.
+    far = spark.createDataFrame([(i, ["rare"] + [f"w{i}-{j}" for j in range(60)]) for i in range(200)], "k bigint, t array<string>")
+    plan = jaccard_pairs(far, "k", "t", 0.8)
+    assert plan.count() == 0
+    assert "bit_count" in plan._jdf.queryExecution().optimizedPlan().toString()
