@@ -113,3 +113,20 @@ def test_synthesis_pairs_suppliers_with_brands_not_parts(spark, data):
     parts = [i for i, line in enumerate(lines) if "Relation [p_partkey" in line]
     joins = [max(j for j in range(i) if "Join Inner, (k#" in lines[j]) for i in parts]
     assert parts and all(any("Aggregate" in line for line in lines[j:i]) for j, i in zip(joins, parts, strict=True))
+
+
+def test_a_search_of_all_lists_copies_no_query_to_each(spark, tmp_path):
+    import numpy as np
+
+    from tidemill.operators.vectors import InvertedFile
+
+    some = np.random.default_rng(3).normal(size=(120, 6))
+    rows = [(i, v.tolist()) for i, v in enumerate(some)] + [(500, [0.0] * 6), (501, None)]
+    corpus = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    asked = spark.createDataFrame([*rows[:40], (900, [1.0, 2.0]), (901, None)], "query_id bigint, query array<double>")
+    index = InvertedFile.build(corpus, f"{tmp_path}/lists", lists=20)
+    found = index.search(asked, 3, probes=20)
+    unit = some / np.linalg.norm(some, axis=1, keepdims=True)
+    want = {(q, int(v), r + 1) for q in range(40) for r, v in enumerate(np.argsort(1 - unit @ unit[q], kind="stable")[:3])}
+    assert {(r["query_id"], r["vec_id"], r["rank"]) for r in found.collect()} == want
+    assert "explode(lists" not in found._jdf.queryExecution().optimizedPlan().toString()

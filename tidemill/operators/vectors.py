@@ -260,8 +260,11 @@ class InvertedFile:
     def search(self, asked: DataFrame, k: int, probes: int = 10, most: float | None = None) -> DataFrame:
         """As :func:`nearest_many` among the vectors of the ``probes`` lists nearest to each query; with all of them it is exact.
 
-        Lists of very many vectors are dealt over several tasks.
+        Lists of very many vectors are dealt over several tasks. With all lists queries aren't copied to each of them but
+        dealt as there.
         """
+        if probes >= len(self.centroids):
+            return nearest_many(self.spark.read.parquet(self.path).select("vec_id", "embedding"), asked.select("query_id", "query"), k, most)
         queries = _rows(asked, "query_id", "query", _ASKING, ()).where(F.col("n") == self.centroids.shape[1])
         queries = self._listed(queries, "v", min(probes, len(self.centroids))).withColumn("list", F.explode("lists")).drop("lists")
         parts = {i: math.ceil(n / ROWS) for i, n in self.sizes.items()}
